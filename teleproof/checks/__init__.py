@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["windows", "mining"]
+MODULES = ["windows", "mining", "evidence"]
 
 
 def load():
