@@ -41,7 +41,8 @@ def number_rows(
         .agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > size)
     )
-    slot = F.floor((F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_n") / size))
+    share = F.try_divide(F.col("_pos") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    slot = F.floor(share * F.ceil(F.col("_n") / size))
     slotted = df.join(extent, key, "left").withColumn("_slot", F.coalesce(slot, F.lit(0).cast("bigint")))
     before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
