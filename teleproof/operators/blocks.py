@@ -21,6 +21,24 @@ def block_of(position: str, block_rows: int) -> Column:
     return F.expr(f"`{position}` div {block_rows}")
 
 
+def known_length(df: DataFrame, position: str = "row") -> int | None:
+    """Upper bound of the rows per record, if the ingest measured one and ``position`` still carries it."""
+    return df.schema[position].metadata.get("longest") if position in df.columns else None
+
+
+def fits(df: DataFrame, rows: int, position: str = "row") -> bool:
+    """Is every record known to be at most ``rows`` long? Then one task per record is enough."""
+    longest = known_length(df, position)
+    return longest is not None and longest <= rows
+
+
+def with_length(df: DataFrame, longest: int | None, position: str = "row") -> DataFrame:
+    """Attach the measured length to ``position``; filters and projections keep it."""
+    if longest is None:
+        return df
+    return df.withMetadata(position, {"longest": longest})
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -31,16 +49,16 @@ def number_rows(
     """Add the dense acquisition index ``row`` (BIGINT) per ``key``.
 
     ``position`` is a number that never decreases along ``order``. Records longer than ``block_rows`` are cut
-    along it into slots, numbered inside the slot and shifted by the counts of the earlier slots. Short
-    records have one slot, so the slot tables below are empty for them.
+    along it into slots, numbered inside the slot and shifted by the counts of the earlier slots.
     """
     size = block_rows or settings.BLOCK_ROWS
     df = df.withColumn("_pos", F.col(position) if isinstance(position, str) else position)
-    extent = (
-        df.groupBy(key)
-        .agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > size)
-    )
+    extent = df.groupBy(key).agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    extent = extent.filter(F.col("_n") > size)
+    one = F.lit(1).cast("bigint")
+    if extent.isEmpty():
+        number = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint") - one
+        return df.withColumn("row", number).drop("_pos")
     share = F.try_divide(F.col("_pos") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     slot = F.floor(share * F.ceil(F.col("_n") / size))
     slotted = df.join(extent, key, "left").withColumn("_slot", F.coalesce(slot, F.lit(0).cast("bigint")))
@@ -55,7 +73,7 @@ def number_rows(
     return (
         slotted.join(offsets, [key, "_slot"], "left")
         .withColumn(
-            "row", F.coalesce("_offset", F.lit(0)) + F.row_number().over(inside).cast("bigint") - F.lit(1).cast("bigint")
+            "row", F.coalesce("_offset", F.lit(0)) + F.row_number().over(inside).cast("bigint") - one
         )
         .drop("_pos", "_lo", "_hi", "_n", "_slot", "_offset")
     )
@@ -66,6 +84,8 @@ def with_halo(
 ) -> DataFrame:
     """Copy rows near a block edge into the neighbouring block, so bounded frames see their neighbours."""
     size = block_rows or settings.BLOCK_ROWS
+    if fits(df, size, position):
+        return df.withColumn("block", F.lit(0).cast("bigint"))
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col(position) - after) / size))
     last = F.expr(f"(`{position}` + {before}) div {size}")
     return df.withColumn("block", F.explode(F.sequence(first, last)))
@@ -107,6 +127,9 @@ def running(
     size = block_rows or settings.BLOCK_ROWS
     total = {"sum": F.sum, "max": F.max}[how]
     keys = list(keys)
+    if fits(df, size, position):
+        whole = Window.partitionBy(*keys).orderBy(position, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, total(value).over(whole))
     df = df.withColumn("_blk", block_of(position, size)).withColumn("_v", value)
     carry = (
         df.groupBy(*keys, "_blk")
@@ -142,10 +165,12 @@ def mask_runs(
     """
     size = block_rows or settings.BLOCK_ROWS
     keys = list(keys)
+    columns = [*keys, "start_row", "stop_row", *[f"{end}_{c}" for end in ("first", "last") for c in carry]]
+    single = fits(hits, size, position)
     inside = Window.partitionBy(*keys, "_blk").orderBy(position)
     local = (
         hits.select(*keys, position, *carry)
-        .withColumn("_blk", block_of(position, size))
+        .withColumn("_blk", F.lit(0).cast("bigint") if single else block_of(position, size))
         .withColumn("_island", F.col(position) - F.row_number().over(inside))
         .groupBy(*keys, "_blk", "_island")
         .agg(
@@ -155,6 +180,8 @@ def mask_runs(
             *[F.max_by(c, position).alias(f"last_{c}") for c in carry],
         )
     )
+    if single:
+        return local.select(*columns)
     at_edge = ((F.col("start_row") == F.col("_blk") * size) & (F.col("_blk") > 0)) | (
         F.col("stop_row") == (F.col("_blk") + 1) * size
     )
@@ -171,7 +198,6 @@ def mask_runs(
             *[F.max_by(f"last_{c}", "start_row").alias(f"last_{c}") for c in carry],
         )
     )
-    columns = [*keys, "start_row", "stop_row", *[f"{end}_{c}" for end in ("first", "last") for c in carry]]
     return local.filter(~at_edge).select(*columns).unionByName(stitched.select(*columns))
 
 

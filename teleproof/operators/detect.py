@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleproof.functions.scalar import digest_id, small_median
-from teleproof.operators.blocks import RECORD, at_home, mask_runs, ordered, with_halo
+from teleproof.operators.blocks import RECORD, at_home, known_length, mask_runs, ordered, with_halo, with_length
 from teleproof.operators.greedy import thin
-from teleproof.sources.workspace import written
 
 
 @dataclass(frozen=True)
@@ -147,13 +146,13 @@ def median_steps(
     rows: DataFrame, rules: dict[str, ChannelRule], width: int, noise: float, block_rows: int | None = None
 ) -> DataFrame:
     """Step hits, keeping one per ``width`` rows and channel."""
-    hits = written(step_hits(rows, rules, width, noise, block_rows), "step_hits")
-    kept = thin(hits, [RECORD, "channel"], width, block_rows)
+    hits = step_hits(rows, rules, width, noise, block_rows)
+    kept = thin(hits, [RECORD, "channel"], width, ["threshold"], block_rows)
     found = _candidate(
         "median_step", F.col("row"), F.col("row") + 1, F.col("channel"),
         threshold=F.col("threshold"), window_rows=F.lit(width),
     )
-    return kept.join(hits, [RECORD, "channel", "row"]).select(RECORD, F.inline(F.array(found)))
+    return kept.select(RECORD, F.inline(F.array(found)))
 
 
 def zero_runs(
@@ -197,7 +196,8 @@ def candidates(rows: DataFrame, config: MiningConfig) -> DataFrame:
     if config.zero_channels:
         found = found.unionByName(zero_run_candidates(rows, config))
     rule_text = F.to_json("rule")
-    return found.withColumn(
+    found = found.withColumn(
         "candidate_id",
         digest_id("E_", F.col(RECORD), F.col("detector"), F.col("start_row"), F.col("stop_row"), F.col("channel"), rule_text),
     ).select(*CANDIDATE, "candidate_id")
+    return with_length(found, known_length(rows), "start_row")

@@ -17,53 +17,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from teleproof import settings
-from teleproof.operators.blocks import at_home, block_of, ordered, running, with_halo
+from teleproof.operators.blocks import at_home, block_of, fits, ordered, running, with_halo
 from teleproof.sources.workspace import written
 
 
-def thin(hits: DataFrame, keys: Sequence[str], width: int, block_rows: int | None = None, chain_events: int | None = None):
-    """Keep a hit only if it lies at least ``width`` rows after the last kept one (``keys``, ``row``)."""
-    limit = chain_events or settings.CHAIN_EVENTS
-    keys = list(keys)
+def thin(
+    hits: DataFrame, keys: Sequence[str], width: int, carry: Sequence[str] = (), block_rows: int | None = None,
+    chain_events: int | None = None,
+) -> DataFrame:
+    """Keep a hit only if it lies at least ``width`` rows after the last kept one (``keys``, ``row``, ``carry``)."""
+    limit = chain_events if chain_events is not None else settings.CHAIN_EVENTS
+    keys, columns = list(keys), [*keys, "row", *carry]
     recent = F.max("row").over(ordered(keys).rangeBetween(-(width - 1), -1)) if width > 1 else F.lit(None)
     flagged = (
-        with_halo(hits.select(*keys, "row"), width, 0, block_rows=block_rows)
+        with_halo(hits.select(*columns), width, 0, block_rows=block_rows)
         .withColumn("_starts", recent.isNull())
         .filter(at_home(block_rows=block_rows))
-        .select(*keys, "row", "_starts")
+        .select(*columns, "_starts")
     )
     started = F.when(F.col("_starts"), F.col("row"))
-    chained = written(running(flagged, keys, started, "_chain", "max", block_rows=block_rows), "chains")
-    long = _long_chains(chained, [*keys, "_chain"], limit)
+    chained = running(flagged, keys, started, "_chain", "max", block_rows=block_rows).drop("_starts")
+    chained, long = _split_chains(chained, [*keys, "_chain"], limit, "row")
     short = chained if long is None else chained.join(long, [*keys, "_chain"], "left_anti")
-    short = short.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list("row")).alias("_rows"))
+    short = short.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(F.struct("row", *carry))).alias("_rows"))
     kept = F.aggregate(
         "_rows",
-        F.array().cast("array<bigint>"),
-        lambda acc, row: F.when(
-            (F.size(acc) == 0) | (row - F.element_at(acc, F.greatest(F.size(acc), F.lit(1))) >= width),
-            F.concat(acc, F.array(row)),
-        ).otherwise(acc),
+        F.slice("_rows", 1, 1),
+        lambda acc, hit: F.when(hit["row"] - F.element_at(acc, -1)["row"] >= width, F.concat(acc, F.array(hit))).otherwise(acc),
     )
-    folded = short.select(*keys, F.explode(kept).alias("row"))
+    folded = short.select(*keys, F.inline(kept))
     if long is None:
         return folded
 
     # The next kept hit after h is the first one at h + width or later; inside a chain it lies before h + 2 * width.
+    far = chained.join(long, [*keys, "_chain"])
     ahead = F.min("row").over(ordered([*keys, "_chain"]).rangeBetween(width, 2 * width))
     pointed = (
-        with_halo(chained.join(long, [*keys, "_chain"]), 0, 2 * width, block_rows=block_rows)
-        .withColumn("_next", ahead)
-        .filter(at_home(block_rows=block_rows))
+        with_halo(far, 0, 2 * width, block_rows=block_rows).withColumn("_next", ahead).filter(at_home(block_rows=block_rows))
     )
     walked = follow(pointed, [*keys, "_chain"], "row", "_next", F.col("row") == F.col("_chain"), block_rows)
-    return folded.unionByName(walked.select(*keys, "row"))
+    return folded.unionByName(far.join(walked, [*keys, "_chain", "row"]).select(*columns))
 
 
-def _long_chains(chained: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys of the chains too long for one array, or None if there are none."""
+def _split_chains(chained: DataFrame, keys: list[str], limit: int, position: str) -> tuple[DataFrame, DataFrame | None]:
+    """The chains, written once if their sizes must be measured, and the keys of those too long for one array."""
+    if fits(chained, limit, position):
+        return chained, None
+    chained = written(chained, "chains")
     long = chained.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
-    return None if long.isEmpty() else long
+    return chained, None if long.isEmpty() else long
 
 
 def follow(
@@ -150,7 +152,8 @@ def _mark(keys: list[str]):
 
 
 def pack(
-    events: DataFrame, gap: int, span: int, key: str = "record_id", block_rows: int | None = None, chain_events: int | None = None
+    events: DataFrame, gap: int, span: int, key: str = "record_id", carry: Sequence[str] = (), block_rows: int | None = None,
+    chain_events: int | None = None,
 ) -> DataFrame:
     """Group events (``start_row``, ``stop_row``, ``event_id``) under a gap and a span bound.
 
@@ -158,31 +161,34 @@ def pack(
     spans at most ``span`` rows; a single longer event forms its own group. Returns the events with ``group_event``, the
     number of the group's first event inside ``chain_row``; the three identify a group.
     """
-    limit = chain_events or settings.CHAIN_EVENTS
+    limit = chain_events if chain_events is not None else settings.CHAIN_EVENTS
     size = block_rows or settings.BLOCK_ROWS
     order = ["start_row", "stop_row", "event_id"]
-    tagged = events.select(key, *order).withColumn("_blk", block_of("start_row", size))
+    columns = [*order, *carry]
+    single = fits(events, size, "start_row")
+    tagged = events.select(key, *columns).withColumn(
+        "_blk", F.lit(0).cast("bigint") if single else block_of("start_row", size)
+    )
     # The furthest end among all earlier events decides whether the chain can go on.
     inside = Window.partitionBy(key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        tagged.groupBy(key, "_blk")
-        .agg(F.max("stop_row").alias("_end"))
-        .select(key, "_blk", F.max("_end").over(across).alias("_carry"))
-        .filter(F.col("_carry").isNotNull())
-    )
-    earlier = F.greatest("_prev", "_carry")
-    flagged = (
-        tagged.withColumn("_prev", F.max("stop_row").over(inside))
-        .join(carry, [key, "_blk"], "left")
-        .withColumn("_start", F.when(earlier.isNull() | (F.col("start_row") > earlier + gap), F.col("start_row")))
-        .select(key, *order, "_start")
-    )
-    chained = running(flagged, [key], F.col("_start"), "chain_row", "max", "start_row", order[1:], size)
-    chained = written(chained.drop("_start"), "chains")
-    long = _long_chains(chained, [key, "chain_row"], limit)
+    reached = tagged.withColumn("_prev", F.max("stop_row").over(inside))
+    earlier = F.col("_prev")
+    if not single:
+        carried = (
+            tagged.groupBy(key, "_blk")
+            .agg(F.max("stop_row").alias("_end"))
+            .select(key, "_blk", F.max("_end").over(across).alias("_carry"))
+            .filter(F.col("_carry").isNotNull())
+        )
+        reached, earlier = reached.join(carried, [key, "_blk"], "left"), F.greatest("_prev", "_carry")
+    opens = F.when(earlier.isNull() | (F.col("start_row") > earlier + gap), F.col("start_row"))
+    flagged = reached.withColumn("_start", opens).select(key, *columns, "_start")
+    chained = running(flagged, [key], F.col("_start"), "chain_row", "max", "start_row", order[1:], size).drop("_start")
+    # A record may hold more events than rows, so the length of the record bounds no chain: sizes are measured.
+    chained, long = _split_chains(chained, [key, "chain_row"], limit, "")
     short = chained if long is None else chained.join(long, [key, "chain_row"], "left_anti")
-    short = short.groupBy(key, "chain_row").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_events"))
+    short = short.groupBy(key, "chain_row").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_events"))
     zero = F.lit(0).cast("bigint")
     state = F.struct(
         F.lit(None).cast("bigint").alias("lo"),
@@ -207,17 +213,17 @@ def pack(
     folded = (
         short.withColumn("_groups", F.aggregate("_events", state, step, lambda acc: acc["out"]))
         .select(key, "chain_row", F.explode(F.arrays_zip("_events", "_groups")).alias("_z"))
-        .select(key, "chain_row", *[F.col(f"_z._events.{c}") for c in order], F.col("_z._groups").alias("group_event"))
+        .select(key, "chain_row", *[F.col(f"_z._events.{c}") for c in columns], F.col("_z._groups").alias("group_event"))
     )
     if long is None:
         return folded
-    numbered = number_events(chained.join(long, [key, "chain_row"]).select(key, "chain_row", *order), key, order, size)
+    numbered = number_events(chained.join(long, [key, "chain_row"]).select(key, "chain_row", *columns), key, order, size)
     pointed = _next_group(numbered, key, gap, span, size)
     heads = follow(pointed, [key, "chain_row"], "_i", "_next", F.col("_i") == 0, size).withColumn("_head", F.lit(True))
     marked = numbered.join(heads, [key, "chain_row", "_i"], "left")
     walked = running(
         marked, [key, "chain_row"], F.when(F.col("_head"), F.col("_i")), "group_event", "max", "_i", (), size
-    ).select(key, "chain_row", *order, "group_event")
+    ).select(key, "chain_row", *columns, "group_event")
     return folded.unionByName(walked)
 
 

@@ -29,8 +29,9 @@ def event_groups(candidates: DataFrame, config: MiningConfig) -> DataFrame:
     events = candidates.select(
         RECORD, "start_row", "stop_row", F.col("candidate_id").alias("event_id"), "channel"
     )
-    placed = pack(events, config.group_gap_rows, config.max_group_span_rows, block_rows=config.block_rows)
-    named = placed.join(events.select(RECORD, "event_id", "channel"), [RECORD, "event_id"])
+    named = pack(
+        events, config.group_gap_rows, config.max_group_span_rows, carry=["channel"], block_rows=config.block_rows
+    )
     # Zero runs name several channels in one text; the set of names is bounded by the configuration.
     return (
         named.groupBy(*GROUP)

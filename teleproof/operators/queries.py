@@ -127,20 +127,37 @@ def run_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) ->
         *shown, F.lit(None).cast("double").alias("value"),
         *[F.lit(None).cast("bigint").alias(c) for c in ("detail_start", "detail_stop", "next_start_row")],
     )
-    read = answer(
-        page_bounds(of("read"), PAGE_ROWS), F.col("page_stop") - F.col("start_row"), stop="page_stop",
-        following=F.col("next_start_row"),
-    )
-    profile = answer(of("profile"), F.least(F.col("bins").cast("bigint"), F.col("stop_row") - F.col("start_row")))
-    stat = answer(stat_queries(rows, of("stat").drop("status"), channels), F.col("value"))
-    metrics = metric_long(quality_profile(rows, of("quality"), channels))
-    quality = answer(of("quality").join(metrics, [*WINDOW, "metric"]), F.col("value"))
-    onset = first_sustained(rows, of("first_sustained").drop("status"), channels).withColumn(
-        "onset_stop", F.col("onset_row") + F.col("min_records")
-    )
-    sustained = answer(onset, F.col("value"), "onset_row", "onset_stop")
-    zero = answer(longest_zero_run(rows, of("longest_zero_run").drop("status"), channels), F.col("value"), "run_start", "run_stop")
+    def read() -> DataFrame:
+        pages = page_bounds(of("read"), PAGE_ROWS)
+        return answer(pages, F.col("page_stop") - F.col("start_row"), stop="page_stop", following=F.col("next_start_row"))
+
+    def profile() -> DataFrame:
+        return answer(of("profile"), F.least(F.col("bins").cast("bigint"), F.col("stop_row") - F.col("start_row")))
+
+    def stat() -> DataFrame:
+        return answer(stat_queries(rows, of("stat").drop("status"), channels), F.col("value"))
+
+    def quality() -> DataFrame:
+        metrics = metric_long(quality_profile(rows, of("quality"), channels))
+        return answer(of("quality").join(metrics, [*WINDOW, "metric"]), F.col("value"))
+
+    def sustained() -> DataFrame:
+        onset = first_sustained(rows, of("first_sustained").drop("status"), channels)
+        onset = onset.withColumn("onset_stop", F.col("onset_row") + F.col("min_records"))
+        return answer(onset, F.col("value"), "onset_row", "onset_stop")
+
+    def zero_run() -> DataFrame:
+        runs = longest_zero_run(rows, of("longest_zero_run").drop("status"), channels)
+        return answer(runs, F.col("value"), "run_start", "run_stop")
+
+    parts = {
+        "read": read, "profile": profile, "stat": stat, "quality": quality, "first_sustained": sustained,
+        "longest_zero_run": zero_run,
+    }
+    # Only operations that occur are planned; their branches then run side by side.
+    asked = {r["op"] for r in gated.filter(F.col("status") == "ok").select("op").distinct().collect()}
     out = refused
-    for part in (read, profile, stat, quality, sustained, zero):
-        out = out.unionByName(part)
+    for op, part in parts.items():
+        if op in asked:
+            out = out.unionByName(part())
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from teleproof import settings
-from teleproof.operators.blocks import RECORD, block_of, mask_runs, neighbours
+from teleproof.operators.blocks import RECORD, block_of, fits, mask_runs, neighbours
 
 WINDOW = [RECORD, "start_row", "stop_row"]
 STATS = ["mean", "median", "min", "max", "count"]
@@ -33,10 +33,12 @@ def extents(rows: DataFrame) -> DataFrame:
 def rows_in_windows(rows: DataFrame, windows: DataFrame, size: int | None = None) -> DataFrame:
     """Rows joined to the windows that hold them; window columns stay attached. Windows must be valid."""
     size = size or settings.JOIN_BLOCK_ROWS
+    inside = (F.col("row") >= F.col("start_row")) & (F.col("row") < F.col("stop_row"))
+    if fits(rows, size):
+        return rows.join(windows, [RECORD]).filter(inside)
     spread = windows.withColumn(
         "_bucket", F.explode(F.sequence(block_of("start_row", size), F.expr(f"(stop_row - 1) div {size}")))
     )
-    inside = (F.col("row") >= F.col("start_row")) & (F.col("row") < F.col("stop_row"))
     return rows.withColumn("_bucket", block_of("row", size)).join(spread, [RECORD, "_bucket"]).filter(inside).drop("_bucket")
 
 
@@ -52,6 +54,8 @@ def window_stats(rows: DataFrame, windows: DataFrame, channels: Sequence[str], s
     """
     limit = short_rows or settings.SHORT_WINDOW_ROWS
     distinct = windows.select(*WINDOW).filter(valid_window()).distinct()
+    if fits(rows, limit):
+        return _direct_stats(rows, distinct, channels)
     length = F.col("stop_row") - F.col("start_row")
     short = _direct_stats(rows, distinct.filter(length <= limit), channels)
     long = distinct.filter(length > limit)

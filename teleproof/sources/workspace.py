@@ -12,8 +12,11 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_working_copies: dict[tuple, str] = {}
+from teleproof.operators.blocks import with_length
+
+_working_copies: dict[tuple, tuple[str, int | None]] = {}
 _own_folders: dict[str, str] = {}
 
 
@@ -38,16 +41,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def working_copy(source: DataFrame, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The ingested form of ``source``, reused while its set of input files stays the same."""
+    """The ingested form of ``source``, reused while its set of input files stays the same.
+
+    The longest record is measured once; operators use it to skip block handling where records are short.
+    """
     spark = source.sparkSession
     files = tuple(sorted(source.inputFiles()))
     key = (spark.sparkContext.applicationId, label, files)
     if key in _working_copies:
+        path, longest = _working_copies[key]
         try:
-            return spark.read.parquet(_working_copies[key])
+            return with_length(spark.read.parquet(path), longest)
         except AnalysisException:
             del _working_copies[key]
     path = f"{shared_folder(spark)}/teleproof/{label}-{uuid.uuid4().hex}"
     build().write.mode("errorifexists").parquet(path)
-    _working_copies[key] = path
-    return spark.read.parquet(path)
+    last = spark.read.parquet(path).agg(F.max("row")).first()[0]
+    longest = None if last is None else last + 1
+    _working_copies[key] = path, longest
+    return with_length(spark.read.parquet(path), longest)
