@@ -72,20 +72,22 @@ def numbered_text(spark: SparkSession, path: str, declared: Sequence[str], recor
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
     raw = (
         spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-        .option("nullValue", "\u0000").option("emptyValue", "").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
+        .option("emptyValue", "").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
     )
     # All columns are read, so that a surplus or missing cell cannot hide behind column pruning.
     placed = raw.select(
         F.lit(record_id).alias(RECORD), *[F.col(f"`{c}`") for c in names], F.col(BAD_ROW),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
     )
-    kept = written(placed, "text_rows").select(RECORD, *[F.col(f"`{c}`") for c in declared], BAD_ROW, "_block", "_line")
+    # An empty cell of a well-formed row arrives as null; it is the empty token.
+    cells = [F.coalesce(F.col(f"`{c}`"), F.when(F.col(BAD_ROW).isNull(), "")).alias(c) for c in declared]
+    kept = written(placed, "text_rows").select(RECORD, *cells, BAD_ROW, "_block", "_line")
     return number_rows(kept, ["_block", "_line"], "_block").drop("_block", "_line").withColumn(
         BAD_ROW, F.col(BAD_ROW).isNotNull()
     )
 
 
-def _violations(df: DataFrame, issues: list, ) -> DataFrame:
+def _violations(df: DataFrame, issues: list) -> DataFrame:
     return df.select(RECORD, "row", F.explode(F.array_compact(F.array(*issues))).alias("issue"))
 
 
