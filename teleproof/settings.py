@@ -13,7 +13,7 @@ JOIN_BLOCK_ROWS = 4_096
 # Windows up to this length are aggregated from their rows, longer ones from block summaries.
 SHORT_WINDOW_ROWS = 65_536
 # Events folded in one array; longer chains are cut into blocks.
-CHAIN_EVENTS = 4_096
+CHAIN_EVENTS = 1_024
 
 
 def session(app: str = "teleproof", cpus: str | int | None = None) -> SparkSession:
