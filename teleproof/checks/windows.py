@@ -9,7 +9,7 @@ from teleproof.checks.registry import EM, EV, LI, LI_LONG, LI_WINDOWS, check, q6
 from teleproof.functions import scalar as S
 from teleproof.operators import quality as Q
 from teleproof.operators import windows as W
-from teleproof.operators.blocks import RECORD, mask_runs
+from teleproof.operators.blocks import RECORD, at_home, mask_runs, ordered, with_halo
 from teleproof.sources.tables import (
     LINE_CHANNELS,
     embedding_rows,
@@ -310,8 +310,7 @@ SELECT ev.record_id, 'window' AS region, min(r) AS start_row, max(r) + 1 AS stop
   CASE WHEN max(r) + 1 - min(r) = count(*) THEN 'ok' ELSE 'not_contiguous' END AS status
 FROM ev JOIN f USING (record_id) WHERE t - t0 >= 86400 AND t - t0 < 432000 GROUP BY 1""")
 def clock_region(spark: SparkSession, sf: str) -> DataFrame:
-    region = spark.createDataFrame([("window", 86400.0, 432000.0)], "region string, from_s double, to_s double")
-    return W.clock_regions(event_rows(spark, sf), region)
+    return W.clock_regions(event_rows(spark, sf), [("window", 86400.0, 432000.0)])
 
 
 @check("phase_label", f"""
@@ -319,8 +318,7 @@ WITH {EV}, {PHASE_SQL}, f AS (SELECT record_id, t AS t0 FROM ev WHERE r = 0)
 SELECT ev.record_id, region, min(r) AS start_row, max(r) + 1 AS stop_row, CAST(count(*) AS BIGINT) AS n_rows, 'ok' AS status
 FROM ev JOIN f USING (record_id) JOIN ph ON t - t0 >= lo AND t - t0 < hi GROUP BY 1, 2""")
 def phase_label(spark: SparkSession, sf: str) -> DataFrame:
-    phases = spark.createDataFrame(PHASES, "region string, from_s double, to_s double")
-    return W.clock_regions(event_rows(spark, sf), phases)
+    return W.clock_regions(event_rows(spark, sf), PHASES)
 
 
 @check("elapsed_seconds", f"""
@@ -541,8 +539,6 @@ def runs_of_mask(spark: SparkSession, sf: str) -> DataFrame:
 WITH {SUSTAINED} SELECT f.record_id, onset_row AS by_runs, onset_row AS by_rolling, true AS agree FROM f LEFT JOIN o USING (record_id)""")
 def dual_check_sustained(spark: SparkSession, sf: str) -> DataFrame:
     """Two independent routes to the onset: stitched runs, and a rolling count over the next rows."""
-    from teleproof.operators.blocks import at_home, ordered, with_halo
-
     rows = event_rows(spark, sf)
     by_runs = W.first_sustained(rows, sustained_queries(rows), ["value"]).select(RECORD, F.col("onset_row").alias("by_runs"))
     full = F.count_if(F.col("value") > 40).over(ordered().rowsBetween(0, 2)) == 3

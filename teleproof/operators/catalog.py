@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from teleproof.functions.scalar import IDENTIFIER, extension_of
 from teleproof.operators.blocks import RECORD
+from teleproof.sources.workspace import written
 
 
 def positional_join(telemetry: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +42,7 @@ def lineage_conflicts(sources: DataFrame) -> DataFrame:
     A group may lie in one split only, equal bytes must share group and split, ids are unique.
     """
     # Distinct combinations first, so a group of copies shrinks to its few combinations before it meets.
-    combos = sources.groupBy("lineage_group", "split", "sha256").agg(F.count(F.lit(1)).alias("_n"))
+    combos = written(sources.select("lineage_group", "split", "sha256").distinct(), "lineage")
     groups = combos.select("lineage_group", "split").distinct().groupBy(F.col("lineage_group").alias("key")).agg(
         F.count(F.lit(1)).alias("n")
     )

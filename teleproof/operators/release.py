@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleproof.functions.scalar import PRIVATE_TOKENS, fold_case
+from teleproof.sources.workspace import written
 
 NOT_WORD = "[^\\p{L}\\p{N}]+"
+# Neighbouring inner words by which a token is looked up if more than CROWD tokens share its longest inner word.
+KEY_WORDS = 4
+CROWD = 16
 # Limits and wording the public text must keep to.
 PROMPT_CHARS = 90
 TITLE_CHARS = 30
@@ -31,34 +35,57 @@ def built_in_leaks(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [folded.contains(t) for t in PRIVATE_TOKENS])
 
 
-def leak_hits(documents: DataFrame, tokens: DataFrame) -> DataFrame:
+def leak_hits(documents: DataFrame, tokens: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs ``doc_id, token_id`` where the folded text contains the folded token, exactly and over whole texts.
 
     A word strictly inside a token is delimited by the token itself, so it must be a whole word of any text holding
-    the token. Each token is looked up by its longest such word; only the pairs met there are searched. Tokens
-    without an inner word are looked up by their first characters in the same way.
+    the token, and so must a row of such words. Each distinct token is looked up by its longest inner word; where more than
+    ``crowd`` tokens share that word, by its longest row of up to ``KEY_WORDS`` inner words; and without inner words by its
+    first characters. Only the pairs met there are searched.
     """
-    needles = tokens.select("token_id", fold_case(F.col("token")).alias("needle")).filter(F.length("needle") > 0)
-    texts = documents.select("doc_id", fold_case(F.col("text")).alias("body"))
+    folded = tokens.select("token_id", fold_case(F.col("token")).alias("needle")).filter(F.length("needle") > 0)
     words = F.split("needle", NOT_WORD)
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
-    keyed = needles.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    anchored = keyed.filter(F.col("key").isNotNull())
-    found = texts.select("doc_id", F.explode(F.array_distinct(F.split("body", NOT_WORD))).alias("key"))
-    pairs = found.join(anchored, "key").select("doc_id", "token_id", "needle")
-
-    loose = keyed.filter(F.col("key").isNull()).withColumn("_g", F.least(F.lit(3), F.length("needle")))
-    for size in sorted(r["_g"] for r in loose.select("_g").distinct().collect()):
-        chars = texts.withColumn("_c", F.split("body", ""))
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size("_c") - (size - 1)), lambda i: F.concat(*[F.get("_c", i - 1 + k) for k in range(size)])
-        )
-        seen = chars.filter(F.size("_c") >= size).select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-        short = loose.filter(F.col("_g") == size).select(
-            "token_id", "needle", F.substring("needle", 1, size).alias("key")
-        )
-        pairs = pairs.unionByName(seen.join(short, "key").select("doc_id", "token_id", "needle"))
-    return pairs.join(texts, "doc_id").filter(F.col("body").contains(F.col("needle"))).select("doc_id", "token_id")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    needles = folded.select("needle").distinct().withColumn("inner", inner).withColumn("word", _longest(F.col("inner")))
+    crowded = needles.groupBy("word").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
+    keyed = needles.join(crowded, "word", "left").withColumn(
+        "kind",
+        F.when(F.size("inner") == 0, -F.least(F.lit(3), F.length("needle")))
+        .when(F.col("crowded"), F.least(F.lit(KEY_WORDS), F.size("inner"))).otherwise(1),
+    )
+    keyed = written(keyed, "needles")
+    texts = documents.select("doc_id", fold_case(F.col("text")).alias("body"))
+    pairs = None
+    # At most seven kinds exist, whatever the number of tokens.
+    for kind in sorted(r["kind"] for r in keyed.select("kind").distinct().collect()):
+        if kind > 0:
+            longest, parts, joint = _longest(_rows_of("inner", kind, " ")), F.split("body", NOT_WORD), " "
+        else:
+            longest, parts, joint = F.substring("needle", 1, -kind), F.split("body", ""), ""
+        size = abs(kind)
+        wanted = keyed.filter(F.col("kind") == kind).select("needle", longest.alias("key"))
+        seen = texts.withColumn("parts", parts).filter(F.size("parts") >= size)
+        seen = seen.select("doc_id", F.explode(F.array_distinct(_rows_of("parts", size, joint))).alias("key"))
+        met = seen.join(wanted, "key").select("doc_id", "needle")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        return documents.select("doc_id").withColumn("token_id", F.lit(None).cast(tokens.schema["token_id"].dataType)).limit(0)
+    hits = pairs.join(texts, "doc_id").filter(F.col("body").contains(F.col("needle"))).select("doc_id", "needle")
+    return hits.join(folded, "needle").select("doc_id", "token_id")
+
+
+def _longest(texts: Column) -> Column:
+    return F.array_max(F.transform(texts, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+
+
+def _rows_of(parts: str, size: int, joint: str) -> Column:
+    """All rows of ``size`` neighbouring parts, joined; ``parts`` holds at least that many."""
+    if size == 1:
+        return F.col(parts)
+    return F.transform(
+        F.sequence(F.lit(0), F.size(parts) - size),
+        lambda i: F.concat_ws(joint, *[F.get(parts, i + k) for k in range(size)]),
+    )
 
 
 def style_errors(tasks: DataFrame, key: str, title: str, prompt: str) -> DataFrame:

@@ -464,11 +464,11 @@ def elapsed(rows: DataFrame) -> DataFrame:
     return rows.join(starts, RECORD).withColumn("elapsed_s", F.col("time_s") - F.col("_t0")).drop("_t0")
 
 
-def clock_regions(rows: DataFrame, regions: DataFrame) -> DataFrame:
-    """Row range of ``[from_s, to_s)`` after the record start for each named region; it must be one stretch of rows."""
-    inside = elapsed(rows.select(RECORD, "row", "time_s")).join(
-        F.broadcast(regions), (F.col("elapsed_s") >= F.col("from_s")) & (F.col("elapsed_s") < F.col("to_s"))
-    )
+def clock_regions(rows: DataFrame, regions: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """Row range of ``(name, from_s, to_s)`` after the record start, ``to_s`` excluded; it must be one stretch of rows."""
+    at = F.col("elapsed_s")
+    named = F.array_compact(F.array(*[F.when((at >= lo) & (at < hi), F.lit(name)) for name, lo, hi in regions]))
+    inside = elapsed(rows.select(RECORD, "row", "time_s")).select(RECORD, "row", F.explode(named).alias("region"))
     found = inside.groupBy(RECORD, "region").agg(
         F.min("row").alias("start_row"), (F.max("row") + 1).alias("stop_row"), F.count(F.lit(1)).alias("n_rows")
     )

@@ -13,16 +13,17 @@ from teleproof.operators import release as R
 from teleproof.operators import runlog as L
 
 
-def test_leak_hits_against_brute_force(spark):
+@pytest.mark.parametrize("crowd", [0, 1, 16])
+def test_leak_hits_against_brute_force(spark, crowd):
     rng = random.Random(3)
     alphabet = ["ab", "Straße", "x", "Grüße", "-", "the", "A1", "ß", "\n", ".", ",", "/home/"]
     docs = [(i, " ".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))) for i in range(150)] + [(999, "")]
-    tokens = ["the A1", "strasse", "ab the x", "ß", "/home/", "x", "- . ,", "GRÜSSE ab", "ab\nthe", "", "zz", "A1 the strasse ab", ". -"]
+    tokens = ["the A1", "strasse", "ab the x", "ß", "/home/", "x", "- . ,", "GRÜSSE ab", "ab\nthe", "", "zz", "A1 the strasse ab", ". -", "x the ab x ab", "ab the x ab", "the ab A1 x the x"]
     d = spark.createDataFrame(docs, "doc_id int, text string")
     t = spark.createDataFrame(list(enumerate(tokens)), "token_id int, token string")
     fold = lambda s: s.lower().replace("ß", "ss")
     want = sorted(((i, j) for i, text in docs for j, token in enumerate(tokens) if token and fold(token) in fold(text)), key=repr)
-    assert want and rows_of(R.leak_hits(d, t), "doc_id", "token_id") == want
+    assert want and rows_of(R.leak_hits(d, t, crowd), "doc_id", "token_id") == want
 
 
 def test_private_words(spark):
