@@ -66,11 +66,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return written(D.candidates(events(spark, sf), EVENTS), "candidates")
+    return D.candidates(events(spark, sf), EVENTS)
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    return written(P.event_groups(found(spark, sf), EVENTS), "groups")
+    return P.event_groups(found(spark, sf), EVENTS)
 
 
 def packages(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +137,7 @@ def event_groups(spark: SparkSession, sf: str) -> DataFrame:
 @check("case_budget", f"""WITH RECURSIVE {GROUPS}
 SELECT record_id, a AS start_row, b AS stop_row, row_number() OVER (ORDER BY record_id, a, b) <= 100 AS processed FROM grp""")
 def case_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return P.case_budget(groups(spark, sf), 100).select(RECORD, "start_row", "stop_row", "processed")
+    return P.case_budget(written(groups(spark, sf), "groups"), 100).select(RECORD, "start_row", "stop_row", "processed")
 
 
 @check("package_facts", f"""WITH RECURSIVE {PACKAGES}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from teleproof.functions.scalar import digest_id, small_median
 from teleproof.operators.blocks import RECORD, at_home, known_length, mask_runs, ordered, with_halo, with_length
 from teleproof.operators.greedy import thin
+from teleproof.sources.workspace import written
 
 
 @dataclass(frozen=True)
@@ -94,16 +95,47 @@ def _spike(channel: str, rule: ChannelRule) -> Column:
     )
 
 
-def _pointwise(rows, columns, before, after, hits, block_rows) -> DataFrame:
+def _pointwise(rows, columns, before, after, hits, block_rows, prepare=None) -> DataFrame:
     """Candidates decided by a row and its neighbours, all from one pass over the blocks."""
+    near = with_halo(rows.select(RECORD, "row", *columns), before, after, block_rows=block_rows)
+    if prepare is not None:
+        near = prepare(near)
     return (
-        with_halo(rows.select(RECORD, "row", *columns), before, after, block_rows=block_rows)
-        .withColumn("_hits", F.array_compact(F.array(*hits())))
+        near.withColumn("_hits", F.array_compact(F.array(*hits())))
         .filter(at_home(block_rows=block_rows) & (F.size("_hits") > 0))
         .select(RECORD, F.inline("_hits"))
     )
 
 
+def _distances(values: str, level: str) -> Column:
+    return F.transform(values, lambda v: F.abs(v - F.col(level)))
+
+
+def _with_levels(near: DataFrame, rules: dict[str, ChannelRule], width: int, noise: float) -> DataFrame:
+    """Per channel: the frames on both sides of the row, the level before it and the threshold for a change."""
+    w = ordered()
+    frames, levels, thresholds = {}, {}, {}
+    for i, (c, r) in enumerate(rules.items()):
+        frames[f"_before{i}"] = F.collect_list(c).over(w.rowsBetween(-width, -1))
+        frames[f"_after{i}"] = F.collect_list(c).over(w.rowsBetween(0, width - 1))
+        levels[f"_level{i}"] = small_median(F.col(f"_before{i}"), width)
+        deviation = small_median(_distances(f"_before{i}", f"_level{i}"), width)
+        thresholds[f"_threshold{i}"] = F.greatest(F.lit(float(r.min_step)), F.lit(float(noise)) * deviation)
+    return near.withColumns(frames).withColumns(levels).withColumns(thresholds)
+
+
+def _step_hit(i: int, channel: str, width: int) -> Column:
+    full = (F.size(f"_before{i}") == width) & (F.size(f"_after{i}") == width)
+    change = F.abs(small_median(F.col(f"_after{i}"), width) - F.col(f"_level{i}"))
+    return F.when(
+        full & (change > F.col(f"_threshold{i}")),
+        _candidate(
+            "median_step", F.col("row"), F.col("row") + 1, F.lit(channel),
+            threshold=F.col(f"_threshold{i}"), window_rows=F.lit(width),
+        ),
+    )
+
+
 def step_hits(
     rows: DataFrame, rules: dict[str, ChannelRule], width: int, noise: float, block_rows: int | None = None
 ) -> DataFrame:
@@ -112,42 +144,19 @@ def step_hits(
     The threshold is the larger of the channel minimum and ``noise`` times the unscaled median absolute
     deviation before the row. A null in either window rules the row out.
     """
-    out = with_halo(rows.select(RECORD, "row", *rules), width, width, block_rows=block_rows)
-    w = ordered()
-    frames = []
-    for i, c in enumerate(rules):
-        frames += [
-            F.collect_list(c).over(w.rowsBetween(-width, -1)).alias(f"_before{i}"),
-            F.collect_list(c).over(w.rowsBetween(0, width - 1)).alias(f"_after{i}"),
-        ]
-    out = out.select(RECORD, "row", "block", *frames).filter(at_home(block_rows=block_rows)).drop("block")
-    per_channel = F.array(*[
-        F.struct(
-            F.lit(c).alias("channel"), F.lit(float(r.min_step)).alias("min_step"),
-            F.col(f"_before{i}").alias("before"), F.col(f"_after{i}").alias("after"),
-        )
-        for i, (c, r) in enumerate(rules.items())
-    ])
-    flat = (
-        out.select(RECORD, "row", F.inline(per_channel))
-        .filter((F.size("before") == width) & (F.size("after") == width))
-        .withColumn("level", small_median(F.col("before"), width))
-    )
-    deviation = small_median(F.transform("before", lambda v: F.abs(v - F.col("level"))), width)
-    change = F.abs(small_median(F.col("after"), width) - F.col("level"))
-    return (
-        flat.withColumn("threshold", F.greatest(F.col("min_step"), F.lit(float(noise)) * deviation))
-        .filter(change > F.col("threshold"))
-        .select(RECORD, "channel", "row", "threshold")
+    found = _pointwise(
+        rows, [*rules], width, width, lambda: [_step_hit(i, c, width) for i, c in enumerate(rules)], block_rows,
+        lambda near: _with_levels(near, rules, width, noise),
     )
+    return with_length(found, known_length(rows), "start_row")
 
 
-def median_steps(
-    rows: DataFrame, rules: dict[str, ChannelRule], width: int, noise: float, block_rows: int | None = None
-) -> DataFrame:
-    """Step hits, keeping one per ``width`` rows and channel."""
-    hits = step_hits(rows, rules, width, noise, block_rows)
-    kept = thin(hits, [RECORD, "channel"], width, ["threshold"], block_rows)
+def thin_steps(hits: DataFrame, width: int, block_rows: int | None = None) -> DataFrame:
+    """Of the step hits of a channel, keep one per ``width`` rows."""
+    placed = hits.select(
+        RECORD, "channel", F.col("start_row").alias("row"), F.col("rule")["threshold"].cast("double").alias("threshold")
+    )
+    kept = thin(placed, [RECORD, "channel"], width, ["threshold"], block_rows)
     found = _candidate(
         "median_step", F.col("row"), F.col("row") + 1, F.col("channel"),
         threshold=F.col("threshold"), window_rows=F.lit(width),
@@ -155,6 +164,13 @@ def median_steps(
     return kept.select(RECORD, F.inline(F.array(found)))
 
 
+def median_steps(
+    rows: DataFrame, rules: dict[str, ChannelRule], width: int, noise: float, block_rows: int | None = None
+) -> DataFrame:
+    """Step hits, keeping one per ``width`` rows and channel."""
+    return thin_steps(step_hits(rows, rules, width, noise, block_rows), width, block_rows)
+
+
 def zero_runs(
     rows: DataFrame, channels: Sequence[str], epsilon: float = 0.0, min_rows: int = 1, block_rows: int | None = None
 ) -> DataFrame:
@@ -186,13 +202,20 @@ def candidates(rows: DataFrame, config: MiningConfig) -> DataFrame:
             )
             for f in fields
         ]
-        return [*moves, _time_fault(), *[_spike(c, r) for c, r in config.channels.items()]]
-
-    found = _pointwise(rows, list(dict.fromkeys([*fields, "time_s", *config.channels])), 1, 1, near, size)
-    if config.channels:
-        found = found.unionByName(
-            median_steps(rows, config.channels, config.window_rows, config.noise_multiplier, size)
-        )
+        steps = [_step_hit(i, c, width) for i, c in enumerate(config.channels)]
+        return [*moves, _time_fault(), *[_spike(c, r) for c, r in config.channels.items()], *steps]
+
+    # One pass reads and shuffles the rows for all these detectors; its sparse hits are written and steps thinned from there.
+    width = config.window_rows
+    reach = width if config.channels else 1
+    hits = _pointwise(
+        rows, list(dict.fromkeys([*fields, "time_s", *config.channels])), reach, reach, near, size,
+        lambda rows_near: _with_levels(rows_near, config.channels, width, config.noise_multiplier),
+    )
+    hits = written(with_length(hits, known_length(rows), "start_row"), "hits")
+    found = hits.filter(F.col("detector") != "median_step").unionByName(
+        thin_steps(hits.filter(F.col("detector") == "median_step"), width, size)
+    )
     if config.zero_channels:
         found = found.unionByName(zero_run_candidates(rows, config))
     rule_text = F.to_json("rule")

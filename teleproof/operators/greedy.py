@@ -175,6 +175,8 @@ def pack(
     reached = tagged.withColumn("_prev", F.max("stop_row").over(inside))
     earlier = F.col("_prev")
     if not single:
+        tagged = written(tagged, "events")
+        reached = tagged.withColumn("_prev", F.max("stop_row").over(inside))
         carried = (
             tagged.groupBy(key, "_blk")
             .agg(F.max("stop_row").alias("_end"))
