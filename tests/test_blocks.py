@@ -89,7 +89,7 @@ def test_thin_against_loop(spark, block, chain):
         data += [(key, r) for r in rows]
         want += [(key, r) for r in thin_loop(rows, 4)]
     hits = spark.createDataFrame(data, "record_id string, row bigint")
-    assert rows_of(thin(hits, ["record_id"], 4, block, chain), "record_id", "row") == sorted(want, key=repr)
+    assert rows_of(thin(hits, ["record_id"], 4, (), block, chain), "record_id", "row") == sorted(want, key=repr)
 
 
 def pack_loop(events, gap, span):
