@@ -149,10 +149,15 @@ def changed_during_read(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(late, "path", "left").filter(~F.col("sha256").eqNullSafe(F.col("_after"))).select("path")
 
 
+# Name endings of the side files of a source.
+CONDITION_SUFFIX = "_Work_Condition.csv"
+LABEL_SUFFIX = "_AnomalyLabel.csv"
+
+
 def source_files(telemetry_path: str) -> tuple[str, str, str]:
     """Telemetry, work-condition and label files of a source, by the naming convention of its folder."""
     stem = telemetry_path.removesuffix(".csv")
-    return telemetry_path, f"{stem}_Work_Condition.csv", f"{stem}_AnomalyLabel.csv"
+    return telemetry_path, stem + CONDITION_SUFFIX, stem + LABEL_SUFFIX
 
 
 def write_working_copy(rows: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
