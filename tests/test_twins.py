@@ -11,9 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare, connection  # noqa: E402
+from teleproof.checks import load  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = load()
 
 
 @pytest.fixture(scope="module")
