@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from teleproof.llm.common import table
+from teleproof.llm.language import fit_open, held_out, identify
 from teleproof.llm.packing import pack_texts
+from teleproof.llm.simhash import near_duplicates
 from teleproof.llm.token_files import token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,5 +23,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_token_files": op5_token_files}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, most=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit_open(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language}
 TWINS: dict[str, str] = {}
