@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from teleproof.llm.common import table
 from teleproof.llm.language import fit_open, held_out, identify
 from teleproof.llm.packing import pack_texts
+from teleproof.llm.repeats import remove_repeats
 from teleproof.llm.simhash import near_duplicates
 from teleproof.llm.token_files import token_files
 
@@ -34,5 +35,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op10_repeats": op10_repeats}
 TWINS: dict[str, str] = {}
