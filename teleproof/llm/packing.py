@@ -22,7 +22,6 @@ from teleproof.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 MERGE_GROUP = 1_024
-CLOSED_FROM = 0.97
 
 
 class OpenWindows:
@@ -150,7 +149,8 @@ def merge_leftovers(pieces: DataFrame, size: int, scratch: Scratch) -> DataFrame
         moved = scratch.keep(moved, f"moved-{turn}")
         if groups <= 1:
             return moved
-        left = step.where(F.col("filled") < CLOSED_FROM * size).groupBy(F.col("into").alias("window")).agg(F.max("filled").alias("used"))
+        # Best fit leaves at most one window of a group half full or less, so the rounds shrink by the size of a group.
+        left = step.where(F.col("filled") * 2 <= size).groupBy(F.col("into").alias("window")).agg(F.max("filled").alias("used"))
         turn += 1
 
 
