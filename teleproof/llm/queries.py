@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 from teleproof.llm.common import table
 from teleproof.llm.language import fit_open, held_out, identify
 from teleproof.llm.packing import pack_texts
+from teleproof.llm.pieces import decode_pieces, encode_pieces
 from teleproof.llm.repeats import remove_repeats
 from teleproof.llm.simhash import near_duplicates
 from teleproof.llm.token_files import token_files
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: number and crc32 of its ids, sha256 of what they spell."""
+    both = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), PIECE_BPE), PIECE_BPE)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
@@ -40,5 +48,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op10_repeats": op10_repeats}
+QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op10_repeats": op10_repeats}
 TWINS: dict[str, str] = {}
