@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleproof.llm.common import table
+from teleproof.llm.crosspolytope import near_vectors
 from teleproof.llm.language import fit_open, held_out, identify
 from teleproof.llm.packing import pack_texts
 from teleproof.llm.pieces import decode_pieces, encode_pieces
@@ -28,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -48,5 +53,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op10_repeats": op10_repeats}
+QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op10_repeats": op10_repeats}
 TWINS: dict[str, str] = {}
