@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from teleproof.llm.common import table
 from teleproof.llm.crosspolytope import near_vectors
 from teleproof.llm.language import fit_open, held_out, identify
+from teleproof.llm.neighbours import nearest
 from teleproof.llm.packing import pack_texts
 from teleproof.llm.pieces import decode_pieces, encode_pieces
 from teleproof.llm.repeats import remove_repeats
@@ -48,10 +49,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, most=10)
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op10_repeats": op10_repeats}
+QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats}
 TWINS: dict[str, str] = {}
