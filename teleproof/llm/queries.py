@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from teleproof.llm.common import table
 from teleproof.llm.crosspolytope import near_vectors
+from teleproof.llm.html_text import extract, learn
 from teleproof.llm.language import fit_open, held_out, identify
 from teleproof.llm.neighbours import nearest
 from teleproof.llm.packing import pack_texts
@@ -49,6 +50,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, learn(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, most=10)
 
@@ -58,5 +64,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats}
+QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats}
 TWINS: dict[str, str] = {}
