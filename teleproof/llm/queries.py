@@ -10,12 +10,14 @@ from teleproof.llm.common import table
 from teleproof.llm.crosspolytope import near_vectors
 from teleproof.llm.html_text import extract, learn
 from teleproof.llm.language import fit_open, held_out, identify
+from teleproof.llm.lines import dedup_lines
 from teleproof.llm.neighbours import nearest
 from teleproof.llm.packing import pack_texts
 from teleproof.llm.pieces import decode_pieces, encode_pieces
 from teleproof.llm.repeats import remove_repeats
 from teleproof.llm.simhash import near_duplicates
 from teleproof.llm.token_files import token_files
+from teleproof.llm.twins import LINES
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +37,11 @@ def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=0.8)
+    return found.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -64,5 +71,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats}
-TWINS: dict[str, str] = {}
+QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op4_lines": op4_lines, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats}
+TWINS: dict[str, str] = {"op4_lines": LINES}

@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from teleproof.llm.common import Scratch, components
@@ -183,3 +183,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, crowd: int =
     first = groups.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = scratch.keep(groups.join(first, "component").select("bits", "component_id"), "named")
     return made.join(named, "bits").select("doc_id", "bits", "component_id")
+
+
+def one_per_group(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest ``doc_id``; of rows that share it, the one whose text has the smallest hash.
+
+    Rows without ``doc_id`` cannot be named and stay.
+    """
+    found = near_duplicates(docs, width, most)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.hash(c) for c in docs.columns))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL").select(*docs.columns))
