@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teleproof.llm.common import Scratch, components
-from teleproof.llm.vectors import bounds, classes, matrix, runs, takes_part, usable
+from teleproof.llm.vectors import bounds, by_length, classes, matrix, runs, takes_part, usable
 
 JOINED, CHOICES = 2, 3
 #: Members of a bucket that are compared in one block; fuller buckets are cut into blocks, all pairs of which are compared.
@@ -70,7 +70,7 @@ def links(points: DataFrame, least: float, tables: int, probes: int, seed: int,
     """``cid, n_links, root`` per bucket and member with links: copies of its partners, and the smallest member of its group there."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_length(batches, 2):
             e = matrix(batch.column(2))
             found = codes(e / np.linalg.norm(e, axis=1, keepdims=True), tables, probes, seed)
             n, each = len(e), tables * probes

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return (values.astype(np.float64) if values.dtype.kind == "f" else values).reshape(len(column), -1)
 
 
+def by_length(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose lists in one column are all of one length."""
+    for batch in batches:
+        sizes = np.asarray(pc.list_value_length(batch.column(place)))
+        for size in np.unique(sizes):
+            yield batch if (sizes == size).all() else batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows sorted by ``key``, cut where it changes, as tables of whole runs; holds one batch and the run in progress."""
     rest: pa.Table | None = None
