@@ -20,8 +20,11 @@ SPACES = "\t\x0b\x0c\r"
 
 def words(line: Column) -> Column:
     """The different words of a line, as hashes; words end at spaces, tabs and other ASCII white space."""
-    parts = F.split(F.translate(line, SPACES, " " * len(SPACES)), " ")
-    return F.transform(F.array_distinct(F.array_remove(parts, "")), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.transform(F.array_remove(parts(line), ""), lambda w: F.xxhash64(w)))
+
+
+def parts(line: Column) -> Column:
+    return F.split(F.translate(line, SPACES, " " * len(SPACES)), " ")
 
 
 def bucket(word: Column) -> Column:
@@ -30,8 +33,8 @@ def bucket(word: Column) -> Column:
 
 def rarity(texts: DataFrame) -> Column:
     """For each of 2^16 hash buckets of words its rank by how often its words come in all lines; an array constant of that size."""
-    counted = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(words(F.col("line"))).alias("word"))
-    counted = counted.groupBy(bucket(F.col("word")).alias("bucket")).count().orderBy("count", "bucket").select("bucket")
+    counted = texts.select(F.explode(parts(F.translate("text", "\n", " "))).alias("word")).where("word != ''")
+    counted = counted.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().orderBy("count", "bucket").select("bucket")
     order = [r.bucket for r in counted.collect()]  # at most 2^16 rows
     rank = [0] * (1 << RANK_BITS)
     for k, b in enumerate(order):
@@ -49,7 +52,7 @@ def ordered(line: Column, rank: Column) -> Column:
 def bitmap(numbers: Column) -> Column:
     """64 parities; two sets that differ in d words differ in at most d of them."""
     one = F.lit(1).cast("long")
-    bit = lambda w: F.call_function("shiftleft", one, F.pmod(w, F.lit(64)).cast("int"))
+    bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
 
 
@@ -62,7 +65,7 @@ def meets(later: DataFrame, earlier: DataFrame, least: float) -> DataFrame:
     x, y = later.alias("x"), earlier.alias("y")
     sizes = F.col("x.n") + F.col("y.n")
     overlap = least_overlap(sizes, least)
-    reach = 1 + F.least(F.col("x.n") - F.col("x.p") - 1, F.col("y.n") - F.col("y.p") - 1)
+    reach = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
     fits = (F.col("y.seq") < F.col("x.seq")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - F.lit(1e-9)) & (reach >= overlap)
     fits = fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= sizes - 2 * overlap)
     return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
@@ -97,9 +100,16 @@ def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame
     first = first.select("cid", "copies", "first.*").repartitionByRange("doc_id", "pos", "cid").sortWithinPartitions("doc_id", "pos", "cid")
     # In this order the number is larger for a later line; it stands for the line from here on.
     classes = scratch.keep(first.withColumn("seq", F.monotonically_increasing_id()), "classes")
+    line = scratch.keep(line.select("doc_id", "d1", "d2", "pos", "cid"), "places")
+    scratch.free("lines")
     postings = classes.select("seq", "n", "bits", F.posexplode("rare").alias("p", "word"))
-    earliest = postings.groupBy("word").agg(F.min(F.struct("seq", "n", "bits", "p")).alias("e"), F.count("*").alias("m")).where("m > 1").select("word", "e.*")
+    earliest = postings.groupBy("word").agg(F.min("seq").alias("seq"), F.count("*").alias("m")).where("m > 1").select("word", "seq")
+    earliest = scratch.keep(earliest, "earliest")
+    scratch.free()
+    # The place of the word in the earliest line is left open, which only weakens the filter.
+    earliest = earliest.join(classes.select("seq", "n", "bits"), "seq").withColumn("p", F.lit(0))
     pairs = scratch.keep(meets(postings, earliest, least), "pairs-first")
+    scratch.free("earliest")
     done = scratch.keep(matched(pairs, classes, texts, rank, least, scratch, "first"), "done")
     scratch.free("pairs-first", "sets-first")
     open_ = classes.join(done, "seq", "left_anti").select("seq", "n", "bits", F.posexplode("rare").alias("p", "word"))
@@ -111,7 +121,7 @@ def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame
     same = F.struct("doc_id", "pos", "d1", "d2").eqNullSafe(F.col("kept"))
     removed = line.join(judged, "cid").where(F.col("similar") | ~same).groupBy("d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     removed = scratch.keep(removed, "removed")
-    scratch.free("lines", "classes", "pairs-rest", "sets-rest", "done", "judged")
+    scratch.free("places", "classes", "pairs-rest", "sets-rest", "done", "judged")
     return removed
 
 
