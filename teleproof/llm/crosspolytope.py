@@ -34,12 +34,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def codes(unit: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
-    """Bucket numbers ``[row, table, probe]``, the likeliest first."""
+    """Bucket numbers ``[row, table, probe]``, the likeliest first; -1 where short vectors have fewer buckets than probes."""
     width = 1 << max(1, (unit.shape[1] - 1).bit_length())
     padded = np.zeros((len(unit), width))
     padded[:, : unit.shape[1]] = unit
     rng = np.random.default_rng(seed)
-    out = np.zeros((len(unit), tables, probes), np.int64)
+    out = np.full((len(unit), tables, probes), -1, np.int64)
     for table in range(tables):
         cost = np.zeros((len(unit), 1))
         code = np.zeros((len(unit), 1), np.int64)
@@ -55,14 +55,14 @@ def codes(unit: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
             cost = (cost[:, :, None] + lost[:, None, :]).reshape(len(unit), -1)
             code = (code[:, :, None] * (2 * width) + number[:, None, :]).reshape(len(unit), -1)
         order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        out[:, table] = np.take_along_axis(code, order, 1)
+        out[:, table, : order.shape[1]] = np.take_along_axis(code, order, 1)
     return out
 
 
 def first_meeting(a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
     """Which pairs of rows with bucket numbers ``a`` and ``b`` meet in no earlier table and in no smaller bucket of this one."""
-    early = (a[:, :table, :, None] == b[:, :table, None, :]).any(axis=(1, 2, 3))
-    here = (a[:, table, :, None] == b[:, table, None, :]).any(axis=2)
+    early = ((a[:, :table, :, None] == b[:, :table, None, :]) & (a[:, :table, :, None] >= 0)).any(axis=(1, 2, 3))
+    here = ((a[:, table, :, None] == b[:, table, None, :]) & (a[:, table, :, None] >= 0)).any(axis=2)
     return ~early & (np.where(here, a[:, table], np.iinfo(np.int64).max).min(axis=1) == bucket)
 
 
@@ -74,11 +74,12 @@ def links(points: DataFrame, least: float, tables: int, probes: int, seed: int,
             e = matrix(batch.column(2))
             found = codes(e / np.linalg.norm(e, axis=1, keepdims=True), tables, probes, seed)
             n, each = len(e), tables * probes
-            row = np.repeat(np.arange(n), each)
-            table = np.tile(np.repeat(np.arange(tables), probes), n)
+            real = found.ravel() >= 0
+            row = np.repeat(np.arange(n), each)[real]
+            table = np.tile(np.repeat(np.arange(tables), probes), n)[real]
             flat = pa.array(found.reshape(n, -1).astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(pa.array(row)) for c in batch.columns[:2]), pa.array(table.astype(np.int32)), pa.array(found.ravel().astype(np.int32)),
+                [*(c.take(pa.array(row)) for c in batch.columns[:2]), pa.array(table.astype(np.int32)), pa.array(found.ravel()[real].astype(np.int32)),
                  batch.column(2).take(pa.array(row)), flat.take(pa.array(row))],
                 ["cid", "copies", "tab", "bucket", "e", "codes"],
             )

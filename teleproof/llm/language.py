@@ -41,7 +41,7 @@ def counts(text: str | None) -> np.ndarray | None:
     keep = isletter.copy()
     keep[1:] |= isletter[:-1]  # one space after each word, none for further signs
     letters = np.where(isletter, points, 32)[keep].astype(np.uint32)
-    letters = np.concatenate([[32], letters, [32]]).astype(np.uint32)
+    letters = np.concatenate([[32], letters, [32] * int(letters[-1] != 32)]).astype(np.uint32)
     total = np.zeros(FEATURES, np.int64)
     for k in range(0, len(letters), STEP):
         c = letters[k : k + STEP + 2]

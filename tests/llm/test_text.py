@@ -126,8 +126,8 @@ def test_neighbours_edges(spark):
 
 def test_pipeline(spark, sf, documents):
     """Each stage against brute force on what the one before kept."""
-    from test_duplicates import joined, removed, similar_lines, slow_fingerprint
-    from test_tokens import held
+    from llm.test_duplicates import joined, removed, similar_lines, slow_fingerprint
+    from llm.test_tokens import held
 
     import corpus_pipeline
 
