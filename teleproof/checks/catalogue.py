@@ -161,12 +161,15 @@ def source_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @check("structural_duplicates", """
-WITH m AS (SELECT l_orderkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS members FROM lineitem GROUP BY 1)
-SELECT sha256(concat_ws('|', o_orderstatus, o_orderpriority, members)) AS signature, o_orderstatus, o_orderpriority, members, CAST(count(*) AS BIGINT) AS n
-FROM orders JOIN m ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""")
+WITH m AS (SELECT l_orderkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS m,
+    string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS c FROM lineitem GROUP BY 1),
+  s AS (SELECT o_orderstatus, o_orderpriority, coalesce(m, '') AS members, coalesce(c, '') AS checks FROM orders LEFT JOIN m ON l_orderkey = o_orderkey)
+SELECT sha256(concat_ws('|', o_orderstatus, o_orderpriority, members, checks)) AS signature, o_orderstatus, o_orderpriority, members, checks,
+  CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1""")
 def structural_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    return C.structural_duplicates(table(spark, sf, "orders"), lines, "o_orderkey", ["o_orderstatus", "o_orderpriority"], "l_linenumber")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag")
+    kind = ["o_orderstatus", "o_orderpriority"]
+    return C.structural_duplicates(table(spark, sf, "orders"), lines, "o_orderkey", kind, "l_linenumber", lines, "l_returnflag")
 
 
 @check("unique_match", """
@@ -214,13 +217,15 @@ def version_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @check("changed_only_in", """
-SELECT o_orderkey, o_orderstatus <> 'P' AS allowed FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '4-NOT SPECIFIED'""")
+SELECT o_orderkey, o_orderstatus <> 'P' AND o_totalprice <= 200000 AS allowed FROM orders
+WHERE o_orderstatus = 'P' OR o_orderpriority = '4-NOT SPECIFIED' OR o_totalprice > 200000""")
 def changed_only_in(spark: SparkSession, sf: str) -> DataFrame:
-    """A later version renames one priority everywhere (allowed) and changes the customer of pending orders (not allowed)."""
-    before = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    """A later version renames one priority everywhere (allowed), changes the customer of pending orders and lacks dear ones (not allowed)."""
+    before = table(spark, sf, "orders")
     renamed = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "4-NONE").otherwise(F.col("o_orderpriority"))
     moved = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
-    return R.changed_only_in(before, before.withColumns({"o_orderpriority": renamed, "o_custkey": moved}), "o_orderkey", "o_orderpriority")
+    after = before.withColumns({"o_orderpriority": renamed, "o_custkey": moved}).filter(F.col("o_totalprice") <= 200_000)
+    return R.changed_only_in(before, after, "o_orderkey", "o_orderpriority")
 
 
 @check("contract_violations", """
@@ -346,11 +351,11 @@ def private_token_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", R.built_in_leaks(F.col("text")).alias("leaks"))
 
 
-@check("style_screen", r"""
-WITH s AS (SELECT doc_id, text, source, len(list_filter(regexp_split_to_array(text, '[。！？；;]'), lambda x: regexp_matches(x, '\S'))) AS n FROM documents)
-SELECT doc_id, 'too_long' AS rule FROM s WHERE length(text) > 90 OR length(source) > 30
+@check("style_screen", rf"""
+WITH s AS (SELECT doc_id, text, source, len(list_filter(regexp_split_to_array(text, '{R.SENTENCE_ENDS}'), lambda x: regexp_matches(x, '\S'))) AS n FROM documents)
+SELECT doc_id, 'too_long' AS rule FROM s WHERE length(text) > {R.PROMPT_CHARS} OR length(source) > {R.TITLE_CHARS}
 UNION ALL SELECT doc_id, 'scaffolding' FROM s WHERE regexp_matches(source || ' ' || text,
-  '(?i)\b[UIP]_[A-Za-z0-9_]+|load[123]_phase|需|结合|重点|分别|并说明|请说明|避免|而非|不得|电阻|分流器|功率平衡|各自.*阶段|相同.*阶段|对应.*阶段')
+  '{R.SCAFFOLDING}')
 UNION ALL SELECT doc_id, 'not_one_sentence' FROM s WHERE n <> 1""")
 def style_screen(spark: SparkSession, sf: str) -> DataFrame:
     return R.style_errors(table(spark, sf, "documents"), "doc_id", "source", "text")

@@ -105,6 +105,29 @@ def query_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@check("query_batch_rows", f"""
+WITH {LI}, n AS (SELECT record_id FROM li GROUP BY 1 HAVING count(*) >= 600)
+SELECT record_id, 'q00' AS query, r AS "row", t AS time_s, 'l_quantity' AS channel, l_quantity AS reading FROM li JOIN n USING (record_id) WHERE r < 512""")
+def query_batch_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows behind the read queries of the batch: one page of each window that lies in its record."""
+    rows = line_rows(spark, sf)
+    found = Q.query_rows(rows, batch(rows), LINE_CHANNELS)
+    return found.select(RECORD, F.substring_index("query_id", "|", -1).alias("query"), "row", "time_s", "channel", "reading")
+
+
+@check("query_batch_bins", f"""
+WITH {LI} SELECT record_id, 'q01' AS query, ((r + 1) * 16 - 1) // 100 AS bin, min(r) AS bin_start, max(r) + 1 AS bin_stop, CAST(count(*) AS BIGINT) AS n_rows,
+  'l_tax' AS channel, min(l_tax) AS lowest, max(l_tax) AS highest, {q6('avg(l_tax)')} AS mean FROM li WHERE r < 100 GROUP BY 1, 3""")
+def query_batch_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The bins behind the profile queries of the batch."""
+    rows = line_rows(spark, sf)
+    found = Q.query_bins(rows, batch(rows), LINE_CHANNELS)
+    return found.select(
+        RECORD, F.substring_index("query_id", "|", -1).alias("query"), "bin", "bin_start", "bin_stop", "n_rows", "channel",
+        F.col("min").alias("lowest"), F.col("max").alias("highest"), r6("mean").alias("mean"),
+    )
+
+
 # ---------------------------------------------------------------- facts and claims
 
 REGIONS = [("early", 100, 250), ("late", 250, 400)]

@@ -160,7 +160,7 @@ def package_unavailable(spark: SparkSession, sf: str) -> DataFrame:
 
 @check("recompute_facts", f"""WITH RECURSIVE {PACKAGES}
 SELECT record_id, a AS group_start, b AS group_stop, channel, fact, {q6('v')} AS recomputed, true AS agrees
-FROM facts WHERE ok AND fact NOT IN ('delta', 'duplicate_count')""")
+FROM facts WHERE ok""")
 def recompute_facts(spark: SparkSession, sf: str) -> DataFrame:
     rows, packs = events(spark, sf), packages(spark, sf)
     stored = written(P.package_measures(rows, packs, ["value", "k"]), "facts")

@@ -43,8 +43,7 @@ LI = """li AS (SELECT l_suppkey AS record_id, row_number() OVER (PARTITION BY l_
 ORD = """od AS (SELECT o_custkey AS record_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r,
   o_orderkey, epoch_us(o_orderdate) / 1e6 AS t, o_totalprice, o_orderstatus FROM orders)"""
 EM = """em AS (SELECT CAST(label AS BIGINT) AS record_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r,
-  CAST(vec_id AS DOUBLE) AS t, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
-  CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3 FROM embeddings)"""
+  CAST(vec_id AS DOUBLE) AS t, """ + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(64)) + " FROM embeddings)"
 # Whole record and two fixed windows of lineitem.
 LI_WINDOWS = """w AS (SELECT record_id, CAST(0 AS BIGINT) AS a, max(r) + 1 AS b FROM li GROUP BY 1
   UNION ALL SELECT DISTINCT record_id, 0, 200 FROM li UNION ALL SELECT DISTINCT record_id, 200, 400 FROM li)"""

@@ -59,7 +59,7 @@ def row_numbering(spark: SparkSession, sf: str) -> DataFrame:
 @check("parse_null_tokens", """
 WITH tok AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'NA' WHEN 'signup' THEN ''
     WHEN 'view' THEN concat(' ', json_extract_string(props, '$.k'), ' ')
-    WHEN 'purchase' THEN concat(json_extract_string(props, '$.k'), 'x') ELSE json_extract_string(props, '$.k') END AS raw
+    WHEN 'purchase' THEN concat(json_extract_string(props, '$.k'), CASE WHEN value > 50 THEN 'd' WHEN value > 25 THEN 'f' ELSE 'x' END) ELSE json_extract_string(props, '$.k') END AS raw
   FROM events), c AS (SELECT event_id, trim(raw) AS x FROM tok)
 SELECT event_id, CASE WHEN x IN ('', 'NA', 'NaN', 'nan', 'null') THEN NULL ELSE TRY_CAST(x AS DOUBLE) END AS reading,
   CASE WHEN x IN ('', 'NA', 'NaN', 'nan', 'null') THEN 'missing' WHEN TRY_CAST(x AS DOUBLE) IS NULL THEN 'not_a_number'
@@ -70,7 +70,7 @@ def parse_null_tokens(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "NA")
         .when(F.col("event_type") == "signup", "")
         .when(F.col("event_type") == "view", F.concat(F.lit(" "), k, F.lit(" ")))
-        .when(F.col("event_type") == "purchase", F.concat(k, F.lit("x")))
+        .when(F.col("event_type") == "purchase", F.concat(k, F.when(F.col("value") > 50, "d").when(F.col("value") > 25, "f").otherwise("x")))
         .otherwise(k)
     )
     return table(spark, sf, "events").select(
@@ -508,18 +508,21 @@ def profile_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _profile(line_rows(spark, sf), 16, LINE_CHANNELS)
 
 
-@check("profile_bins_embeddings", _profile_sql(EM, "em", 8, ["e0", "e1", "e2", "e3"]))
+COMPONENTS = [f"e{k}" for k in range(64)]
+
+
+@check("profile_bins_embeddings", _profile_sql(EM, "em", 8, COMPONENTS))
 def profile_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    return _profile(embedding_rows(spark, sf), 8, ["e0", "e1", "e2", "e3"])
+    return _profile(embedding_rows(spark, sf), 8, COMPONENTS)
 
 
 @check("longest_zero_run", f"""
 WITH {LI}, z AS (SELECT record_id, r, t, r - row_number() OVER (PARTITION BY record_id ORDER BY r) AS g FROM li WHERE l_tax = 0),
-  runs AS (SELECT record_id, min(r) AS a, max(r) + 1 AS b FROM z GROUP BY record_id, g),
-  k AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY b - a DESC, a) AS n FROM runs),
-  f AS (SELECT record_id, t AS t0 FROM li WHERE r = 0)
-SELECT f.record_id, coalesce(b - a, 0) AS value, a AS run_start, b AS run_stop, s.t - t0 AS run_start_offset_s
-FROM f LEFT JOIN k ON k.record_id = f.record_id AND n = 1 LEFT JOIN li s ON s.record_id = k.record_id AND s.r = k.a""")
+  runs AS (SELECT record_id, min(r) AS a, max(r) + 1 AS b, arg_min(t, r) AS ta FROM z GROUP BY record_id, g),
+  k AS (SELECT record_id, arg_max(struct_pack(a, b, ta), (b - a) * 1000000000 - a) AS x FROM runs GROUP BY 1),
+  f AS (SELECT record_id, arg_min(t, r) AS t0 FROM li GROUP BY 1)
+SELECT f.record_id, coalesce(x.b - x.a, 0) AS value, x.a AS run_start, x.b AS run_stop, x.ta - t0 AS run_start_offset_s
+FROM f LEFT JOIN k USING (record_id)""")
 def longest_zero_run(spark: SparkSession, sf: str) -> DataFrame:
     rows = line_rows(spark, sf)
     asked = whole_windows(rows).withColumns({"query_id": F.col(RECORD), "channels": F.array(F.lit("l_tax"))})

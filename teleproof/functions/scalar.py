@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ METRIC_UNITS = {
 PRIVATE_TOKENS = ["expected_verdict", "expected_value", "source_hashes", "telemetry_path", "anomalylabel"]
 # Identifier format.
 IDENTIFIER = "^[A-Za-z][A-Za-z0-9_-]{0,79}$"
+# What a number looks like.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
 # Strptime directives and the matching Spark datetime letters.
 TIME_DIRECTIVES = {
     "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS",
@@ -34,10 +38,19 @@ QUALITY_METRICS = list(METRIC_UNITS)
 
 
 def spark_pattern(directives: str) -> str:
-    """Datetime pattern of a strptime format; a configuration value, translated once."""
-    for directive, letters in TIME_DIRECTIVES.items():
-        directives = directives.replace(directive, letters)
-    return directives.replace("T", "'T'") if "'" not in directives else directives
+    """Datetime pattern of a strptime format; a configuration value, translated once. Other letters stand for themselves."""
+
+    def translated(part: re.Match) -> str:
+        text = part[0]
+        if text.startswith("%"):
+            if text == "%%":
+                return "%"
+            if text not in TIME_DIRECTIVES:
+                raise ValueError(f"unknown time directive {text}")
+            return TIME_DIRECTIVES[text]
+        return "''" if text == "'" else f"'{text}'"
+
+    return re.sub(r"%.|[A-Za-z]+|'", translated, directives)
 
 
 def ntz_seconds(ts: Column) -> Column:
@@ -53,7 +66,7 @@ def ntz_seconds(ts: Column) -> Column:
 def parse_time(text: Column, kind: str = "datetime", pattern: str | None = None) -> Column:
     """Text to seconds: plain numbers, ISO text (a zone counts, none means a local axis), or a given pattern."""
     if kind == "seconds":
-        seconds = F.trim(text).try_cast("double")
+        seconds = written_number(F.trim(text))
         return F.when(is_finite(seconds), seconds)
     if pattern:
         zoned = "%z" in pattern
@@ -71,16 +84,21 @@ def is_finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
 
 
+def written_number(text: Column) -> Column:
+    """Text in decimal notation, or a written infinity, as a double; type suffixes and hexadecimal forms are no numbers."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def parse_number(token: Column) -> Column:
     """Null token or unreadable text to null; see ``number_status`` for which of the two it was."""
     clean = F.trim(token)
-    number = clean.try_cast("double")
+    number = written_number(clean)
     return F.when(~clean.isin(NULL_TOKENS) & is_finite(number), number)
 
 
 def number_status(token: Column) -> Column:
     clean = F.trim(token)
-    number = clean.try_cast("double")
+    number = written_number(clean)
     return (
         F.when(clean.isin(NULL_TOKENS), "missing")
         .when(number.isNull(), "not_a_number")
@@ -114,8 +132,9 @@ def unit_of(channel: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Case-insensitive form; sharp s counts as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: sharp s counts as ss, ligatures as their letters, and a final sigma as any other."""
+    # The optimizer takes lower(upper(x)) for lower(x), so the sigma is handled between the two.
+    return F.lower(F.translate(F.upper(text), "Σ", "σ"))
 
 
 def extension_of(path: Column) -> Column:

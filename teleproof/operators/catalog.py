@@ -115,17 +115,23 @@ def is_identifier(value: Column) -> Column:
     return value.rlike(IDENTIFIER)
 
 
-def structural_duplicates(tasks: DataFrame, members: DataFrame, task: str, kind: Sequence[str], member: str) -> DataFrame:
-    """Tasks of one kind over the same set of members; wording does not make a task new.
+def structural_duplicates(
+    tasks: DataFrame, members: DataFrame, task: str, kind: Sequence[str], member: str, checks: DataFrame | None = None, check: str | None = None
+) -> DataFrame:
+    """Tasks of one kind over the same sets of members and of checks; wording does not make a task new, nor does having none of them.
 
-    ``member`` values are distinct per task before they meet, so the gathered set is as small as the set of members.
+    Values are distinct per task before they meet, so a gathered set is as small as the set of members.
     """
-    sets = members.select(task, member).distinct().groupBy(task).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ",").alias("members")
-    )
-    signature = F.sha2(F.concat_ws("|", *kind, "members"), 256)
-    signed = tasks.join(sets, task).withColumn("signature", signature)
-    return signed.groupBy("signature", *kind, "members").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    signed, lists = tasks, []
+    for frame, value, name in ((members, member, "members"), (checks, check, "checks")):
+        if frame is not None:
+            sets = frame.select(task, value).distinct().groupBy(task).agg(
+                F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), ",").alias(name)
+            )
+            signed = signed.join(sets, task, "left").withColumn(name, F.coalesce(name, F.lit("")))
+            lists.append(name)
+    signed = signed.withColumn("signature", F.sha2(F.concat_ws("|", *kind, *lists), 256))
+    return signed.groupBy("signature", *kind, *lists).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
 def case_gates(cases: DataFrame, facts: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:

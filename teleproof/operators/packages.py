@@ -143,7 +143,10 @@ def case_budget(groups: DataFrame, limit: int) -> DataFrame:
 
 
 def recompute(rows: DataFrame, packages: DataFrame, facts: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Stored means and extremes against the window statistics of a second reading."""
+    """Every stored fact against a second reading of the rows; a fact that the second reading does not yield disagrees.
+
+    Means and extremes come from window statistics, the delta from the two means, the count of repeated times from the distinct times.
+    """
     side = F.explode(F.array(
         F.struct(F.lit("mean_context").alias("fact"), F.col("context_start").alias("start_row"), F.col("context_stop").alias("stop_row")),
         F.struct(F.lit("min").alias("fact"), F.col("context_start").alias("start_row"), F.col("context_stop").alias("stop_row")),
@@ -153,11 +156,21 @@ def recompute(rows: DataFrame, packages: DataFrame, facts: DataFrame, channels:
     ))
     bounds = packages.select("package_id", RECORD, side.alias("_q")).select("package_id", RECORD, "_q.*")
     stats = window_stats(rows, bounds, channels)
-    fresh = F.when(F.col("fact") == "min", F.col("min")).when(F.col("fact") == "max", F.col("max")).otherwise(F.col("mean"))
+    value = F.when(F.col("fact") == "min", F.col("min")).when(F.col("fact") == "max", F.col("max")).otherwise(F.col("mean"))
+    keys = ["package_id", RECORD, "channel"]
+    fresh = bounds.join(stats, WINDOW).filter(F.col("n_values") == F.col("n_rows")).select(*keys, "fact", value.alias("recomputed"))
+    side_of = lambda name: F.max(F.when(F.col("fact") == name, F.col("recomputed")))
+    delta = fresh.groupBy(*keys).agg((side_of("mean_after") - side_of("mean_before")).alias("recomputed"))
+    spans = packages.withColumnsRenamed({"context_start": "start_row", "context_stop": "stop_row"})
+    times = rows_in_windows(rows.select(RECORD, "row", "time_s"), spans.select("package_id", *WINDOW))
+    per_time = times.groupBy("package_id", RECORD, "time_s").agg((F.count(F.lit(1)) - 1).alias("_extra"))
+    repeats = per_time.groupBy("package_id", RECORD).agg(F.sum("_extra").cast("double").alias("recomputed"))
+    fresh = fresh.unionByName(delta.select(*keys, F.lit("delta").alias("fact"), "recomputed")).unionByName(
+        repeats.select("package_id", RECORD, F.lit(None).cast("string").alias("channel"), F.lit("duplicate_count").alias("fact"), "recomputed")
+    )
+    fresh = fresh.withColumn("_channel", F.coalesce("channel", F.lit(""))).drop("channel")
+    stored = facts.filter(F.col("status") == "ok").withColumn("_channel", F.coalesce("channel", F.lit("")))
     return (
-        facts.filter(F.col("status") == "ok")
-        .join(bounds, ["package_id", RECORD, "fact"])
-        .join(stats, [*WINDOW, "channel"])
-        .withColumn("recomputed", fresh)
-        .withColumn("agrees", close_to(F.col("value"), F.col("recomputed"), 1e-8, 1e-8))
+        stored.join(fresh, ["package_id", RECORD, "_channel", "fact"], "left").drop("_channel")
+        .withColumn("agrees", F.col("recomputed").isNotNull() & close_to(F.col("value"), F.col("recomputed"), 1e-8, 1e-8))
     )

@@ -19,6 +19,8 @@ from teleproof.operators.windows import (
     first_sustained,
     longest_zero_run,
     page_bounds,
+    paged_read,
+    profile_bins,
     stat_queries,
 )
 from teleproof.sources.workspace import written
@@ -103,11 +105,33 @@ def gate(queries: DataFrame, rows: DataFrame, channels: Sequence[str]) -> DataFr
     )
 
 
+def accepted(rows: DataFrame, queries: DataFrame, channels: Sequence[str], op: str) -> DataFrame:
+    """The queries of one operation that pass the gate."""
+    return gate(queries.filter(F.col("op") == op), rows, channels).filter(F.col("status") == "ok").drop("status", "channel")
+
+
+def query_rows(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """The rows that accepted ``read`` queries ask for, page by page: ``query_id, record_id, row, time_s, channel, reading``.
+
+    A query yields its first page; ``next_start_row`` of ``run_queries`` is where the next query goes on.
+    """
+    held = paged_read(rows, accepted(rows, queries, channels, "read"), channels)
+    long = held.unpivot(["query_id", RECORD, "row", "time_s", "channels"], list(channels), "channel", "reading")
+    return long.filter(F.array_contains("channels", F.col("channel"))).drop("channels")
+
+
+def query_bins(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """The bins that accepted ``profile`` queries ask for, as ``profile_bins`` gives them, for the channels of each query."""
+    asked = accepted(rows, queries, channels, "profile")
+    found = profile_bins(rows, asked, channels).join(asked.select("query_id", "channels"), "query_id")
+    return found.filter(F.array_contains("channels", F.col("channel"))).drop("channels")
+
+
 def run_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Answer every query: ``query_id, record_id, op, status, value, detail_start, detail_stop, next_start_row``.
 
     ``value`` is the statistic, metric, onset seconds or run length; for ``read`` and ``profile`` it counts
-    the rows and bins, whose contents come from ``paged_read`` and ``profile_bins``. The details are the source
+    the rows and bins, whose contents come from ``query_rows`` and ``query_bins``. The details are the source
     row range, or the onset row and run range. Statistics and metrics are computed once per distinct window.
     """
     gated = written(gate(queries, rows, channels), "queries")

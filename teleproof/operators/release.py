@@ -119,15 +119,15 @@ def overlay(base: DataFrame, replacement: DataFrame, key: str, value: str) -> Da
 
 
 def changed_only_in(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFrame:
-    """Changed rows, and whether ``column`` alone changed."""
+    """Changed rows, and whether ``column`` alone changed; a key that only one version has is a change that is not allowed."""
     rest = [c for c in before.columns if c not in (key, column)]
 
     def sign(df: DataFrame, tag: str) -> DataFrame:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rest]
-        return df.select(key, F.col(column).alias(f"_{tag}"), F.sha2(F.concat_ws("\u001f", *parts), 256).alias(f"_{tag}_rest"))
+        return df.select(key, F.lit(True).alias(f"_in_{tag}"), F.col(column).alias(f"_{tag}"), F.sha2(F.concat_ws("\u001f", *parts), 256).alias(f"_{tag}_rest"))
 
-    both = sign(before, "old").join(sign(after, "new"), key)
-    same_rest = F.col("_old_rest") == F.col("_new_rest")
+    both = sign(before, "old").join(sign(after, "new"), key, "full_outer")
+    same_rest = F.coalesce(F.col("_in_old") & F.col("_in_new") & (F.col("_old_rest") == F.col("_new_rest")), F.lit(False))
     same = F.col("_old").eqNullSafe(F.col("_new"))
     return both.filter(~same | ~same_rest).select(key, same_rest.alias("allowed"))
 

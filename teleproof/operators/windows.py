@@ -36,9 +36,11 @@ def rows_in_windows(rows: DataFrame, windows: DataFrame, size: int | None = None
     inside = (F.col("row") >= F.col("start_row")) & (F.col("row") < F.col("stop_row"))
     if fits(rows, size):
         return rows.join(windows, [RECORD]).filter(inside)
-    spread = windows.withColumn(
-        "_bucket", F.explode(F.sequence(block_of("start_row", size), F.expr(f"(stop_row - 1) div {size}")))
-    )
+    # A window reaches no farther than its record, however large a stop it asks for.
+    clipped = windows.join(extents(rows), RECORD).withColumns({
+        "_lo": F.greatest("start_row", "first_row"), "_hi": F.least("stop_row", "end_row") - 1,
+    }).filter(F.col("_lo") <= F.col("_hi"))
+    spread = clipped.withColumn("_bucket", F.explode(F.sequence(block_of("_lo", size), block_of("_hi", size)))).select(*windows.columns, "_bucket")
     return rows.withColumn("_bucket", block_of("row", size)).join(spread, [RECORD, "_bucket"]).filter(inside).drop("_bucket")
 
 
@@ -93,7 +95,9 @@ def _block_stats(rows: DataFrame, windows: DataFrame, channels: Sequence[str], s
     summaries = (
         rows.withColumn("_bucket", block_of("row", size)).groupBy(RECORD, "_bucket").agg(*[a.alias(n) for a, n in parts])
     )
-    covered = windows.filter(first < last).withColumn("_bucket", F.explode(F.sequence(first, last - 1)))
+    covered = windows.join(extents(rows), RECORD).withColumns({
+        "_lo": F.greatest(first, F.expr(f"first_row div {size}")), "_hi": F.least(last, F.ceil(F.col("end_row") / size)),
+    }).filter(F.col("_lo") < F.col("_hi")).withColumn("_bucket", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
     whole = summaries.join(covered, [RECORD, "_bucket"]).select(*WINDOW, *names)
     bounds = F.array(
         F.struct(F.col("start_row").alias("lo"), F.least(first * size, F.col("stop_row")).alias("hi")),
@@ -273,6 +277,7 @@ def first_sustained(rows: DataFrame, queries: DataFrame, channels: Sequence[str]
     held = rows_in_windows(base, queries.filter(valid_window())).withColumn("_v", reading_of(F.col("channel"), channels))
     gate = held.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("_n"),
+        F.count("_v").alias("_present"),
         F.min(F.when(inner_pair(), F.col("time_s") - F.col("prev_time"))).alias("_step"),
         F.min_by("time_s", "row").alias("_t0"),
     )
@@ -287,6 +292,7 @@ def first_sustained(rows: DataFrame, queries: DataFrame, channels: Sequence[str]
         F.when(~valid_window(), "invalid_window")
         .when(F.col("_n").isNull() | (F.col("_n") < F.col("stop_row") - F.col("start_row")), "outside_record")
         .when(F.lit(strict_time) & (F.col("_step") <= 0), "time_not_strictly_increasing")
+        .when(F.col("_present") < F.col("_n"), "missing_values")
         .otherwise("ok")
     )
     ok = F.col("status") == "ok"
@@ -310,7 +316,10 @@ def longest_zero_run(rows: DataFrame, queries: DataFrame, channels: Sequence[str
     zero = reduce(
         lambda a, b: a & b, [~F.array_contains("channels", c) | F.coalesce(F.col(c) == 0, F.lit(False)) for c in channels]
     )
-    span = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by("time_s", "row").alias("_t0"))
+    absent = reduce(lambda a, b: a | b, [F.array_contains("channels", c) & F.col(c).isNull() for c in channels])
+    span = held.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(absent).alias("_absent"), F.min_by("time_s", "row").alias("_t0")
+    )
     best = (
         mask_runs(held.filter(zero), ["query_id"], carry=["time_s"])
         .groupBy("query_id")
@@ -324,6 +333,7 @@ def longest_zero_run(rows: DataFrame, queries: DataFrame, channels: Sequence[str
     status = (
         F.when(~valid_window(), "invalid_window")
         .when(F.col("_n").isNull() | (F.col("_n") < F.col("stop_row") - F.col("start_row")), "outside_record")
+        .when(F.col("_absent") > 0, "missing_values")
         .otherwise("ok")
     )
     ok = F.col("status") == "ok"
@@ -332,8 +342,8 @@ def longest_zero_run(rows: DataFrame, queries: DataFrame, channels: Sequence[str
         queries.join(span, "query_id", "left").join(best, "query_id", "left").withColumn("status", status)
         .select(
             *queries.columns, "status", F.when(ok, length).alias("value"),
-            F.col("_run.start_row").alias("run_start"), F.col("_run.stop_row").alias("run_stop"),
-            (F.col("_run.first_time_s") - F.col("_t0")).alias("run_start_offset_s"),
+            F.when(ok, F.col("_run.start_row")).alias("run_start"), F.when(ok, F.col("_run.stop_row")).alias("run_stop"),
+            F.when(ok, F.col("_run.first_time_s") - F.col("_t0")).alias("run_start_offset_s"),
         )
     )
 
@@ -341,14 +351,18 @@ def longest_zero_run(rows: DataFrame, queries: DataFrame, channels: Sequence[str
 def profile_bins(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Contiguous acquisition-row bins of a window: ``query_id, bin, channel`` with ranges and statistics.
 
-    ``queries`` has ``query_id``, window, ``bins``; at most one bin per row.
+    ``queries`` has ``query_id``, window, ``bins``; at most one bin per row. A bin with missing readings has ``n_values < n_rows`` and no statistics.
     """
     held = rows_in_windows(rows.select(RECORD, "row", "time_s", *channels), queries.filter(valid_window()))
     n = F.col("stop_row") - F.col("start_row")
     count = F.least(F.col("bins").cast("bigint"), n)
     bin_no = F.floor(((F.col("row") - F.col("start_row") + 1) * count - 1) / n)
+    whole = lambda c, value: F.when(F.count(c) == F.count(F.lit(1)), value(c))
     stats = [
-        F.struct(F.lit(c).alias("channel"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean")).alias(f"_s{i}")
+        F.struct(
+            F.lit(c).alias("channel"), F.count(c).alias("n_values"),
+            whole(c, F.min).alias("min"), whole(c, F.max).alias("max"), whole(c, F.avg).alias("mean"),
+        ).alias(f"_s{i}")
         for i, c in enumerate(channels)
     ]
     packed = held.groupBy("query_id", RECORD, bin_no.alias("bin")).agg(

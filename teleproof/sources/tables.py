@@ -78,7 +78,7 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return working_copy(source, "order_rows", build)
 
 
-def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
+def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
     """``embeddings``: one record per label, vectors in id order, components as channels."""
     source = table(spark, sf_dir, "embeddings")
 

@@ -6,6 +6,7 @@ executors re-read files instead of recomputing, and readers get column pruning a
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
@@ -41,13 +42,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def working_copy(source: DataFrame, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The ingested form of ``source``, reused while its set of input files stays the same.
+    """The ingested form of ``source``, reused while its input files keep their names, sizes and times of change.
 
     The longest record is measured once; operators use it to skip block handling where records are short.
     """
     spark = source.sparkSession
-    files = tuple(sorted(source.inputFiles()))
-    key = (spark.sparkContext.applicationId, label, files)
+    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    known = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, label, *known)
     if key in _working_copies:
         path, longest = _working_copies[key]
         try:

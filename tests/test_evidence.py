@@ -37,33 +37,50 @@ def test_clean_bundle_passes(bundle):
     assert verdict(bundle) is True
 
 
-def corrupt(bundle, kind):
-    answers, first = bundle["answers"], F.col("fact_id") == "f1"
-    if kind == "wrong_number":
-        return dict(answers=answers.withColumn("value", F.when(first, F.col("value") + 1).otherwise(F.col("value"))))
-    if kind == "fake_citation":
-        return dict(citations=bundle["citations"].withColumn("observation_id", F.lit("O_fake")))
-    if kind == "changed_observation":
-        return dict(observations=bundle["observations"].withColumn("value", F.col("value") + 1))
-    if kind == "wrong_verdict":
-        return dict(verdicts=bundle["verdicts"].withColumn("verdict", F.lit("refuted")))
-    if kind == "missing_measurement":
-        return dict(answers=answers.filter(~first))
-    if kind == "extra_measurement":
-        return dict(answers=answers.unionByName(answers.limit(1).withColumn("fact_id", F.lit("f9"))))
-    if kind == "repeated_measurement":
-        return dict(answers=answers.unionByName(answers.filter(first)))
-    if kind == "uncited":
-        return dict(citations=bundle["citations"].limit(0))
-    return dict(facts=bundle["facts"].withColumn("value", F.col("value") + 1))
-
-
-@pytest.mark.parametrize("kind", [
-    "wrong_number", "fake_citation", "changed_observation", "wrong_verdict", "missing_measurement", "extra_measurement",
-    "repeated_measurement", "uncited", "corrupt_reference",
+# Each rule of an answer, and a bundle that breaks it and nothing else.
+def number_off_the_fact(b):
+    return dict(answers=b["answers"].withColumn("value", F.col("value") * 1.5 + 0.25))
+
+
+def fact_without_number(b):
+    return dict(answers=b["answers"].where("fact_id <> 'f2'"))
+
+
+def number_for_no_fact(b):
+    stray = b["answers"].where("fact_id = 'f2'").withColumn("fact_id", F.lit("not_asked"))
+    return dict(answers=b["answers"].unionByName(stray))
+
+
+def number_given_twice(b):
+    return dict(answers=b["answers"].unionByName(b["answers"].where("fact_id = 'f2'")))
+
+
+def verdict_against_the_claim(b):
+    return dict(verdicts=b["verdicts"].withColumn("verdict", F.lit("insufficient")))
+
+
+def claim_without_source(b):
+    return dict(citations=b["citations"].where("claim_id IS NULL"))
+
+
+def source_never_observed(b):
+    return dict(citations=b["citations"].withColumn("observation_id", F.concat("observation_id", F.lit("0"))))
+
+
+def observation_not_replayed(b):
+    return dict(observations=b["observations"].withColumn("value", -F.col("value")))
+
+
+def fact_not_in_the_rows(b):
+    return dict(facts=b["facts"].withColumn("value", F.col("value") - 2))
+
+
+@pytest.mark.parametrize("broken", [
+    number_off_the_fact, fact_without_number, number_for_no_fact, number_given_twice, verdict_against_the_claim, claim_without_source,
+    source_never_observed, observation_not_replayed, fact_not_in_the_rows,
 ])
-def test_corruption_fails(bundle, kind):
-    assert verdict(bundle, **corrupt(bundle, kind)) is False
+def test_every_rule_rejects(bundle, broken):
+    assert verdict(bundle, **broken(bundle)) is False
 
 
 def test_all_defects_are_rejected(bundle):
