@@ -253,11 +253,23 @@ def task_category(spark: SparkSession, sf: str) -> DataFrame:
 CASES = """src AS (SELECT l_suppkey AS source_id, count(*) AS n_rows FROM lineitem GROUP BY 1),
   ca AS (SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'merged' ELSE 'draft' END AS status,
     CASE WHEN o_orderpriority = '5-LOW' THEN 'stale' ELSE 'fresh' END AS rev, CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_orderkey ELSE o_custkey END AS target,
-    o_orderpriority FROM orders),
+    o_orderpriority, o_totalprice AS price, o_custkey AS owner FROM orders),
   fa AS (SELECT l_orderkey AS case_id, l_linenumber AS fact_id, l_suppkey AS source_id, CAST(l_quantity AS BIGINT) * 10 AS a,
     CAST(l_quantity AS BIGINT) * 10 + l_linenumber * 20 AS b FROM lineitem)"""
 
 
+def statements(price) -> dict:
+    """What a case states about itself, each statement wrong in one range of prices."""
+    unless = lambda low, high, good, bad: F.when(price.between(low, high), F.lit(bad)).otherwise(F.lit(good))
+    return {
+        "reviewer": F.when(price > 300_000, F.lit(" ")).otherwise(F.lit("someone")), "rationale": F.lit("rows read"), "independence": F.lit("other team"),
+        "blocking_issues": F.when(price < 20_000, 1).otherwise(0), "disposition": unless(20_000, 30_000, "core", "shelved"),
+        "leakage_review": unless(30_000, 40_000, "passed", "open"), "record_selection": unless(40_000, 50_000, "first rows", ""),
+        "verification": unless(50_000, 60_000, "passed", "failed"), "report_sha": F.lit("r1"), "report_found_sha": unless(60_000, 70_000, "r1", "r2"),
+        "facts_sha": F.lit("f1"), "checked_facts_sha": unless(70_000, 80_000, "f1", "f0"),
+    }
+
+
 @check("case_record_gates", f"""
 WITH {CASES}, v AS (SELECT case_id, 'rows_out_of_scope' AS rule FROM fa JOIN src USING (source_id) WHERE NOT (a >= 0 AND a < b AND b <= n_rows)
   UNION ALL SELECT case_id, 'duplicate_fact' FROM fa GROUP BY case_id, fact_id HAVING count(*) > 1
@@ -265,7 +277,20 @@ WITH {CASES}, v AS (SELECT case_id, 'rows_out_of_scope' AS rule FROM fa JOIN src
   UNION ALL SELECT case_id, 'assessed_claim_without_evidence' FROM ca WHERE o_orderpriority = '2-HIGH'
   UNION ALL SELECT case_id, 'missing_or_stale_review' FROM ca WHERE status IN ('accepted', 'merged') AND rev = 'stale'
   UNION ALL SELECT case_id, 'merge_needs_other_target' FROM ca WHERE status = 'merged' AND target = case_id
-  UNION ALL SELECT case_id, 'accepted_without_facts' FROM ca WHERE status = 'accepted' AND case_id NOT IN (SELECT case_id FROM fa))
+  UNION ALL SELECT case_id, 'accepted_without_facts' FROM ca WHERE status = 'accepted' AND case_id NOT IN (SELECT case_id FROM fa)
+  UNION ALL SELECT case_id, 'accepted_without_windows' FROM ca WHERE status = 'accepted' AND case_id NOT IN (SELECT case_id FROM fa)
+  UNION ALL SELECT case_id, 'review_provenance_missing' FROM ca WHERE status IN ('accepted', 'merged') AND price > 300000
+  UNION ALL SELECT case_id, 'blocking_issues_open' FROM ca WHERE status = 'accepted' AND price < 20000
+  UNION ALL SELECT case_id, 'disposition_not_released' FROM ca WHERE status = 'accepted' AND price BETWEEN 20000 AND 30000
+  UNION ALL SELECT case_id, 'leakage_review_not_passed' FROM ca WHERE status = 'accepted' AND price BETWEEN 30000 AND 40000
+  UNION ALL SELECT case_id, 'record_selection_missing' FROM ca WHERE status = 'accepted' AND price BETWEEN 40000 AND 50000
+  UNION ALL SELECT case_id, 'verification_not_bound' FROM ca WHERE status = 'accepted' AND price BETWEEN 50000 AND 60000
+  UNION ALL SELECT case_id, 'report_changed' FROM ca WHERE status = 'accepted' AND price BETWEEN 60000 AND 70000
+  UNION ALL SELECT case_id, 'facts_not_as_checked' FROM ca WHERE status = 'accepted' AND price BETWEEN 70000 AND 80000
+  UNION ALL SELECT DISTINCT case_id, 'unverified_fact' FROM fa JOIN ca USING (case_id) WHERE status = 'accepted' AND a = 10
+  UNION ALL SELECT DISTINCT case_id, 'unverified_alignment' FROM fa JOIN ca USING (case_id) WHERE status = 'accepted' AND source_id = owner
+  UNION ALL SELECT DISTINCT case_id, 'artifact_coverage' FROM fa JOIN ca USING (case_id) WHERE o_orderpriority = '4-NOT SPECIFIED'
+  UNION ALL SELECT case_id, 'rows_out_of_scope' FROM (SELECT case_id, source_id, min(a) AS a, max(b) AS b FROM fa GROUP BY 1, 2) JOIN src USING (source_id) WHERE NOT b <= n_rows)
 SELECT case_id, rule, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1, 2""")
 def case_record_gates(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as cases, order lines as facts over suppliers as sources, one claim per order on its first line."""
@@ -278,19 +303,27 @@ def case_record_gates(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("case_id"), status.alias("status"), decision.alias("decision"), content.alias("content_sha"),
         F.when(priority == "5-LOW", F.sha2(F.lit("earlier"), 256)).otherwise(content).alias("reviewed_sha"),
         F.when(priority == "3-MEDIUM", F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("merge_into"),
+        *[said.alias(name) for name, said in statements(F.col("o_totalprice")).items()],
     )
     lines = table(spark, sf, "lineitem")
     start = F.col("l_quantity").cast("bigint") * 10
     facts = lines.select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("fact_id"), F.col("l_suppkey").alias("source_id"),
         start.alias("start_row"), (start + F.col("l_linenumber") * 20).alias("stop_row"),
+        F.when(F.col("l_quantity").cast("bigint") == 1, "open").otherwise("passed").alias("verification_status"),
+    )
+    windows = facts.groupBy("case_id", "source_id").agg(F.min("start_row").alias("start_row"), F.max("stop_row").alias("stop_row"))
+    placed = windows.join(orders.select(F.col("o_orderkey").alias("case_id"), "o_custkey", "o_orderpriority"), "case_id").filter(
+        F.col("o_orderpriority") != "4-NOT SPECIFIED"
     )
+    aligned = F.when(F.col("source_id") == F.col("o_custkey"), "unverified").otherwise("row")
+    artifacts = placed.select("case_id", "source_id", aligned.alias("alignment"))
     claims = orders.select(
         F.col("o_orderkey").alias("case_id"), F.lit("first").alias("claim_id"), F.lit("supported").alias("verdict"),
         F.when(priority != "2-HIGH", F.lit(1)).alias("fact_id"),
     )
     sources = lines.groupBy(F.col("l_suppkey").alias("source_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return C.case_gates(cases, facts, claims, sources)
+    return C.case_gates(cases, facts, claims, sources, artifacts, windows)
 
 
 @check("bundle_gates", """

@@ -134,13 +134,52 @@ def structural_duplicates(
     return signed.groupBy("signature", *kind, *lists).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def case_gates(cases: DataFrame, facts: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+def filled(column: str) -> Column:
+    return F.coalesce(F.length(F.trim(F.col(column).cast("string"))) > 0, F.lit(False))
+
+
+# The review decision each final status needs, and what an accepted case must show.
+DECISIONS = {"accepted": "accept", "merged": "merge", "rejected": "reject"}
+DISPOSITIONS = ["core", "variant"]
+
+
+def acceptance_rules(columns: Sequence[str]) -> dict[str, Column]:
+    """Rules on what a reviewed or accepted case states about itself; each holds for cases that carry its columns.
+
+    ``reviewer, rationale, independence``: who reviewed, why and how; ``blocking_issues``: how many are open; ``disposition``; ``leakage_review``;
+    ``record_selection``; ``verification, report_sha, report_found_sha, facts_sha, checked_facts_sha``: the raw verification, its report as
+    named and as found, and the facts as they are and as they were checked.
+    """
+    accepted, reviewed = F.col("status") == "accepted", F.col("status").isin(list(DECISIONS))
+    needs = {
+        "review_provenance_missing": (["reviewer", "rationale", "independence"], reviewed, lambda c: filled(c[0]) & filled(c[1]) & filled(c[2])),
+        "blocking_issues_open": (["blocking_issues"], accepted, lambda c: F.col(c[0]) == 0),
+        "disposition_not_released": (["disposition"], accepted, lambda c: F.col(c[0]).isin(DISPOSITIONS)),
+        "leakage_review_not_passed": (["leakage_review"], accepted, lambda c: F.col(c[0]) == "passed"),
+        "record_selection_missing": (["record_selection"], accepted, lambda c: filled(c[0])),
+        "verification_not_bound": (["verification", "report_sha"], accepted, lambda c: (F.col(c[0]) == "passed") & filled(c[1])),
+        "report_changed": (["report_sha", "report_found_sha"], accepted, lambda c: F.col(c[0]).eqNullSafe(F.col(c[1]))),
+        "facts_not_as_checked": (["facts_sha", "checked_facts_sha"], accepted, lambda c: F.col(c[0]) == F.col(c[1])),
+    }
+    return {
+        name: ~where | F.coalesce(holds(used), F.lit(False))
+        for name, (used, where, holds) in needs.items() if set(used) <= set(columns)
+    }
+
+
+def case_gates(
+    cases: DataFrame, facts: DataFrame, claims: DataFrame, sources: DataFrame, artifacts: DataFrame | None = None, windows: DataFrame | None = None,
+) -> DataFrame:
     """Violated rules of case records as ``case_id, rule``.
 
-    ``cases``: case_id, status, decision, content_sha, reviewed_sha, merge_into. ``facts``: case_id, fact_id, source_id,
-    start_row, stop_row. ``claims``: case_id, claim_id, verdict, fact_id (null without evidence). ``sources``: source_id, n_rows.
+    ``cases``: case_id, status, decision, content_sha, reviewed_sha, merge_into and the columns of ``acceptance_rules``. ``facts``: case_id,
+    fact_id, source_id, start_row, stop_row and perhaps verification_status. ``claims``: case_id, claim_id, verdict, fact_id (null without
+    evidence). ``sources``: source_id, n_rows. ``artifacts``: case_id, source_id, alignment; they must be the sources of the facts, each
+    once. ``windows``: case_id, source_id, start_row, stop_row.
     """
-    known = facts.join(sources, "source_id", "left")
+    scoped = ["case_id", "source_id", "start_row", "stop_row"]
+    ranges = facts.select(*scoped) if windows is None else facts.select(*scoped).unionByName(windows.select(*scoped))
+    known = ranges.join(sources, "source_id", "left")
     inside = (F.col("start_row") >= 0) & (F.col("start_row") < F.col("stop_row")) & (F.col("stop_row") <= F.col("n_rows"))
     fact_issues = known.select(
         "case_id",
@@ -158,8 +197,7 @@ def case_gates(cases: DataFrame, facts: DataFrame, claims: DataFrame, sources: D
     counts = facts.groupBy("case_id").agg(F.count(F.lit(1)).alias("_facts"))
     assessed = claims.filter(F.col("verdict") != "untested").groupBy("case_id").agg(F.count(F.lit(1)).alias("_assessed"))
     full = cases.join(counts, "case_id", "left").join(assessed, "case_id", "left")
-    # The review decision each final status needs.
-    wanted = F.create_map(*[F.lit(x) for x in ("accepted", "accept", "merged", "merge", "rejected", "reject")])
+    wanted = F.create_map(*[F.lit(x) for pair in DECISIONS.items() for x in pair])
     decided = F.element_at(wanted, F.col("status"))
     status_rules = {
         "missing_or_stale_review": decided.isNull()
@@ -169,7 +207,23 @@ def case_gates(cases: DataFrame, facts: DataFrame, claims: DataFrame, sources: D
         "accepted_without_facts": (F.col("status") != "accepted") | (F.coalesce("_facts", F.lit(0)) > 0),
         "accepted_without_assessed_claim": (F.col("status") != "accepted") | (F.coalesce("_assessed", F.lit(0)) > 0),
     }
-    out = rule_violations(full, "case_id", status_rules)
-    for part in (fact_issues, repeated, invented, bare):
+    accepted = cases.filter(F.col("status") == "accepted").select("case_id")
+    parts = [fact_issues, repeated, invented, bare]
+
+    def broken(df: DataFrame, rule: str) -> None:
+        parts.append(df.select("case_id").distinct().withColumn("rule", F.lit(rule)))
+
+    if "verification_status" in facts.columns:
+        broken(facts.filter(~F.col("verification_status").eqNullSafe(F.lit("passed"))).join(accepted, "case_id", "left_semi"), "unverified_fact")
+    if windows is not None:
+        broken(accepted.join(windows, "case_id", "left_anti"), "accepted_without_windows")
+    if artifacts is not None:
+        held = artifacts.groupBy("case_id", "source_id").agg(F.count(F.lit(1)).alias("_n"))
+        used = facts.select("case_id", "source_id").distinct().withColumn("_used", F.lit(True))
+        uncovered = held.join(used, ["case_id", "source_id"], "full_outer")
+        broken(uncovered.filter(F.col("_n").isNull() | F.col("_used").isNull() | (F.col("_n") > 1)), "artifact_coverage")
+        broken(artifacts.filter(~F.coalesce(F.col("alignment") != "unverified", F.lit(False))).join(accepted, "case_id", "left_semi"), "unverified_alignment")
+    out = rule_violations(full, "case_id", status_rules | acceptance_rules(cases.columns))
+    for part in parts:
         out = out.unionByName(part)
     return out.groupBy("case_id", "rule").agg(F.count(F.lit(1)).alias("n"))

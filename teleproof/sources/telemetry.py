@@ -6,6 +6,7 @@ of the violations table.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -51,7 +52,10 @@ class HeaderError(ValueError):
 def header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a file from its first line only."""
     first = spark.read.text(path).first()
-    return [] if first is None else [c.strip().strip('"') for c in first[0].removeprefix("﻿").split(",")]
+    if first is None:
+        return []
+    names = next(csv.reader([first[0].removeprefix("\ufeff")]))
+    return [c.strip() for c in names]
 
 
 def check_header(found: Sequence[str], declared: Sequence[str]) -> None:
