@@ -102,9 +102,16 @@ def fit(labelled: DataFrame, per_language: int = 1_500, centroids: int = 4, slac
     smallest cosine of a learned text of the same language to its own centroid.
     """
     scratch = Scratch(labelled.sparkSession, "language")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     usable = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    sample = usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).drop("place")
+    # A little more than is asked for, by a bound on the hash that follows from the counts; so no task meets a whole language.
+    share = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    bound = {r["lang"]: (per_language + 6 * per_language**0.5) / r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not bound:
+        return Centroids(np.ones(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), [], np.zeros(0))
+    bounds = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
+    order = Window.partitionBy("lang").orderBy("share", "doc_id", F.xxhash64("text"))
+    near = usable.withColumn("share", share).where(F.col("share") < bounds[F.col("lang")])
+    sample = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).drop("place", "share")
     sample = scratch.keep(sample, "sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
