@@ -325,6 +325,7 @@ def crowded_marks(contexts: DataFrame, length: int, scratch: Scratch) -> DataFra
         whole = parts.groupBy("k1", "k2").agg(
             F.sum("weight").alias("copies"), (F.min(F.struct("b1", "b2")) != F.max(F.struct("b1", "b2"))).alias("mixed")
         ).where("copies > 1")
+        whole = scratch.keep(whole, f"{name}-shared")
         return parts.join(whole, ["k1", "k2"]).select("c1", "c2", "low", "high", "mixed")
 
     blocks = scratch.keep(judged(split_runs(contexts, BLOCK, length), "parts"), "blocks")
@@ -339,12 +340,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     texts = identified(docs)
     found = scratch.keep(occurrences(texts, length, gram), "occurrences")
     twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = scratch.keep(twice, "twice")  # written, so that a join with a hot key can be split
     found = scratch.keep(found.join(twice, "key"), "candidates")
-    scratch.free("occurrences")
+    scratch.free("occurrences", "twice")
     place = F.struct("d1", "d2", "start")
     once = found.groupBy("key", "c1", "c2", "right", "windows").agg(F.count("*").alias("weight"), F.min(place).alias("at"))
     once = scratch.keep(once, "once")
     crowds = once.groupBy("key").agg(F.count("*").alias("n")).select("key", (F.col("n") > crowd).alias("crowded"))
+    crowds = scratch.keep(crowds, "crowds")
     wanted = once.join(crowds, "key").select(
         "at.d1", "at.d2", F.struct("key", "c1", "c2", "weight", "right", "windows", "crowded", F.col("at.start").alias("start")).alias("wanted")
     )
@@ -360,7 +363,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
 
     contexts = texts.join(wanted, ["d1", "d2"]).select("body", "wanted").mapInArrow(cut, CONTEXT)
     contexts = scratch.keep(contexts, "contexts")
-    scratch.free("once")
+    scratch.free("once", "crowds")
     shards = contexts.where("NOT crowded").repartition("key")
     marks = shards.mapInArrow(lambda batches: sort_shard(batches, length, gram, memory), "c1 long, c2 long, low long, high long")
     marks = scratch.keep(marks, "marks")
