@@ -27,7 +27,7 @@ class PieceTransducer(dict):
     ``keep`` bounds the words and pairs remembered, not what is encoded.
     """
 
-    def __init__(self, model_file: str, keep: int = 600_000) -> None:
+    def __init__(self, model_file: str, keep: int = 700_000) -> None:
         super().__init__()
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -53,11 +53,12 @@ class PieceTransducer(dict):
                 self.ids[text], self.scores[text] = k, piece.score
                 self.spelled.append(text.replace(SPACE, " ").encode())
         self.fallback = spec.trainer_spec.byte_fallback
-        self.longest = max(map(len, self.ids))
+        self.names = [piece.piece for piece in spec.pieces]
+        self.arcs = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids  # from a state: on to a longer prefix, or out with a piece
         self.letters = {p for p in self.ids if len(p) == 1}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces across a space need whole texts as one word")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -66,47 +67,58 @@ class PieceTransducer(dict):
             return ""
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
-    def joins(self, a: str, b: str) -> float:
-        """Weight between two neighbouring pieces; ``a`` is empty at the start of a word."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > self.limit:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return 0.0 if found else math.inf
-
     def merged(self, text: str) -> list[str]:
         """Merge neighbours, the best-scored union first, the leftmost among equals."""
         parts, scores = list(text), self.scores
         while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (scores.get(parts[k] + parts[k + 1], -math.inf), -k))
-            union = parts[best] + parts[best + 1]
-            if union not in scores:
+            best, at = -math.inf, -1
+            for k in range(len(parts) - 1):
+                score = scores.get(parts[k] + parts[k + 1], -math.inf)
+                if score > best:
+                    best, at = score, k
+            if at < 0:
                 break
-            parts[best : best + 2] = [union]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def shortest(self, word: str) -> list[str]:
+    def joins(self, a: int, b: int) -> bool:
+        """Whether the weight between two neighbouring pieces is zero; ``a`` is the number of pieces at the start of a word."""
+        if len(self.pairs) > self.limit:
+            self.pairs.clear()
+        left = [self.names[a]] if a < len(self.names) else []
+        found = self.pairs[a << 24 | b] = self.merged("".join(left) + self.names[b]) == [*left, self.names[b]]
+        return found
+
+    def least_weight(self, word: str) -> list[int]:
         """The path of least weight through the lattice of ``word``, whose characters all have pieces."""
-        n, ids, longest = len(word), self.ids, self.longest
-        weight, last = [0.0] + [math.inf] * n, [""] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                piece = word[i:j]
-                if piece in ids and weight[i] < math.inf:
-                    if self.is_bpe:
-                        # A prefix has one path of finite weight, so its last piece is all that need be kept.
-                        if self.joins(last[i], piece) == 0:
-                            weight[j], last[j] = 0.0, piece
-                            break
-                        continue
-                    total = weight[i] - self.scores[piece]
-                    if total < weight[j]:
-                        weight[j], last[j] = total, piece
+        n, arcs, pairs = len(word), self.arcs, self.pairs
+        last: list[int | None] = [None] * (n + 1)
+        if self.is_bpe:
+            # Each prefix has one path of finite weight, so one last piece is all that need be kept of it.
+            last[0] = len(self.names)
+            for i in range(n):
+                a = last[i] << 24
+                for j in range(i + 1, n + 1):
+                    b = arcs.get(word[i:j])
+                    if b is None:
+                        break
+                    if b >= 0 and last[j] is None:
+                        fits = pairs.get(a | b)
+                        if self.joins(a >> 24, b) if fits is None else fits:
+                            last[j] = b
+        else:
+            weight = [0.0] + [math.inf] * n
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    b = arcs.get(word[i:j])
+                    if b is None:
+                        break
+                    if b >= 0 and weight[i] - self.scores[word[i:j]] < weight[j]:
+                        weight[j], last[j] = weight[i] - self.scores[word[i:j]], b
         path, j = [], n
         while j:
             path.append(last[j])
-            j -= len(last[j])
+            j -= len(self.names[last[j]])
         return path[::-1]
 
     def __missing__(self, word: str) -> bytes:
@@ -116,7 +128,7 @@ class PieceTransducer(dict):
                 run += c
                 continue
             if run:
-                ids += [self.ids[p] for p in self.shortest(run)]
+                ids += self.least_weight(run)
                 run = ""
             if c is not None:
                 ids += [self.bytes_at[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
