@@ -78,6 +78,7 @@ def matched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rank: Column
     found = texts.join(where.drop("doc_id"), ["d1", "d2"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("one"))
     sets = found.select("one.seq", ordered(F.element_at("all", F.col("one.pos") + 1), rank).alias("words")).dropDuplicates(["seq"])
     sets = scratch.keep(sets, f"sets-{name}")
+    scratch.free()
     both = pairs.join(sets.select(F.col("seq").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("seq").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(common / (F.size("wa") + F.size("wb") - common) >= least).select(F.col("a").alias("seq")).distinct()
@@ -114,14 +115,16 @@ def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame
     scratch.free("pairs-first", "sets-first")
     open_ = classes.join(done, "seq", "left_anti").select("seq", "n", "bits", F.posexplode("rare").alias("p", "word"))
     pairs = scratch.keep(meets(open_, postings, least), "pairs-rest")
+    scratch.free()
     gone = done.union(matched(pairs, classes, texts, rank, least, scratch, "rest")).withColumn("similar", F.lit(True))
     judged = classes.join(gone, "seq", "left").where("copies > 1 OR similar")
     judged = judged.select("cid", F.struct("doc_id", "pos", "d1", "d2").alias("kept"), F.coalesce("similar", F.lit(False)).alias("similar"))
     judged = scratch.keep(judged, "judged")
+    scratch.free("classes", "pairs-rest", "sets-rest", "done")
     same = F.struct("doc_id", "pos", "d1", "d2").eqNullSafe(F.col("kept"))
     removed = line.join(judged, "cid").where(F.col("similar") | ~same).groupBy("d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     removed = scratch.keep(removed, "removed")
-    scratch.free("places", "classes", "pairs-rest", "sets-rest", "done", "judged")
+    scratch.free("places", "judged")
     return removed
 
 
