@@ -30,6 +30,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def inner(self, name: str) -> Scratch:
+        """A folder in this one, for the tables of an operator that is called more than once."""
+        made = Scratch(self.spark, name)
+        made.folder = self.path(name)
+        return made
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("errorifexists").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))

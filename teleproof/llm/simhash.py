@@ -26,22 +26,27 @@ BLOCKS, VARIANTS = 5, 8
 CROWD = 2_048
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits, each set if over half of the shingle hashes have it set.
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the shingles of a text, as often as they come.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case; shingles are ``width`` words in a row, joined by a
-    space, as often as they come. Fewer words: all of them make one shingle. None, or a null text: zero.
+    space. Fewer words: all of them make one shingle. None, or a null text: no shingle.
     """
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *stops[:-width].tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (stops[width - 1 :] - 1).tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (stops[width - 1 :] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64 bits, each set if over half of the shingle hashes have it set; zero without a shingle."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536]
@@ -161,14 +166,8 @@ def shared_neighbours(crowded: DataFrame, most: int) -> DataFrame:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, crowd: int = CROWD) -> DataFrame:
-    """``doc_id, bits, component_id`` for every row of ``docs``; ``component_id`` is the smallest ``doc_id`` that links reach.
-
-    Null and empty texts have fingerprint zero and link like any other. Rows that repeat share a class, whose members are never
-    paired. A component of rows without ``doc_id`` has a null id. Only columns ``doc_id`` and ``text`` are read.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    made = scratch.keep(fingerprints(docs, width), "fingerprints")
+def grouped(made: DataFrame, scratch: Scratch, most: int, crowd: int) -> DataFrame:
+    """``bits, first_doc, component`` for every fingerprint of ``doc_id, bits``; the component is the smallest fingerprint that links reach."""
     classes = scratch.keep(made.groupBy("bits").agg(F.min("doc_id").alias("first_doc")), "classes")
     found = scratch.keep(links(classes, most, crowd), "links")
     pairs = found.where("b IS NOT NULL")
@@ -179,12 +178,39 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, crowd: int =
     groups = classes.join(joined.withColumnRenamed("node", "bits"), "bits", "left").select(
         "bits", "first_doc", F.coalesce("component", "bits").alias("component")
     )
-    groups = scratch.keep(groups, "groups")
+    return scratch.keep(groups, "groups")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, bits, component_id`` for every row of ``docs``; ``component_id`` is the smallest ``doc_id`` that links reach.
+
+    Null and empty texts have fingerprint zero and link like any other. Rows that repeat share a class, whose members are never
+    paired. A component of rows without ``doc_id`` has a null id. Only columns ``doc_id`` and ``text`` are read.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    made = scratch.keep(fingerprints(docs, width), "fingerprints")
+    groups = grouped(made, scratch, most, crowd)
     first = groups.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = scratch.keep(groups.join(first, "component").select("bits", "component_id"), "named")
     return made.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with hashes ``_d1, _d2`` of whole rows; those of equal rows are equal, and of others in effect never."""
+    whole = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return docs.withColumns({"_d1": F.xxhash64(*whole), "_d2": F.xxhash64(F.lit(1), *whole)})
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The row of ``docs`` that comes first in each ``component`` of ``rows`` (``doc_id, d1, d2, component``), one if it repeats.
+
+    Smaller ids come first, rows without one last, then smaller hashes. The minimum of a group is made before the shuffle.
+    """
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d1", "d2")).alias("x"))
+    kept = scratch.keep(first.select(F.col("x.d1").alias("_d1"), F.col("x.d2").alias("_d2")), "kept")
+    return row_keys(docs).join(kept, ["_d1", "_d2"], "left_semi").dropDuplicates(["_d1", "_d2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def one_per_group(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest ``doc_id``; of rows that share it, the one whose text has the smallest hash.
 
