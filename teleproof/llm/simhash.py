@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleproof.llm.common import Scratch, components
@@ -212,12 +212,21 @@ def first_rows(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest ``doc_id``; of rows that share it, the one whose text has the smallest hash.
+    """``docs`` with one row of each component among those with an id: that of the smallest ``doc_id``; of rows that share it, the one of the smallest hash.
 
     Rows without ``doc_id`` cannot be named and stay.
     """
-    found = near_duplicates(docs, width, most)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.hash(c) for c in docs.columns))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL").select(*docs.columns))
+    scratch = Scratch(docs.sparkSession, "one-per-group")
+    named = row_keys(docs.where("doc_id IS NOT NULL"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([fingerprint(t.as_py(), width) for t in batch.column(3)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits)], ["doc_id", "d1", "d2", "bits"])
+
+    wanted = named.select(F.col("doc_id").cast("long").alias("doc_id"), "_d1", "_d2", F.col("text").cast("string").alias("text"))
+    made = scratch.keep(wanted.mapInArrow(run, "doc_id long, d1 long, d2 long, bits long"), "fingerprints")
+    unnamed = docs.where("doc_id IS NULL")
+    both = made.select("doc_id", "bits").union(fingerprints(unnamed, width))
+    groups = grouped(both, scratch, most, CROWD)
+    return first_rows(docs, made.join(groups.select("bits", "component"), "bits"), scratch).union(unnamed)

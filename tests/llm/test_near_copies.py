@@ -55,3 +55,12 @@ def test_pipeline_stage_finds_copies_beyond_two_bits(spark, sf):
     rows = [{"doc_id": 1, "text": a}, {"doc_id": 2, "text": b}]
     docs = spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], schema)
     assert [r.doc_id for r in corpus_pipeline.simhash(spark, docs, sf).collect()] == [1]
+
+
+def test_groups_with_repeated_and_null_ids(frame):
+    a, alone, other, free = "a b c d e f", "one clean text here", "other words are here too", "nothing like these at all"
+    rows = [(5, a), (3, a), (5, alone), (7, alone + " x"), (5, other), (5, free), (None, free), (None, "n n"), (None, "n n"), (3, a)]
+    for call in (near_copies.one_per_copy, simhash.one_per_group):
+        got = sorted(((r.doc_id or 0), r.text) for r in call(frame(rows)).collect())
+        without = [(0, "n n")] if call is near_copies.one_per_copy else [(0, "n n"), (0, "n n"), (0, free)]
+        assert got == sorted([(3, a), (5, alone), (7, alone + " x"), (5, other), (5, free), *without])
