@@ -20,23 +20,28 @@ from teleproof.llm.vectors import bounds, classes, runs, usable
 TREES, LEAF, PLANES = 8, 128, 12
 
 
-def halves(column: pa.Array) -> np.ndarray:
-    """A binary column of half-precision vectors of one length as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+def stacked(column: pa.Array, kind: str) -> np.ndarray:
+    """A binary column of vectors of one length as a matrix in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def precision(points: DataFrame) -> str:
+    """How components of ``e`` are stored: as they come, float or double."""
+    return "<f4" if points.schema["e"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def compact(points: DataFrame) -> DataFrame:
-    """``cid, h``: vectors in half precision over the largest component, for building the graph only."""
-    largest = points.select(F.array_max(F.transform("e", F.abs)).alias("x")).agg(F.max("x")).first()[0] or 1.0
+    """``cid, h``: vectors as bytes, unscaled, so that none takes the precision of another."""
+    kind = precision(points)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()]) / largest
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in e.astype(np.float16)], pa.binary())], ["cid", "h"])
+            h = [np.asarray(x, kind).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary())], ["cid", "h"])
 
     return points.select("cid", "e").mapInArrow(run, "cid long, h binary")
 
@@ -48,12 +53,12 @@ def closest(edges: DataFrame, most: int) -> DataFrame:
     return alone.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
-def leaves(short: DataFrame, most: int, seed: int) -> DataFrame:
+def leaves(short: DataFrame, kind: str, most: int, seed: int) -> DataFrame:
     """First edges ``u, v, d``: vectors in one stretch of ``LEAF`` when sorted by the sides of random hyperplanes they are on."""
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = halves(batch.column(1))
+            x = stacked(batch.column(1), kind)
             for tree in range(TREES):
                 planes = np.random.default_rng([seed, tree]).normal(size=(x.shape[1], PLANES + 1))
                 y = x @ planes
@@ -65,7 +70,7 @@ def leaves(short: DataFrame, most: int, seed: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "tree"):
             cid = group.column("cid").to_numpy()
-            h = halves(group.column("h").combine_chunks())
+            h = stacked(group.column("h").combine_chunks(), kind)
             out = []
             for k in range(0, len(cid), LEAF):
                 k = max(0, min(k, len(cid) - LEAF))
@@ -81,11 +86,11 @@ def leaves(short: DataFrame, most: int, seed: int) -> DataFrame:
     return sorted_.mapInArrow(meet, "u long, v long, d double")
 
 
-def introduce(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def introduce(batches: Iterator[pa.RecordBatch], kind: str, most: int) -> Iterator[pa.RecordBatch]:
     """Distances among the neighbours of each ``u``, as far as they beat the farthest neighbour that one of the two has."""
     for group in runs(batches, "u"):
         u, v, worst = (group.column(c).to_numpy() for c in ("u", "v", "worst"))
-        h = halves(group.column("h").combine_chunks())
+        h = stacked(group.column("h").combine_chunks(), kind)
         out = []
         for a, b in bounds(u):
             if b - a < 2:
@@ -104,10 +109,10 @@ def introduce(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (a, b, d)], ["u", "v", "d"])
 
 
-def graph(short: DataFrame, scratch: Scratch, neighbours: int = 20, rounds: int = 6, settle: float = 0.002, seed: int = 3) -> DataFrame:
+def graph(short: DataFrame, kind: str, scratch: Scratch, neighbours: int = 20, rounds: int = 6, settle: float = 0.002, seed: int = 3) -> DataFrame:
     """``u, v, d``: the neighbours of each vector of ``cid, h`` after at most ``rounds`` rounds, or when a round shortens the distances by less than
     the share ``settle``. Both directions of a vector are cut to the nearest ``neighbours``, as NN-descent does; the graph is approximate."""
-    now = scratch.keep(closest(leaves(short, neighbours // 2, seed), neighbours), "graph-0")
+    now = scratch.keep(closest(leaves(short, kind, neighbours // 2, seed), neighbours), "graph-0")
     before = None
     for turn in range(1, rounds + 1):
         total = now.agg(F.sum("d"), F.count("*")).first()
@@ -120,7 +125,7 @@ def graph(short: DataFrame, scratch: Scratch, neighbours: int = 20, rounds: int
         members = now.union(back).select("u", "v").distinct()
         known = short.withColumnRenamed("cid", "v").join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         met = members.join(known, "v").select("u", "v", "worst", "h").repartition("u").sortWithinPartitions("u")
-        offered = met.mapInArrow(lambda batches: introduce(batches, 8), "u long, v long, d double")
+        offered = met.mapInArrow(lambda batches: introduce(batches, kind, 8), "u long, v long, d double")
         now = scratch.keep(closest(now.union(offered), neighbours), f"graph-{turn}")
         scratch.free(f"graph-{turn - 1}")
     return now
@@ -172,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: Column, most: int = 10, neighbours: in
     rows = rows.where(F.size("e") == (width[0] if width else 0))
     points = scratch.keep(classes(rows).select("d1", "d2", "cid", "e"), "points")
     short = scratch.keep(compact(points), "short")
-    edges = graph(short, scratch, neighbours)
+    edges = graph(short, precision(points), scratch, neighbours)
     named = rows.select("vec_id", "d1", "d2").distinct().join(points.select("d1", "d2", "cid"), ["d1", "d2"])
     by_id = Window.partitionBy("cid").orderBy("vec_id")
     members = named.select("cid", "vec_id").withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= most + 1).drop("place")

@@ -109,6 +109,22 @@ def test_op9_recall(spark, sf):
     assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_with_one_large_vector(spark, sf, kind):
+    """A single vector of size 1e7 takes no precision from the graph of the others."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    e = rng.normal(size=(1500, 6)) @ rng.normal(size=(6, 32))
+    e = np.float32(e / np.linalg.norm(e, axis=1, keepdims=True))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(e)] + [(5001, [1e7] * 32)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = found(neighbours.nearest(df, F.col("vec_id") % 100 == 0, neighbours=10, beam=20))
+    want = nearest_by_hand(rows, lambda q: q % 100 == 0, 10)
+    assert want.keys() == got.keys()
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_neighbours_edges(spark):
     from pyspark.sql import functions as F
 
