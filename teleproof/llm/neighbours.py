@@ -136,11 +136,11 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x))
 
 
-def search(points: DataFrame, edges: DataFrame, starts: DataFrame, scratch: Scratch, beam: int = 160, step: int = 24, rounds: int = 12) -> DataFrame:
+def search(points: DataFrame, edges: DataFrame, starts: DataFrame, scratch: Scratch, beam: int = 160, step: int = 24) -> DataFrame:
     """``q, cid, d``: what each query ``q`` of ``starts`` (ids of points) has visited, with exact distances.
 
     In a round a query visits the neighbours of its ``step`` nearest points not gone on from, among its ``beam`` nearest; it ends when
-    there are none, or after ``rounds`` rounds.
+    there are none.
     """
     both = edges.select("u", "v").union(edges.select("v", "u")).distinct().withColumnsRenamed({"u": "cid", "v": "next"})
     both = scratch.keep(both, "both")
@@ -148,7 +148,7 @@ def search(points: DataFrame, edges: DataFrame, starts: DataFrame, scratch: Scra
     seen = scratch.keep(starts.select("q", F.col("q").alias("cid"), F.lit(0.0).alias("d"), F.lit(False).alias("gone")), "seen-0")
     order = Window.partitionBy("q").orderBy("d", "cid")
     turn = 0
-    while turn < rounds:
+    while True:
         turn += 1
         ranked = seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= beam).where("NOT gone")
         ranked = ranked.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= step).select("q", "cid")
