@@ -21,15 +21,22 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
 RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 # Elements that hold no article text.
-FURNITURE = set("head nav header footer aside form button select menu dialog figcaption svg canvas object audio video".split()) | set(RAW)
-# Words in class, id or role that name such parts.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookies?|consent|notice\w*|"
-    r"alert|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|replies|disqus|login|search|complementary|contentinfo)(?:$|[\s_-])", re.I
+FURNITURE = set("head nav header footer aside form button select menu dialog svg canvas object audio video".split()) | set(RAW)
+# Whole class or id tokens and roles that name such parts; a few words before or after the name may say more about it.
+NAME = (
+    r"(?:ads?|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|footer|header|masthead|"
+    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|related|recommended|recommendations|comments?|replies|disqus|login|search|complementary|contentinfo)"
 )
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+))", re.I)
+NAMED = re.compile(rf"{NAME}(?:[_-](?:{NAME}|box|bar|block|list|section|area|wrap|wrapper|container|links?|items?|unit|slot|form|buttons?|posts?|articles?|thread|\d+))*", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+))", re.I)
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-KEEPS_WORDS = {"html", "body", "article", "main"}  # never furniture by name
+KEEPS_WORDS = set("html body article main h1 h2 h3 h4 h5 h6".split())  # never furniture by name
+# Elements whose end tag may be left out, and the start tags that end them.
+BLOCKS = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDED_BY = {
+    "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
+    "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"},
+}
 
 INSIDE, UNSEEN = -0.01, -0.25
 
@@ -48,13 +55,51 @@ class Events:
         self.breaks.append(breaks)
 
 
+def hidden_until(page: str, place: int, name: str) -> tuple[int, bool]:
+    """Where the hidden element ``name`` that began before ``place`` ends, and whether an article or main lies inside it.
+
+    It ends at its own end tag; where that may be left out, also before the next sibling or the end of what holds it.
+    """
+    open_, whole = [name], False
+    while True:
+        found = TAG.search(page, place)
+        if not found:
+            return len(page), whole
+        close, tag, _ = found.groups()
+        tag = (tag or "").lower()
+        if not close and tag in RAW:
+            end = RAW[tag].search(page, found.end())
+            place = end.end() if end else len(page)
+            continue
+        if tag and not close:
+            whole |= tag in ("article", "main")
+            while open_ and tag in ENDED_BY.get(open_[-1], ()):
+                open_.pop()
+            if not open_:
+                return found.start(), whole
+            if tag not in VOID:
+                open_.append(tag)
+        elif tag in open_:
+            while open_.pop() != tag:
+                pass
+            if not open_:
+                return found.end(), whole
+        elif tag and name in ENDED_BY and tag != "p" and tag not in INLINE:
+            return found.start(), whole
+        place = found.end()
+
+
 def events(page: str) -> Events:
-    """Tags and text of a page in order, without what is furniture; an unfinished tag or comment at the end is dropped."""
-    out, place, hidden, depth = Events(), 0, "", 0
+    """Tags and text of a page in order, without what is furniture; an unfinished tag or comment at the end is dropped.
+
+    An element is hidden by name only if it holds no article or main element; inside these its id alone does not count.
+    """
+    out, place = Events(), 0
+    inside = 0
     while True:
         found = TAG.search(page, place)
         run = page[place : found.start() if found else len(page)]
-        if run and not hidden:
+        if run:
             out.add(html.unescape(run))
         if not found:
             return out
@@ -67,21 +112,23 @@ def events(page: str) -> Events:
             end = RAW[name].search(page, place)
             place = end.end() if end else len(page)
             continue
-        if hidden:
-            if name == hidden:
-                depth += -1 if close else name not in VOID
-                if not depth:
-                    hidden = ""
-            continue
         if close:
+            inside -= name in ("article", "main") and inside > 0
             out.add(None, f"/{name}", name not in INLINE)
             continue
-        named = " ".join(x for a in ATTRIBUTE.findall(rest) for x in a if x)
-        if name not in VOID and (name in FURNITURE or name not in KEEPS_WORDS and NAMED.search(named)):
-            hidden, depth = name, 1
-            out.add(None, f"{name}!", True)
-            continue
-        first = named.split()[0].lower() if named.split() else ""
+        found_ = [(kind.lower(), x) for kind, *a in ATTRIBUTE.findall(rest) for x in a if x]
+        tokens = " ".join(x for _, x in found_).split()
+        # A mere id is an anchor of the article when it stands inside one.
+        naming = " ".join(x for kind, x in found_ if kind != "id" or not inside).split()
+        by_name = name not in KEEPS_WORDS and any(NAMED.fullmatch(t) for t in naming)
+        if name not in VOID and (name in FURNITURE or by_name):
+            end, whole = hidden_until(page, place, name)
+            if name in FURNITURE or not whole:
+                place = end
+                out.add(None, f"{name}!", True)
+                continue
+        inside += name in ("article", "main")
+        first = tokens[0].lower() if tokens else ""
         out.add(" " if name == "br" else None, f"{name}.{first}" if first else name, name not in INLINE)
 
 

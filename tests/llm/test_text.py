@@ -66,6 +66,21 @@ def test_pages_by_hand(source, want):
     assert html_text.main_text(source, WEIGHTS) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    *((f"<body><div class='{c}'><article><p>a b c</p></article></div>", "a b c") for c in ("site no-sidebar", "content has-sidebar", "content nav-open", "post comments-open", "sidebar")),
+    (page("<p>a</p><section id='related-work'><h2 id='search'>Search</h2><p>b</p></section>"), "a\nSearch\nb"),
+    (page("<p>a</p><figure><figcaption>seen here</figcaption></figure><p>b</p>"), "a\nseen here\nb"),
+    (page("<p>a</p><ul><li>one<li class='share'>Share<li>two</ul><p>b</p>"), "a\none\ntwo\nb"),
+    (page("<p>a</p><ul><li class='share'>Share</ul><p class='notice'>Notice<p>b</p>"), "a\nb"),
+    (page("<p>a</p><div><p class='notice'>Notice</div><p>b</p><table><tr><td class='ad'>Ad<td>c<tr><td>d</table>"), "a\nb\nc\nd"),
+    (page("<p>a</p><dl><dt class='ad'>t<dd>d</dl><div class='ad-box'>Buy</div><div id='x' class='share-buttons'>Go</div><p>b</p>"), "a\nd\nb"),
+    (page("<p>a</p><ul class='menu'><li>x<li>y<p>z</ul><p>b</p>"), "a\nb"),
+])
+def test_named_parts_end_where_html_ends_them(source, want):
+    weights = {**WEIGHTS, **dict.fromkeys("section.related-work /section h2.search /h2 figure /figure figcaption /figcaption ul /ul li li! p! div /div table /table tr td td! dl /dl dt! dd ul! div!".split(), -0.01)}
+    assert html_text.main_text(source, weights) == want
+
+
 def test_op8_against_marked_articles(spark, sf):
     got = {r.page_id: r for r in QUERIES["op8_html"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
