@@ -1,8 +1,8 @@
 """Main text of web pages as the maximum-scoring run of their words and tags.
 
 A page becomes a row of events: text runs, each worth as many points as it has words, and tags, each with a negative weight. The weights come from pages
-that mark their article themselves: a tag that comes inside articles costs next to nothing, one that stands outside costs more than the text
-that follows it there would bring. One linear scan finds the contiguous run of events with the highest sum. What the page itself
+that mark their article themselves: a tag that comes inside articles costs next to nothing, one that only stands outside costs more than the text
+that it leads there would bring. One linear scan finds the contiguous run of events with the highest sum. What the page itself
 names as furniture (menus, footers, forms, adverts and so on) has no words, wherever it stands.
 """
 
@@ -162,41 +162,60 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def observed(page: str) -> dict[str, list[int]] | None:
-    """For a page with one whole article: per tag how often it is inside and outside, and the most words that follow it outside."""
+def observed(page: str, apart: frozenset[str] = frozenset()) -> dict[str, list[int]] | None:
+    """For a page with one whole article: per tag how often it is inside and outside, the words that follow it inside and outside, and, for a tag
+    in ``apart``, the most words that come outside between it and the next of them."""
     row = events(page)
     if row.name.count("/article") != 1 or sum(n.split(".")[0] == "article" for n in row.name) != 1:
         return None
     seen: dict[str, list[int]] = {}
-    inside, last = False, ""
+    inside, last, lead, led = False, "", "", 0
     for name, text in zip(row.name, row.text):
         if not name:
-            if last and not inside:
-                seen[last][2] = max(seen[last][2], len(text.split()))
+            words = len(text.split())
+            if last:
+                seen[last][2 if inside else 3] += words
+            if lead and not inside:
+                led += words
+                seen[lead][4] = max(seen[lead][4], led)
             continue
         if name == "/article":
             inside = False
-        counts = seen.setdefault(name, [0, 0, 0])
+        counts = seen.setdefault(name, [0, 0, 0, 0, 0])
         counts[0 if inside else 1] += 1
+        if name in apart:
+            lead, led = name, 0
         inside, last = inside or name.split(".")[0] == "article", name
     return seen
 
 
+def weight(inside: int, outside: int, within: int, without: int, led: int) -> float:
+    """What a tag costs. One that no article holds costs more than all the text it leads brings; another, what the text after it brings outside
+    more than inside, on average over all its places, so that no single page decides."""
+    return INSIDE - 2 * (led + 1 if not inside else max(0, without - within) / (inside + outside))
+
+
 def learn(pages: DataFrame, sample: int = 2_000) -> dict[str, float]:
     """Weights of tags from at most ``sample`` pages with an article element, those whose ``page_id`` has the smallest hash."""
     marked = pages.where(F.col("html").contains("</article>"))
     picked = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(name, *x) for page in batch.column(0) for name, x in (observed(page.as_py()) or {}).items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["name", "inside", "outside", "words"])
-
-    seen = marked.join(picked, "page_id", "left_semi").select("html").mapInArrow(run, "name string, inside long, outside long, words long")
-    seen = seen.groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"), F.max("words").alias("w"), F.count("*").alias("n"))
-    # Tags that few pages have are left unseen, so what is collected is bounded by the vocabulary of common markup.
-    return {r.name: INSIDE - r.o / (r.i + r.o) * 2 * (r.w + 1) for r in seen.orderBy(F.desc("n"), "name").limit(4_096).collect()}
+    shown = marked.join(picked, "page_id", "left_semi").select("html")
+    columns = ["inside", "outside", "within", "without", "led"]
+
+    def counted(apart: frozenset[str]) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(name, *x) for page in batch.column(0) for name, x in (observed(page.as_py(), apart) or {}).items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["name", *columns])
+
+        seen = shown.mapInArrow(run, "name string, " + ", ".join(f"{c} long" for c in columns))
+        sums = [(F.max if c == "led" else F.sum)(c).alias(c) for c in columns]
+        # Tags that few pages have are left unseen, so what is collected is bounded by the vocabulary of common markup.
+        return seen.groupBy("name").agg(*sums, F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(4_096).collect()
+
+    apart = frozenset(r.name for r in counted(frozenset()) if not r.inside)
+    return {r.name: weight(*(r[c] for c in columns)) for r in counted(apart)}
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
