@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ class PackedReader:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """Encode ``doc_id, text`` and write packed files in ascending ``doc_id`` order, one file per task.
 
-    Returns one row per file: ``path, n_docs, n_ids, first_doc, last_doc``. The texts are dealt by ranges of ``doc_id`` before they are
+    Returns one row per file: ``path, n_docs, n_ids, n_nulls, first_doc, part``; the files follow each other by ``part``. The texts are dealt by ranges of ``doc_id`` before they are
     encoded, so each is encoded once and its ids are written where they were made. A task that runs twice writes two files,
     of which only the one it reports counts. Null text: the end id alone; null ``doc_id``: first; equal ``doc_id``: by text.
     """
@@ -160,17 +161,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int)
             yield pa.RecordBatch.from_pydict({
                 "path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.total], "n_nulls": [sum(writer.nulls)],
                 "first_doc": pa.array([seen[0] if seen else None], pa.int64()),
+                "part": pa.array([TaskContext.get().partitionId()], pa.int32()),
             })
 
     # Ranges of the id alone would put all rows of a repeated id into one task; text splits them.
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return ordered.mapInArrow(write, "path string, n_docs long, n_ids long, n_nulls long, first_doc long")
+    return ordered.mapInArrow(write, "path string, n_docs long, n_ids long, n_nulls long, first_doc long, part int")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """The documents of packed files: ``doc_id, start, n_tokens, ids_crc32``; ``start`` counts the ids of all files before."""
-    order = Window.orderBy(F.col("n_nulls").desc(), F.col("first_doc").asc_nulls_first(), "path")
+    order = Window.orderBy("part")
     placed = files.withColumn("base", F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     placed = placed.select("path", F.coalesce("base", F.lit(0)).alias("base"))
 

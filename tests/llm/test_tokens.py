@@ -145,3 +145,20 @@ def test_pieces_edges(frame):
     back = pieces.decode_pieces(pieces.encode_pieces(frame(rows, ids="clash"), PIECE_BPE), PIECE_BPE).collect()
     assert sorted(((r.doc_id or 0), r.text) for r in back) == [(0, "a"), (1, ""), (2, ""), (2, ""), (3, "a b " * 4000)]
     assert pieces.encode_pieces(frame([]), PIECE_BPE).collect() == []
+
+
+def test_files_of_one_id_stay_in_order(spark, frame):
+    """One id and null ids fill several files each; starts go up with the id."""
+    rows = [(d, f"text {k} of {d}") for d, n in ((None, 200), (5, 400), (6, 1), (9, 60)) for k in range(n)]
+    keys = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "false")
+        spark.conf.set(keys[1], "12")
+        got = token_files.token_files(frame(rows), WORD_BPE, end_id=2).orderBy("start").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and len(ids) == len(rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
