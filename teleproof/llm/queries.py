@@ -6,18 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from teleproof.llm.collocations import collocations
 from teleproof.llm.common import table
 from teleproof.llm.crosspolytope import near_vectors
 from teleproof.llm.html_text import extract, learn
 from teleproof.llm.language import fit_open, held_out, identify
+from teleproof.llm.lexical import ranked_search
 from teleproof.llm.lines import dedup_lines
 from teleproof.llm.neighbours import nearest
 from teleproof.llm.packing import pack_texts
 from teleproof.llm.pieces import decode_pieces, encode_pieces
 from teleproof.llm.repeats import remove_repeats
+from teleproof.llm.sharding import shard_rows
 from teleproof.llm.simhash import near_duplicates
 from teleproof.llm.token_files import token_files
-from teleproof.llm.twins import LINES
+from teleproof.llm.twins import COLLOCATIONS, LINES, SEARCH
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,5 +74,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op4_lines": op4_lines, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats}
-TWINS: dict[str, str] = {"op4_lines": LINES}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=10)
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance by rows: counts of shards are at most one apart."""
+    found = shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, most=2_000)
+
+
+QUERIES = {"op1_pieces": op1_pieces, "op2_packing": op2_packing, "op3_vectors": op3_vectors, "op4_lines": op4_lines, "op5_token_files": op5_token_files, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_html": op8_html, "op9_neighbours": op9_neighbours, "op10_repeats": op10_repeats, "op11_search": op11_search, "op12_shards": op12_shards, "op13_phrases": op13_phrases}
+TWINS: dict[str, str] = {"op4_lines": LINES, "op11_search": SEARCH, "op13_phrases": COLLOCATIONS}

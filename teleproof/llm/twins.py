@@ -21,3 +21,36 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
     lambda k: NOT list_contains(gone, k)), lambda k: string_split(d.text, chr(10))[k + 1]), chr(10)), '') END) AS text_sha256
 FROM documents d LEFT JOIN r USING (doc_id)
 """
+
+# Whole tables; terms are maximal runs of ASCII letters, digits and all other characters, only A-Z lower-cased.
+SEARCH = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS lower, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, upper, lower), term) AS ws FROM documents, fold WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS nd, CAST(sum(len(ws)) AS BIGINT) AS nt FROM d WHERE len(ws) > 0),
+m AS (SELECT doc_id, 10 + (90 * len(ws) * nd) // nt AS m FROM d, s WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, upper, lower), term)) AS w FROM benchmark, fold),
+f AS (SELECT w, CAST(floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY w, nd),
+r AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (w) JOIN p USING (w) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank", doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece FROM documents),
+t AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pieces),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM t GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM t, (VALUES (1), (2), (3), (4)) v(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, array_to_string(ws[1 : j], ' ') AS fst, array_to_string(ws[j + 1 :], ' ') AS rest, j FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, j, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.fst JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+subs AS (SELECT lang, array_to_string(ws[i : i + size - 1], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c))),
+wide AS (SELECT lang, phrase, max(a) AS longer FROM subs GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN wide USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80 * a)
+SELECT lang, row_number() OVER o AS "rank", phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER o <= 2000
+"""
