@@ -10,7 +10,8 @@ from teleproof.functions import scalar as S
 from teleproof.operators import catalog as C
 from teleproof.operators import release as R
 from teleproof.operators import runlog as L
-from teleproof.operators.blocks import RECORD, number_rows
+from teleproof.operators.blocks import RECORD
+from teleproof.operators.numbering import number_rows
 from teleproof.operators.windows import extents
 from teleproof.sources.tables import LINE_CONTEXT, event_rows, line_rows, order_rows, table
 
@@ -432,7 +433,7 @@ def numeric_id_sort(spark: SparkSession, sf: str) -> DataFrame:
     )
     named = table(spark, sf, "documents").select(name.alias("task_id"), F.lit(0).alias(RECORD))
     number = F.substring("task_id", 2, 20).cast("bigint")
-    numbered = number_rows(named.withColumn("n", number), ["n"], "n")
+    numbered = number_rows(named.withColumn("n", number), ["n"])
     return numbered.select("task_id", F.col("row").alias("position"))
 
 

@@ -39,46 +39,6 @@ def with_length(df: DataFrame, longest: int | None, position: str = "row") -> Da
     return df.withMetadata(position, {"longest": longest})
 
 
-def number_rows(
-    df: DataFrame,
-    order: Sequence[str | Column],
-    position: str | Column,
-    key: str = RECORD,
-    block_rows: int | None = None,
-) -> DataFrame:
-    """Add the dense acquisition index ``row`` (BIGINT) per ``key``.
-
-    ``position`` is a number that never decreases along ``order``. Records longer than ``block_rows`` are cut
-    along it into slots, numbered inside the slot and shifted by the counts of the earlier slots.
-    """
-    size = block_rows or settings.BLOCK_ROWS
-    df = df.withColumn("_pos", F.col(position) if isinstance(position, str) else position)
-    extent = df.groupBy(key).agg(F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    extent = extent.filter(F.col("_n") > size)
-    one = F.lit(1).cast("bigint")
-    if extent.isEmpty():
-        number = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint") - one
-        return df.withColumn("row", number).drop("_pos")
-    share = F.try_divide(F.col("_pos") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    slot = F.floor(share * F.ceil(F.col("_n") / size))
-    slotted = df.join(extent, key, "left").withColumn("_slot", F.coalesce(slot, F.lit(0).cast("bigint")))
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.join(extent, key)
-        .groupBy(key, F.coalesce(slot, F.lit(0).cast("bigint")).alias("_slot"))
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .select(key, "_slot", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(key, "_slot").orderBy(*order)
-    return (
-        slotted.join(offsets, [key, "_slot"], "left")
-        .withColumn(
-            "row", F.coalesce("_offset", F.lit(0)) + F.row_number().over(inside).cast("bigint") - one
-        )
-        .drop("_pos", "_lo", "_hi", "_n", "_slot", "_offset")
-    )
-
-
 def with_halo(
     df: DataFrame, before: int, after: int, position: str = "row", block_rows: int | None = None
 ) -> DataFrame:

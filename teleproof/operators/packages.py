@@ -13,6 +13,7 @@ from teleproof.operators.detect import MiningConfig
 from teleproof.operators.greedy import pack
 from teleproof.operators.quality import duplicate_times
 from teleproof.operators.windows import WINDOW, extents, rows_in_windows, window_stats
+from teleproof.sources.workspace import written
 
 GROUP = [RECORD, "chain_row", "group_event"]
 FACTS = ["mean_context", "mean_before", "mean_after", "min", "max", "delta"]
@@ -174,3 +175,30 @@ def recompute(rows: DataFrame, packages: DataFrame, facts: DataFrame, channels:
         stored.join(fresh, ["package_id", RECORD, "_channel", "fact"], "left").drop("_channel")
         .withColumn("agrees", F.col("recomputed").isNotNull() & close_to(F.col("value"), F.col("recomputed"), 1e-8, 1e-8))
     )
+
+
+def content_snapshots(rows: DataFrame) -> DataFrame:
+    """One digest per record over all its rows and columns, whatever their order: ``record_id, snapshot``.
+
+    Sums of two hashes of each row combine before the shuffle, so no task gathers a record.
+    """
+    columns = sorted(c for c in rows.columns if c != RECORD)
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20, 0)"))
+    return rows.groupBy(RECORD).agg(F.concat_ws(":", F.count(F.lit(1)), part(1), part(2)).alias("snapshot"))
+
+
+def recompute_bound(rows: DataFrame, packages: DataFrame, facts: DataFrame, channels: Sequence[str], expected: DataFrame) -> DataFrame:
+    """``recompute`` of the facts whose record still has the ``expected`` snapshot (``record_id, snapshot``); the others are refused, not recomputed.
+
+    Adds ``snapshot``: ``ok``, ``source_snapshot_changed`` or ``unknown_source``.
+    """
+    now = content_snapshots(rows).withColumnRenamed("snapshot", "_now")
+    status = (
+        F.when(F.col("snapshot").isNull() | F.col("_now").isNull(), "unknown_source").when(F.col("snapshot") != F.col("_now"), "source_snapshot_changed").otherwise("ok")
+    )
+    judged = written(expected.join(now, RECORD, "full_outer").select(RECORD, status.alias("_state")), "snapshots")
+    bound = facts.join(judged, RECORD, "left").withColumn("snapshot", F.coalesce("_state", F.lit("unknown_source"))).drop("_state")
+    same = judged.filter(F.col("_state") == "ok").select(RECORD)
+    fresh = recompute(rows.join(same, RECORD, "left_semi"), packages.join(same, RECORD, "left_semi"), bound.filter(F.col("snapshot") == "ok"), channels)
+    refused = bound.filter((F.col("status") == "ok") & (F.col("snapshot") != "ok"))
+    return fresh.unionByName(refused.withColumns({"recomputed": F.lit(None).cast("double"), "agrees": F.lit(False)}))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleproof.functions.scalar import ntz_seconds
-from teleproof.operators.blocks import number_rows
+from teleproof.operators.numbering import number_rows
 from teleproof.sources.workspace import working_copy
 
 LINE_CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -34,7 +34,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.get_json_object("props", "$.k").cast("double").alias("k"),
             "event_type",
         )
-        return number_rows(raw, ["time_s", "event_id"], "time_s").select(
+        return number_rows(raw, ["time_s", "event_id"]).select(
             "record_id", "row", "time_s", "value", "k", "event_type"
         )
 
@@ -56,7 +56,7 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             *LINE_CONTEXT,
         )
         order = ["l_orderkey", "l_linenumber", "l_partkey", *LINE_CHANNELS, *LINE_CONTEXT, "time_s"]
-        return number_rows(raw, order, "l_orderkey").select("record_id", "row", "time_s", *LINE_CHANNELS, *LINE_CONTEXT)
+        return number_rows(raw, order).select("record_id", "row", "time_s", *LINE_CHANNELS, *LINE_CONTEXT)
 
     return working_copy(source, "line_rows", build)
 
@@ -73,7 +73,7 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_totalprice"),
             "o_orderstatus",
         )
-        return number_rows(raw, ["o_orderkey"], "o_orderkey")
+        return number_rows(raw, ["o_orderkey"])
 
     return working_copy(source, "order_rows", build)
 
@@ -89,7 +89,7 @@ def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFram
             F.col("vec_id").cast("double").alias("time_s"),
             *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)],
         )
-        return number_rows(raw, ["vec_id"], "vec_id").drop("vec_id")
+        return number_rows(raw, ["vec_id"]).drop("vec_id")
 
     return working_copy(source, f"embedding_rows_{dims}", build)
 

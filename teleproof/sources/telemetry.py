@@ -9,15 +9,15 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from teleproof.functions.scalar import number_status, parse_number, parse_time
-from teleproof.operators.blocks import RECORD, number_rows
+from teleproof.operators.blocks import RECORD
 from teleproof.operators.catalog import positional_join
+from teleproof.operators.numbering import number_rows
 from teleproof.sources.files import file_hashes
 from teleproof.sources.workspace import written
 
@@ -86,7 +86,7 @@ def numbered_text(spark: SparkSession, path: str, declared: Sequence[str], recor
     # An empty cell of a well-formed row arrives as null; it is the empty token.
     cells = [F.coalesce(F.col(f"`{c}`"), F.when(F.col(BAD_ROW).isNull(), "")).alias(c) for c in declared]
     kept = written(placed, "text_rows").select(RECORD, *cells, BAD_ROW, "_block", "_line")
-    return number_rows(kept, ["_block", "_line"], "_block").drop("_block", "_line").withColumn(
+    return number_rows(kept, ["_block", "_line"]).drop("_block", "_line").withColumn(
         BAD_ROW, F.col(BAD_ROW).isNotNull()
     )
 
@@ -132,15 +132,6 @@ def load_experiment(spark: SparkSession, entry: Experiment, reject_missing: bool
     return rows, violations
 
 
-def load_experiments(spark: SparkSession, entries: Sequence[Experiment]) -> tuple[DataFrame, DataFrame]:
-    """Several experiments with the same columns as one table."""
-    loaded = [load_experiment(spark, e) for e in entries]
-    return (
-        reduce(DataFrame.unionByName, [rows for rows, _ in loaded]),
-        reduce(DataFrame.unionByName, [violations for _, violations in loaded]),
-    )
-
-
 def experiment_hashes(spark: SparkSession, entry: Experiment) -> DataFrame:
     """Content hash of every file of an experiment, labels included."""
     paths = [entry.telemetry_path, *[a.path for a in entry.auxiliary]]

@@ -12,28 +12,41 @@ from conftest import rows_of
 from teleproof.operators import blocks as B
 from teleproof.operators import windows as W
 from teleproof.operators.greedy import pack, thin
+from teleproof.operators.numbering import in_order, number_rows
 
 
 def record(spark, values, name="a", column="v"):
     return spark.createDataFrame([(name, i, v) for i, v in enumerate(values)], f"record_id string, row bigint, {column} double")
 
 
-def test_number_rows_with_many_slots(spark):
+def test_number_rows(spark):
     rng = random.Random(1)
-    data = [(rng.choice("aaab"), rng.choice([0.0, 1.0, 2.5, 7.0, 100.0]), i) for i in range(300)]
-    df = spark.createDataFrame(data, "record_id string, time_s double, n bigint")
-    got = rows_of(B.number_rows(df, ["time_s", "n"], "time_s", block_rows=7), "record_id", "row", "n")
+    data = [(rng.choice(["a", "a", "b", None]), rng.choice([0.0, 1.0, 2.5, 7.0, 1e12, None]), i) for i in range(900)]
+    df = spark.createDataFrame(data, "record_id string, time_s double, n bigint").repartition(5)
+    got = rows_of(number_rows(df, ["time_s", "n"]), "record_id", "row", "n")
     want = []
-    for key in "ab":
-        ordered = sorted((t, n) for k, t, n in data if k == key)
-        want += [(key, i, n) for i, (_, n) in enumerate(ordered)]
+    for key in ("a", "b", None):
+        ordered = sorted((t is not None, t or 0.0, n) for k, t, n in data if k == key)
+        want += [(key, i, n) for i, (_, _, n) in enumerate(ordered)]
     assert got == sorted(want, key=repr)
-
-
-def test_number_rows_when_all_positions_are_equal(spark):
-    df = spark.createDataFrame([("a", 1.0, i) for i in range(20)], "record_id string, time_s double, n bigint")
-    got = B.number_rows(df, ["n"], "time_s", block_rows=4).orderBy("n").collect()
-    assert [r["row"] for r in got] == list(range(20))
+    assert number_rows(df.limit(0), ["n"]).collect() == []
+
+
+@pytest.mark.parametrize("times", [lambda i: 1.0, lambda i: 1e15 if i == 0 else float(i % 3)])
+def test_one_time_or_an_outlier_spreads_over_tasks(spark, times):
+    """A long record, all of it at one time, or all but one row crowded at the start of its span."""
+    df = spark.createDataFrame([("a", times(i), i) for i in range(4000)], "record_id string, time_s double, n bigint").repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shares = in_order(df, ["time_s", "n"]).groupBy(F.shiftrightunsigned("_place", 33)).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(shares) == 8 and max(r["count"] for r in shares) < 1000
+    got = number_rows(df, ["time_s", "n"]).orderBy("time_s", "n").collect()
+    assert [r["row"] for r in got] == list(range(4000))
 
 
 @pytest.mark.parametrize("block", [1, 3, 4, 1000])
