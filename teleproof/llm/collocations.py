@@ -189,16 +189,16 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int, longest: int, lang: s
     asked = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")), F.col(f"`{text}`").cast("binary"))
     frequent, found, totals = None, [], None
     for size in range(1, longest + 2):
-        scan = scratch.keep(counted(asked, size, longest, frequent), f"scan-{size}")
+        # One shuffle for both kinds of rows, so that a scan leaves nothing but what is frequent.
+        sums = counted(asked, size, longest, frequent).groupBy("print", "lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        held = scratch.keep(sums.where((F.col("n") >= least) | (F.col("words") == 0)), f"level-{size}")
         if size == 1:
-            totals = scan.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+            totals = held.where("words = 0").select("lang", "n")
         else:
-            known = scan.where("words IS NOT NULL").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
-            found.append(scratch.keep(known.where(F.col("f") >= least), f"phrases-{size - 1}"))
+            found.append(held.where("words > 0").select("lang", "words", "phrase", F.col("n").alias("f")))
             frequent.destroy()
         if size <= longest:
-            sums = scan.where("print IS NOT NULL").groupBy("print").agg(F.sum("n").alias("n"))
-            frequent = spark.sparkContext.broadcast(filter_of(sums.where(F.col("n") >= least)))
+            frequent = spark.sparkContext.broadcast(filter_of(held.where("print IS NOT NULL")))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
