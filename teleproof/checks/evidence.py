@@ -11,7 +11,7 @@ from teleproof.operators import evidence as E
 from teleproof.operators import queries as Q
 from teleproof.operators import windows as W
 from teleproof.operators.blocks import RECORD
-from teleproof.sources.tables import LINE_CHANNELS, event_rows, line_rows, table
+from teleproof.sources.tables import LINE_CHANNELS, event_rows, line_blocks, line_rows, table
 from teleproof.sources.workspace import written
 
 FIELDS = [f.name for f in Q.query_schema().fields]
@@ -98,7 +98,7 @@ WITH {LI}, n AS (SELECT record_id, max(r) + 1 AS n FROM li GROUP BY 1),
 SELECT record_id, q AS query, op, status, {q6('value')} AS value, ds AS detail_start, de AS detail_stop, nx AS next_start_row FROM ans""")
 def query_batch(spark: SparkSession, sf: str) -> DataFrame:
     rows = line_rows(spark, sf)
-    found = Q.run_queries(rows, batch(rows), LINE_CHANNELS)
+    found = Q.run_queries(rows, batch(rows), LINE_CHANNELS, line_blocks(spark, sf))
     return found.select(
         RECORD, F.substring_index("query_id", "|", -1).alias("query"), "op", "status", r6("value").alias("value"),
         "detail_start", "detail_stop", "next_start_row",

@@ -14,6 +14,7 @@ from teleproof.sources.tables import (
     LINE_CHANNELS,
     embedding_rows,
     event_rows,
+    line_blocks,
     line_rows,
     long_layout,
     table,
@@ -336,7 +337,7 @@ FROM w JOIN ll ON ll.record_id = w.record_id AND r >= a AND r < b GROUP BY ALL""
 @check("window_stats", f"WITH {LI}, {LI_LONG}, {LI_WINDOWS} {WINDOW_STATS_SQL}")
 def window_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = line_rows(spark, sf)
-    found = W.window_stats(rows, line_windows(rows), LINE_CHANNELS)
+    found = W.window_stats(rows, line_windows(rows), LINE_CHANNELS, line_blocks(spark, sf))
     return found.select(
         *WHOLE, "channel", "n_rows", r6("mean").alias("mean"), r6("median").alias("median"),
         F.col("min").alias("lowest"), F.col("max").alias("highest"),
@@ -372,7 +373,7 @@ def batched_window_stats(spark: SparkSession, sf: str) -> DataFrame:
         F.struct((n - 5).alias("start_row"), (n + 5).alias("stop_row"), F.lit("l_tax").alias("channel")),
         F.struct(zero.alias("start_row"), (zero + 10).alias("stop_row"), F.lit("l_weight").alias("channel")),
     ))).withColumn("stat", F.lit("mean"))
-    found = W.stat_queries(rows, good.unionByName(bad), LINE_CHANNELS)
+    found = W.stat_queries(rows, good.unionByName(bad), LINE_CHANNELS, line_blocks(spark, sf))
     return found.withColumn("value", r6("value"))
 
 

@@ -127,7 +127,7 @@ def query_bins(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) ->
     return found.filter(F.array_contains("channels", F.col("channel"))).drop("channels")
 
 
-def run_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
+def run_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str], blocks: DataFrame | None = None) -> DataFrame:
     """Answer every query: ``query_id, record_id, op, status, value, detail_start, detail_stop, next_start_row``.
 
     ``value`` is the statistic, metric, onset seconds or run length; for ``read`` and ``profile`` it counts
@@ -159,7 +159,7 @@ def run_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) ->
         return answer(of("profile"), F.least(F.col("bins").cast("bigint"), F.col("stop_row") - F.col("start_row")))
 
     def stat() -> DataFrame:
-        return answer(stat_queries(rows, of("stat").drop("status"), channels), F.col("value"))
+        return answer(stat_queries(rows, of("stat").drop("status"), channels, blocks), F.col("value"))
 
     def quality() -> DataFrame:
         metrics = metric_long(quality_profile(rows, of("quality"), channels))

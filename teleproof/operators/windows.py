@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleproof import settings
-from teleproof.operators.blocks import RECORD, block_of, fits, mask_runs, neighbours
+from teleproof.operators.blocks import RECORD, block_of, fits, neighbours
+from teleproof.operators.pyramid import BATCH, block_stats, ranked_values, run_summaries, summaries
 
 WINDOW = [RECORD, "start_row", "stop_row"]
 STATS = ["mean", "median", "min", "max", "count"]
@@ -48,122 +49,48 @@ def slice_rows(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
     return rows.filter((F.col("row") >= start) & (F.col("row") < stop))
 
 
-def window_stats(rows: DataFrame, windows: DataFrame, channels: Sequence[str], short_rows: int | None = None) -> DataFrame:
+def window_stats(rows: DataFrame, windows: DataFrame, channels: Sequence[str], blocks: DataFrame | None = None) -> DataFrame:
     """All statistics of every distinct window and channel.
 
     Columns: window, ``channel, n_rows, n_values, mean, median, min, max``. A window with a missing reading has
-    ``n_values < n_rows``; callers refuse it instead of imputing.
+    ``n_values < n_rows``; callers refuse it instead of imputing. ``blocks`` are the ``summaries`` of ``rows``, if an ingest wrote them.
     """
-    limit = short_rows or settings.SHORT_WINDOW_ROWS
+    every = F.array(*[F.lit(c) for c in channels])
     distinct = windows.select(*WINDOW).filter(valid_window()).distinct()
-    if fits(rows, limit):
-        return _direct_stats(rows, distinct, channels)
-    length = F.col("stop_row") - F.col("start_row")
-    short = _direct_stats(rows, distinct.filter(length <= limit), channels)
-    long = distinct.filter(length > limit)
-    if long.isEmpty():
-        return short
-    merged = _block_stats(rows, long, channels)
-    middle = refined_median(rows, long, channels)
-    return short.unionByName(
-        merged.join(middle, [*WINDOW, "channel"], "left").select(*short.columns)
-    )
-
-
-def _direct_stats(rows: DataFrame, windows: DataFrame, channels: Sequence[str]) -> DataFrame:
-    held = rows_in_windows(rows.select(RECORD, "row", *channels), windows)
-    stats = [
-        F.struct(
-            F.lit(c).alias("channel"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"),
-            F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"),
-        ).alias(f"_s{i}")
-        for i, c in enumerate(channels)
-    ]
-    packed = held.groupBy(*WINDOW).agg(*stats)
-    return packed.select(*WINDOW, F.inline(F.array(*[f"_s{i}" for i in range(len(channels))])))
+    return asked_stats(rows, distinct.select(*WINDOW, every.alias("_asked"), every.alias("_middle")), channels, blocks)
 
 
-def _block_stats(rows: DataFrame, windows: DataFrame, channels: Sequence[str], size: int | None = None) -> DataFrame:
-    """Mergeable statistics: summaries of fully covered blocks plus the rows of the two cut blocks."""
-    size = size or settings.JOIN_BLOCK_ROWS
-    first = F.ceil(F.col("start_row") / size)
-    last = F.expr(f"stop_row div {size}")
-    parts = [(F.count(F.lit(1)), "_n")]
-    for i, c in enumerate(channels):
-        parts += [(F.count(c), f"_c{i}"), (F.sum(c), f"_s{i}"), (F.min(c), f"_lo{i}"), (F.max(c), f"_hi{i}")]
-    names = [name for _, name in parts]
-    summaries = (
-        rows.withColumn("_bucket", block_of("row", size)).groupBy(RECORD, "_bucket").agg(*[a.alias(n) for a, n in parts])
+def asked_stats(rows: DataFrame, asked: DataFrame, channels: Sequence[str], blocks: DataFrame | None = None) -> DataFrame:
+    """``window_stats`` of distinct windows for the channels each lists in ``_asked``, medians for those in ``_middle`` only."""
+    used = summaries(rows, channels) if blocks is None else blocks
+    stats = block_stats(rows, asked.select(*WINDOW, "_asked"), channels, used, WINDOW)
+    return stats.join(medians(rows, asked.select(*WINDOW, "_middle"), channels), [*WINDOW, "channel"], "left").select(
+        *WINDOW, "channel", "n_rows", "n_values", "mean", "median", "min", "max"
     )
-    covered = windows.join(extents(rows), RECORD).withColumns({
-        "_lo": F.greatest(first, F.expr(f"first_row div {size}")), "_hi": F.least(last, F.ceil(F.col("end_row") / size)),
-    }).filter(F.col("_lo") < F.col("_hi")).withColumn("_bucket", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
-    whole = summaries.join(covered, [RECORD, "_bucket"]).select(*WINDOW, *names)
-    bounds = F.array(
-        F.struct(F.col("start_row").alias("lo"), F.least(first * size, F.col("stop_row")).alias("hi")),
-        F.struct(F.greatest(last * size, F.least(first * size, F.col("stop_row"))).alias("lo"), F.col("stop_row").alias("hi")),
-    )
-    edges = windows.select(*[F.col(c).alias(f"_w_{c}") if c != RECORD else F.col(c) for c in WINDOW], F.inline(bounds))
-    edges = edges.filter(F.col("lo") < F.col("hi")).withColumnsRenamed({"lo": "start_row", "hi": "stop_row"})
-    cut = rows_in_windows(rows.select(RECORD, "row", *channels), edges).groupBy(RECORD, "_w_start_row", "_w_stop_row").agg(
-        *[a.alias(n) for a, n in parts]
-    )
-    cut = cut.withColumnsRenamed({"_w_start_row": "start_row", "_w_stop_row": "stop_row"})
-    merge = [F.sum("_n").alias("_n")]
-    for i in range(len(channels)):
-        merge += [
-            F.sum(f"_c{i}").alias(f"_c{i}"), F.sum(f"_s{i}").alias(f"_s{i}"),
-            F.min(f"_lo{i}").alias(f"_lo{i}"), F.max(f"_hi{i}").alias(f"_hi{i}"),
-        ]
-    total = whole.unionByName(cut).groupBy(*WINDOW).agg(*merge)
-    out = F.array(*[
-        F.struct(
-            F.lit(c).alias("channel"), F.col("_n").alias("n_rows"), F.col(f"_c{i}").alias("n_values"),
-            (F.col(f"_s{i}") / F.nullif(F.col(f"_c{i}"), F.lit(0))).alias("mean"),
-            F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"),
-        )
-        for i, c in enumerate(channels)
-    ])
-    return total.select(*WINDOW, F.inline(out))
 
 
-def refined_median(rows: DataFrame, windows: DataFrame, channels: Sequence[str], margin: float = 0.001) -> DataFrame:
-    """Exact median of long windows without gathering one.
+def medians(rows: DataFrame, asked: DataFrame, channels: Sequence[str], batch: int = BATCH) -> DataFrame:
+    """Exact medians of the channels in ``_middle``: ``window, channel, median``.
 
-    A sketch proposes two cuts around the middle; exact counts per part say which part holds the middle ranks; only
-    distinct values of that part are ranked. The sketch decides the balance, never the answer.
+    A window of at most ``batch`` rows is one group; a longer one is searched by counted pivots.
     """
+    wanted, length = asked.filter(F.size("_middle") > 0), F.col("stop_row") - F.col("start_row")
+    base = rows.select(RECORD, "row", *channels)
+    packed = rows_in_windows(base, wanted.filter(length <= batch)).groupBy(*WINDOW).agg(*[
+        F.struct(F.lit(c).alias("channel"), F.median(F.when(F.array_contains("_middle", c), F.col(c))).alias("median")).alias(f"_s{i}")
+        for i, c in enumerate(channels)
+    ])
+    short = packed.select(*WINDOW, F.inline(F.array(*[f"_s{i}" for i in range(len(channels))])))
+    long = wanted.filter(length > batch)
+    if long.isEmpty():
+        return short
     keys = [*WINDOW, "channel"]
-    held = (
-        rows_in_windows(rows.select(RECORD, "row", *channels), windows)
-        .unpivot(WINDOW, list(channels), "channel", "v")
-        .filter(F.col("v").isNotNull())
-    )
-    cuts = held.groupBy(*keys).agg(
-        F.percentile_approx("v", [0.5 - margin, 0.5 + margin], 10_000).alias("_cut"), F.count(F.lit(1)).alias("_n")
-    )
-    part = F.when(F.col("v") < F.col("_cut")[0], 0).when(F.col("v") <= F.col("_cut")[1], 1).otherwise(2)
-    # Equal values collapse before any ranking.
-    counted = held.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_m")).join(cuts, keys).withColumn("_part", part)
-    sizes = counted.groupBy(*keys, "_part", "_n").agg(F.sum("_m").alias("_k"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    needed = (
-        sizes.withColumn("_base", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-        .filter((F.col("_base") <= high) & (low < F.col("_base") + F.col("_k")))
-        .select(*keys, "_part", "_base")
-    )
-    along = Window.partitionBy(*keys, "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.join(needed, [*keys, "_part"]).withColumn(
-        "_at", F.col("_base") + F.coalesce(F.sum("_m").over(along), F.lit(0))
-    )
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_at") <= rank) & (rank < F.col("_at") + F.col("_m"))
-
-    return ranked.groupBy(*keys).agg(
-        ((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median")
-    )
+    held = rows_in_windows(base, long).unpivot([*WINDOW, "_middle"], list(channels), "channel", "v")
+    held = held.filter(F.col("v").isNotNull() & F.array_contains("_middle", F.col("channel"))).drop("_middle")
+    middle = F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
+    ranks = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.explode(middle).alias("_rank"))
+    found = ranked_values(held, ranks, keys, batch)
+    return short.unionByName(found.groupBy(*keys).agg(((F.min("value") + F.max("value")) / 2).alias("median")))
 
 
 def stat_value(stat: Column) -> Column:
@@ -174,9 +101,12 @@ def stat_value(stat: Column) -> Column:
     )
 
 
-def stat_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """``queries`` (id columns, window, ``channel``, ``stat``) with ``status`` and ``value``."""
-    answered = queries.join(window_stats(rows, queries, channels), [*WINDOW, "channel"], "left")
+def stat_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str], blocks: DataFrame | None = None) -> DataFrame:
+    """``queries`` (id columns, window, ``channel``, ``stat``) with ``status`` and ``value``; only what is asked is computed, once per window and channel."""
+    asked = queries.filter(valid_window()).groupBy(*WINDOW).agg(
+        F.collect_set("channel").alias("_asked"), F.collect_set(F.when(F.col("stat") == "median", F.col("channel"))).alias("_middle")
+    )
+    answered = queries.join(asked_stats(rows, asked, channels, blocks), [*WINDOW, "channel"], "left")
     status = (
         F.when(~valid_window(), "invalid_window")
         .when(F.col("n_rows").isNull() | (F.col("n_rows") < F.col("stop_row") - F.col("start_row")), "outside_record_or_channel")
@@ -189,7 +119,7 @@ def stat_queries(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -
     )
 
 
-def window_deltas(rows: DataFrame, pairs: DataFrame, channels: Sequence[str]) -> DataFrame:
+def window_deltas(rows: DataFrame, pairs: DataFrame, channels: Sequence[str], blocks: DataFrame | None = None) -> DataFrame:
     """Mean of the after window minus mean of the before window.
 
     ``pairs`` has ``pair_id, record_id, channel, before_start, before_stop, after_start, after_stop``.
@@ -201,7 +131,7 @@ def window_deltas(rows: DataFrame, pairs: DataFrame, channels: Sequence[str]) ->
             for s in ("before", "after")
         ])),
     ).withColumn("stat", F.lit("mean"))
-    means = stat_queries(rows, sides, channels)
+    means = stat_queries(rows, sides, channels, blocks)
 
     def pick(side: str, column: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(column)))
@@ -238,33 +168,34 @@ def reading_of(channel: Column, channels: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(channel == c, F.col(c)) for c in channels])
 
 
+def _answered(queries: DataFrame, runs: DataFrame, gates: Sequence[tuple[Column, str]]) -> DataFrame:
+    """Queries with their run summary and a status: the window, its bounds, then ``gates`` in order."""
+    status = F.when(~valid_window(), "invalid_window").when(
+        F.col("_run").isNull() | (F.col("_run.n") < F.col("stop_row") - F.col("start_row")), "outside_record"
+    )
+    for condition, name in gates:
+        status = status.when(condition, name)
+    return queries.join(runs, "query_id", "left").withColumn("status", status.otherwise("ok"))
+
+
+def _missing() -> tuple[Column, str]:
+    return F.col("_run.ok") < F.col("_run.n"), "missing_values"
+
+
 def first_crossing(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Seconds from the window's first row to the first row at or beyond the threshold (inclusive).
 
     ``queries`` has ``query_id``, window, ``channel, threshold, direction``. Never reached is a status, not a value.
     """
-    base = with_previous_time(rows.select(RECORD, "row", "time_s", *channels))
-    held = rows_in_windows(base, queries.filter(valid_window())).withColumn("_v", reading_of(F.col("channel"), channels))
-    hit = F.when(F.col("direction") == "above", F.col("_v") >= F.col("threshold")).otherwise(F.col("_v") <= F.col("threshold"))
-    found = held.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count("_v").alias("_present"),
-        F.min(F.when(inner_pair(), F.col("time_s") - F.col("prev_time"))).alias("_step"),
-        F.min_by("time_s", "row").alias("_t0"),
-        F.min(F.when(hit, F.struct("row", "time_s"))).alias("_hit"),
-    )
-    status = (
-        F.when(~valid_window(), "invalid_window")
-        .when(F.col("_n").isNull() | (F.col("_n") < F.col("stop_row") - F.col("start_row")), "outside_record")
-        .when(F.col("_step") <= 0, "time_not_strictly_increasing")
-        .when(F.col("_present") < F.col("_n"), "missing_values")
-        .when(F.col("_hit").isNull(), "not_reached")
-        .otherwise("ok")
-    )
-    value = F.when(F.col("status") == "ok", F.col("_hit.time_s") - F.col("_t0"))
-    return queries.join(found, "query_id", "left").withColumn("status", status).select(
-        *queries.columns, "status", value.alias("value")
+    value = lambda: reading_of(F.col("channel"), channels)
+    hit = lambda: F.when(F.col("direction") == "above", value() >= F.col("threshold")).otherwise(value() <= F.col("threshold"))
+    runs = run_summaries(
+        rows.select(RECORD, "row", "time_s", *channels), queries.filter(valid_window()), ["channel", "threshold", "direction"], hit, lambda: value().isNotNull()
     )
+    found = _answered(queries, runs, [
+        (F.col("_run.step") <= 0, "time_not_strictly_increasing"), _missing(), (F.col("_run.first").isNull(), "not_reached"),
+    ])
+    return found.select(*queries.columns, "status", F.when(F.col("status") == "ok", F.col("_run.first_t") - F.col("_run.t")).alias("value"))
 
 
 def first_sustained(rows: DataFrame, queries: DataFrame, channels: Sequence[str], strict_time: bool = True) -> DataFrame:
@@ -273,78 +204,34 @@ def first_sustained(rows: DataFrame, queries: DataFrame, channels: Sequence[str]
     ``queries`` has ``query_id``, window, ``channel, threshold, min_records, direction``. The value is in seconds
     from the first row of the window. With ``strict_time`` a window whose time stands still is refused.
     """
-    base = with_previous_time(rows.select(RECORD, "row", "time_s", *channels))
-    held = rows_in_windows(base, queries.filter(valid_window())).withColumn("_v", reading_of(F.col("channel"), channels))
-    gate = held.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count("_v").alias("_present"),
-        F.min(F.when(inner_pair(), F.col("time_s") - F.col("prev_time"))).alias("_step"),
-        F.min_by("time_s", "row").alias("_t0"),
-    )
-    hit = F.when(F.col("direction") == "below", F.col("_v") < F.col("threshold")).otherwise(F.col("_v") > F.col("threshold"))
-    onset = (
-        mask_runs(held.filter(hit), ["query_id", "min_records"], carry=["time_s"])
-        .filter(F.col("stop_row") - F.col("start_row") >= F.col("min_records"))
-        .groupBy("query_id")
-        .agg(F.min("start_row").alias("onset_row"), F.min_by("first_time_s", "start_row").alias("_t"))
-    )
-    status = (
-        F.when(~valid_window(), "invalid_window")
-        .when(F.col("_n").isNull() | (F.col("_n") < F.col("stop_row") - F.col("start_row")), "outside_record")
-        .when(F.lit(strict_time) & (F.col("_step") <= 0), "time_not_strictly_increasing")
-        .when(F.col("_present") < F.col("_n"), "missing_values")
-        .otherwise("ok")
+    value = lambda: reading_of(F.col("channel"), channels)
+    hit = lambda: F.when(F.col("direction") == "below", value() < F.col("threshold")).otherwise(value() > F.col("threshold"))
+    runs = run_summaries(
+        rows.select(RECORD, "row", "time_s", *channels), queries.filter(valid_window()), ["channel", "threshold", "direction", "min_records"], hit,
+        lambda: value().isNotNull(), "min_records",
     )
+    found = _answered(queries, runs, [(F.lit(strict_time) & (F.col("_run.step") <= 0), "time_not_strictly_increasing"), _missing()])
     ok = F.col("status") == "ok"
-    return (
-        queries.join(gate, "query_id", "left").join(onset, "query_id", "left").withColumn("status", status)
-        .select(
-            *queries.columns, "status",
-            F.when(ok, F.col("_t") - F.col("_t0")).alias("value"),
-            F.when(ok, F.col("onset_row")).alias("onset_row"),
-        )
+    return found.select(
+        *queries.columns, "status", F.when(ok, F.col("_run.first_t") - F.col("_run.t")).alias("value"), F.when(ok, F.col("_run.first")).alias("onset_row")
     )
 
 
 def longest_zero_run(rows: DataFrame, queries: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Longest run with every chosen channel exactly zero; the earliest wins ties.
 
-    ``queries`` has ``query_id``, window, ``channels``. The offset counts from ``base_row`` if present, else from
-    the window's first row.
+    ``queries`` has ``query_id``, window, ``channels``. The offset counts from the window's first row.
     """
-    held = rows_in_windows(rows.select(RECORD, "row", "time_s", *channels), queries.filter(valid_window()))
-    zero = reduce(
-        lambda a, b: a & b, [~F.array_contains("channels", c) | F.coalesce(F.col(c) == 0, F.lit(False)) for c in channels]
-    )
-    absent = reduce(lambda a, b: a | b, [F.array_contains("channels", c) & F.col(c).isNull() for c in channels])
-    span = held.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(absent).alias("_absent"), F.min_by("time_s", "row").alias("_t0")
-    )
-    best = (
-        mask_runs(held.filter(zero), ["query_id"], carry=["time_s"])
-        .groupBy("query_id")
-        .agg(
-            F.max_by(
-                F.struct("start_row", "stop_row", "first_time_s"),
-                F.struct((F.col("stop_row") - F.col("start_row")).alias("len"), (-F.col("start_row")).alias("early")),
-            ).alias("_run")
-        )
-    )
-    status = (
-        F.when(~valid_window(), "invalid_window")
-        .when(F.col("_n").isNull() | (F.col("_n") < F.col("stop_row") - F.col("start_row")), "outside_record")
-        .when(F.col("_absent") > 0, "missing_values")
-        .otherwise("ok")
-    )
+    chosen = lambda c: F.array_contains("channels", c)
+    hit = lambda: reduce(lambda a, b: a & b, [~chosen(c) | F.coalesce(F.col(c) == 0, F.lit(False)) for c in channels])
+    present = lambda: reduce(lambda a, b: a & b, [~chosen(c) | F.col(c).isNotNull() for c in channels])
+    runs = run_summaries(rows.select(RECORD, "row", "time_s", *channels), queries.filter(valid_window()), ["channels"], hit, present)
+    found = _answered(queries, runs, [_missing()])
     ok = F.col("status") == "ok"
-    length = F.coalesce(F.col("_run.stop_row") - F.col("_run.start_row"), F.lit(0).cast("bigint"))
-    return (
-        queries.join(span, "query_id", "left").join(best, "query_id", "left").withColumn("status", status)
-        .select(
-            *queries.columns, "status", F.when(ok, length).alias("value"),
-            F.when(ok, F.col("_run.start_row")).alias("run_start"), F.when(ok, F.col("_run.stop_row")).alias("run_stop"),
-            F.when(ok, F.col("_run.first_time_s") - F.col("_t0")).alias("run_start_offset_s"),
-        )
+    start = F.when(ok, F.col("_run.at"))
+    return found.select(
+        *queries.columns, "status", F.when(ok, F.col("_run.best")).alias("value"), start.alias("run_start"), (start + F.col("_run.best")).alias("run_stop"),
+        F.when(ok, F.col("_run.at_t") - F.col("_run.t")).alias("run_start_offset_s"),
     )
 
 

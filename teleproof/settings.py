@@ -10,8 +10,6 @@ from pyspark.sql import SparkSession
 BLOCK_ROWS = 65_536
 # Rows per bucket when windows are joined to rows.
 JOIN_BLOCK_ROWS = 4_096
-# Windows up to this length are aggregated from their rows, longer ones from block summaries.
-SHORT_WINDOW_ROWS = 65_536
 # Events folded in one array; longer chains are cut into blocks.
 CHAIN_EVENTS = 1_024
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from teleproof.functions.scalar import ntz_seconds
 from teleproof.operators.numbering import number_rows
+from teleproof.operators.pyramid import summaries
 from teleproof.sources.workspace import working_copy
 
 LINE_CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -61,6 +62,12 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return working_copy(source, "line_rows", build)
 
 
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block summaries of ``line_rows``, written once beside them."""
+    rows = line_rows(spark, sf_dir)
+    return working_copy(table(spark, sf_dir, "lineitem"), "line_blocks", lambda: summaries(rows, LINE_CHANNELS))
+
+
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders``: one short record per customer."""
     source = table(spark, sf_dir, "orders")

@@ -58,7 +58,8 @@ def working_copy(source: DataFrame, label: str, build: Callable[[], DataFrame])
             del _working_copies[key]
     path = f"{shared_folder(spark)}/teleproof/{label}-{uuid.uuid4().hex}"
     build().write.mode("errorifexists").parquet(path)
-    last = spark.read.parquet(path).agg(F.max("row")).first()[0]
+    held = spark.read.parquet(path)
+    last = held.agg(F.max("row")).first()[0] if "row" in held.columns else None
     longest = None if last is None else last + 1
     _working_copies[key] = path, longest
     return with_length(spark.read.parquet(path), longest)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,22 +148,6 @@ def test_fifty_events_stay_under_the_span(spark):
         assert all(r["b"] - r["a"] <= 12 for r in got)
 
 
-def test_long_windows_equal_short_ones(spark):
-    rng = random.Random(5)
-    data = [(k, i, float(rng.choice([0, 1, 2, 50])) if k == "a" else rng.random()) for k in "ab" for i in range(rng.choice([9000, 9001]))]
-    df = spark.createDataFrame(data, "record_id string, row bigint, v double").repartition(4).cache()
-    spans = [("a", 0, 9000), ("a", 17, 8713), ("b", 0, 8999), ("b", 4096, 8192), ("b", 4000, 4200), ("b", 5, 5000)]
-    windows = spark.createDataFrame(spans, "record_id string, start_row bigint, stop_row bigint")
-    long = W.window_stats(df, windows, ["v"], short_rows=10).collect()
-    assert len(long) == len(spans)
-    for r in long:
-        values = [v for k, i, v in data if k == r["record_id"] and r["start_row"] <= i < r["stop_row"]]
-        assert r["n_rows"] == r["n_values"] == len(values)
-        assert r["mean"] == pytest.approx(statistics.fmean(values))
-        assert r["median"] == statistics.median(values)
-        assert (r["min"], r["max"]) == (min(values), max(values))
-
-
 def test_first_k_with_one_hot_key(spark):
     df = spark.range(1000).selectExpr("if(id < 900, 'hot', 'cold') AS k", "id AS n")
     got = rows_of(B.first_k(df, ["k"], ["n"], 3, F.col("n")), "k", "n")

@@ -12,12 +12,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare, connection  # noqa: E402
 from teleproof import settings  # noqa: E402
+from teleproof.operators import pyramid  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "det_median_step", "det_time_faults", "det_zero_runs", "event_groups", "package_facts", "context_change_points", "cycle_segments",
     "active_runs", "interval_features", "window_stats", "batched_window_stats", "quality_profile", "longest_zero_run",
-    "first_sustained", "slice_last_seconds", "profile_bins", "query_batch", "evidence_replay", "phase_latch", "conflict_examples",
+    "first_sustained", "first_crossing", "sustained_multi_threshold", "slice_last_seconds", "profile_bins", "query_batch", "evidence_replay", "phase_latch", "conflict_examples",
 ]
 
 
@@ -30,7 +31,7 @@ def duck():
 def tiny_blocks(monkeypatch):
     monkeypatch.setattr(settings, "BLOCK_ROWS", 50)
     monkeypatch.setattr(settings, "JOIN_BLOCK_ROWS", 32)
-    monkeypatch.setattr(settings, "SHORT_WINDOW_ROWS", 40)
+    monkeypatch.setattr(pyramid, "FAN", 4)
     monkeypatch.setattr(settings, "CHAIN_EVENTS", 3)
 
 
