@@ -367,14 +367,17 @@ def redacted_view(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FOLD = "replace(lower({0}), 'ß', 'ss')"
+# Lower case with the characters that fold to more than one, and both forms of sigma as one.
+FOLD = "replace(replace(replace(replace(lower({0}), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬆ', 'st'), 'ς', 'σ')"
+# Tokens as another hand may have typed them: sharp s for ss, ligatures for their letters.
+TYPED = "CASE item_id % 3 WHEN 0 THEN replace(text, 'ss', 'ß') WHEN 1 THEN replace(text, 'fi', 'ﬁ') ELSE replace(text, 'st', 'ﬆ') END"
 
 
 @check("leak_scan", f"""
-WITH d AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), b AS (SELECT item_id, {FOLD.format('text')} AS t FROM benchmark)
+WITH d AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), b AS (SELECT item_id, {FOLD.format(TYPED)} AS t FROM benchmark)
 SELECT d.doc_id, b.item_id AS token_id FROM d JOIN b ON contains(d.t, b.t)""")
 def leak_scan(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = table(spark, sf, "benchmark").select(F.col("item_id").alias("token_id"), F.col("text").alias("token"))
+    tokens = table(spark, sf, "benchmark").select(F.col("item_id").alias("token_id"), F.expr(TYPED).alias("token"))
     return R.leak_hits(table(spark, sf, "documents"), tokens)
 
 

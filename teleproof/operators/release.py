@@ -12,9 +12,6 @@ from teleproof.functions.scalar import PRIVATE_TOKENS, fold_case
 from teleproof.sources.workspace import written
 
 NOT_WORD = "[^\\p{L}\\p{N}]+"
-# Neighbouring inner words by which a token is looked up if more than CROWD tokens share its longest inner word.
-KEY_WORDS = 4
-CROWD = 16
 # Limits and wording the public text must keep to.
 PROMPT_CHARS = 90
 TITLE_CHARS = 30
@@ -35,59 +32,40 @@ def built_in_leaks(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [folded.contains(t) for t in PRIVATE_TOKENS])
 
 
-def leak_hits(documents: DataFrame, tokens: DataFrame, crowd: int = CROWD) -> DataFrame:
+def leak_hits(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pairs ``doc_id, token_id`` where the folded text contains the folded token, exactly and over whole texts.
 
-    A word strictly inside a token is delimited by the token itself, so it must be a whole word of any text holding
-    the token, and so must a row of such words. Each distinct token is looked up by its longest inner word; where more than
-    ``crowd`` tokens share that word, by its longest row of up to ``KEY_WORDS`` inner words; and without inner words by its
-    first characters. Only the pairs met there are searched.
+    A word strictly inside a token is delimited by the token itself, so it must be a whole word of any text holding the token. Texts are folded once and
+    their words met once with the inner words of all tokens; each token is then looked up by the one of its inner words that the fewest texts hold. Tokens
+    without inner words are looked up by their first characters. The needles met in a text are gathered before they meet it, so a text travels once.
     """
     folded = tokens.select("token_id", fold_case(F.col("token")).alias("needle")).filter(F.length("needle") > 0)
     words = F.split("needle", NOT_WORD)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    needles = folded.select("needle").distinct().withColumn("inner", inner).withColumn("word", _longest(F.col("inner")))
-    crowded = needles.groupBy("word").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
-    keyed = needles.join(crowded, "word", "left").withColumn(
-        "kind",
-        F.when(F.size("inner") == 0, -F.least(F.lit(3), F.length("needle")))
-        .when(F.col("crowded"), F.least(F.lit(KEY_WORDS), F.size("inner"))).otherwise(1),
-    )
-    keyed = written(keyed, "needles")
-    texts = documents.select("doc_id", fold_case(F.col("text")).alias("body"))
-    pairs = None
-    # At most seven kinds exist, whatever the number of tokens.
-    for kind in sorted(r["kind"] for r in keyed.select("kind").distinct().collect()):
-        if kind > 0:
-            longest, parts, joint = _longest(_rows_of("inner", kind, " ")), F.split("body", NOT_WORD), " "
-        else:
-            longest, parts, joint = F.substring("needle", 1, -kind), F.split("body", ""), ""
-        size = abs(kind)
-        wanted = keyed.filter(F.col("kind") == kind).select("needle", longest.alias("key"))
-        seen = texts.withColumn("parts", parts).filter(F.size("parts") >= size)
-        seen = seen.select("doc_id", F.explode(F.array_distinct(_rows_of("parts", size, joint))).alias("key"))
-        met = seen.join(wanted, "key").select("doc_id", "needle")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        return documents.select("doc_id").withColumn("token_id", F.lit(None).cast(tokens.schema["token_id"].dataType)).limit(0)
-    hits = pairs.join(texts, "doc_id").filter(F.col("body").contains(F.col("needle"))).select("doc_id", "needle")
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    needles = written(folded.select("needle").distinct().withColumn("inner", inner), "needles")
+    texts = documents.select("doc_id", F.monotonically_increasing_id().alias("_d"), fold_case(F.col("text")).alias("body"))
+    texts = written(texts.filter(F.col("body").isNotNull()), "folded")
+
+    keys = needles.select("needle", F.size("inner").alias("_words"), F.explode("inner").alias("key"))
+    held = texts.select("_d", F.explode(F.array_distinct(F.split("body", NOT_WORD))).alias("key"))
+    held = written(held.join(keys.select("key").distinct(), "key", "left_semi"), "postings")
+    spread = held.groupBy("key").agg(F.count(F.lit(1)).alias("_texts"))
+    # A token of which some inner word occurs nowhere is in no text.
+    rarest = keys.join(spread, "key").groupBy("needle", "_words").agg(F.min_by("key", "_texts").alias("key"), F.count(F.lit(1)).alias("_met"))
+    pairs = held.join(rarest.filter(F.col("_met") == F.col("_words")), "key").select("_d", "needle")
+
+    edges = needles.filter(F.size("inner") == 0)
+    for size in sorted(r["n"] for r in edges.select(F.least(F.lit(3), F.length("needle")).alias("n")).distinct().collect()):
+        mine = F.least(F.lit(3), F.length("needle")) == size
+        wanted = edges.filter(mine).select("needle", F.substring("needle", 1, size).alias("key"))
+        starts = F.sequence(F.lit(1), F.length("body") - size + 1)
+        seen = texts.filter(F.length("body") >= size).select("_d", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("body", i, F.lit(size))))).alias("key"))
+        pairs = pairs.unionByName(seen.join(wanted, "key").select("_d", "needle"))
+    gathered = pairs.groupBy("_d").agg(F.collect_set("needle").alias("_needles"))
+    hits = texts.join(gathered, "_d").select("doc_id", F.explode(F.filter("_needles", lambda n: F.contains(F.col("body"), n))).alias("needle"))
     return hits.join(folded, "needle").select("doc_id", "token_id")
 
 
-def _longest(texts: Column) -> Column:
-    return F.array_max(F.transform(texts, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-
-
-def _rows_of(parts: str, size: int, joint: str) -> Column:
-    """All rows of ``size`` neighbouring parts, joined; ``parts`` holds at least that many."""
-    if size == 1:
-        return F.col(parts)
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - size),
-        lambda i: F.concat_ws(joint, *[F.get(parts, i + k) for k in range(size)]),
-    )
-
-
 def style_errors(tasks: DataFrame, key: str, title: str, prompt: str) -> DataFrame:
     """Screening rules of public wording as ``key, rule``; passing is no approval."""
     sentences = F.size(F.filter(F.split(prompt, SENTENCE_ENDS), lambda s: s.rlike(r"\S")))
