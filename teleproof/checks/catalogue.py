@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from teleproof.checks.registry import EV, LI, ORD, check, q6, r6
 from teleproof.functions import scalar as S
 from teleproof.operators import catalog as C
+from teleproof.operators import nested as N
 from teleproof.operators import release as R
 from teleproof.operators import runlog as L
 from teleproof.operators.blocks import RECORD
@@ -164,13 +165,13 @@ def source_groups(spark: SparkSession, sf: str) -> DataFrame:
 @check("structural_duplicates", """
 WITH m AS (SELECT l_orderkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS m,
     string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS c FROM lineitem GROUP BY 1),
-  s AS (SELECT o_orderstatus, o_orderpriority, coalesce(m, '') AS members, coalesce(c, '') AS checks FROM orders LEFT JOIN m ON l_orderkey = o_orderkey)
-SELECT sha256(concat_ws('|', o_orderstatus, o_orderpriority, members, checks)) AS signature, o_orderstatus, o_orderpriority, members, checks,
-  CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1""")
+  s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, coalesce(m, '') AS members, coalesce(c, '') AS checks FROM orders LEFT JOIN m ON l_orderkey = o_orderkey)
+SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS "first" FROM s GROUP BY o_orderstatus, o_orderpriority, members, checks
+HAVING count(*) > 1""")
 def structural_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag")
     kind = ["o_orderstatus", "o_orderpriority"]
-    return C.structural_duplicates(table(spark, sf, "orders"), lines, "o_orderkey", kind, "l_linenumber", lines, "l_returnflag")
+    return C.structural_duplicates(table(spark, sf, "orders"), lines, "o_orderkey", kind, "l_linenumber", lines, "l_returnflag").drop("signature")
 
 
 @check("unique_match", """
@@ -289,8 +290,10 @@ WITH {CASES}, v AS (SELECT case_id, 'rows_out_of_scope' AS rule FROM fa JOIN src
   UNION ALL SELECT case_id, 'report_changed' FROM ca WHERE status = 'accepted' AND price BETWEEN 60000 AND 70000
   UNION ALL SELECT case_id, 'facts_not_as_checked' FROM ca WHERE status = 'accepted' AND price BETWEEN 70000 AND 80000
   UNION ALL SELECT DISTINCT case_id, 'unverified_fact' FROM fa JOIN ca USING (case_id) WHERE status = 'accepted' AND a = 10
-  UNION ALL SELECT DISTINCT case_id, 'unverified_alignment' FROM fa JOIN ca USING (case_id) WHERE status = 'accepted' AND source_id = owner
-  UNION ALL SELECT DISTINCT case_id, 'artifact_coverage' FROM fa JOIN ca USING (case_id) WHERE o_orderpriority = '4-NOT SPECIFIED'
+  UNION ALL SELECT DISTINCT case_id, 'unverified_alignment' FROM fa JOIN ca USING (case_id) WHERE status = 'accepted' AND source_id = owner AND o_orderpriority <> '4-NOT SPECIFIED'
+  UNION ALL SELECT DISTINCT case_id, 'undeclared_source' FROM fa WHERE NOT EXISTS (SELECT 1 FROM fa g WHERE g.case_id = fa.case_id AND g.source_id = fa.source_id AND fact_id <> 7)
+  UNION ALL SELECT DISTINCT case_id, 'artifact_coverage' FROM fa JOIN ca USING (case_id) WHERE CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN fact_id <> 7
+    ELSE NOT EXISTS (SELECT 1 FROM fa g WHERE g.case_id = fa.case_id AND g.source_id = fa.source_id AND fact_id <> 7) END
   UNION ALL SELECT case_id, 'rows_out_of_scope' FROM (SELECT case_id, source_id, min(a) AS a, max(b) AS b FROM fa GROUP BY 1, 2) JOIN src USING (source_id) WHERE NOT b <= n_rows)
 SELECT case_id, rule, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1, 2""")
 def case_record_gates(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,30 +327,44 @@ def case_record_gates(spark: SparkSession, sf: str) -> DataFrame:
         F.when(priority != "2-HIGH", F.lit(1)).alias("fact_id"),
     )
     sources = lines.groupBy(F.col("l_suppkey").alias("source_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return C.case_gates(cases, facts, claims, sources, artifacts, windows)
+    declared = facts.filter(F.col("fact_id") != 7).select("case_id", "source_id").distinct()
+    return C.case_gates(cases, facts, claims, sources, artifacts, windows, declared)
 
 
 @check("bundle_gates", """
-WITH v AS (SELECT l_orderkey AS task_id, 'unknown_task' AS rule FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-  UNION ALL SELECT o_orderkey, 'no_evidence' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-  UNION ALL SELECT l_orderkey, 'repeated_answer_key' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-  UNION ALL SELECT o_orderkey, 'blocked_but_accepted' FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+WITH tk AS (SELECT o_orderkey AS task_id, o_custkey AS bundle_id, o_orderstatus AS kind, o_orderpriority = '1-URGENT' AS guided, o_orderkey % 3 AS nd FROM orders),
+  ci AS (SELECT l_orderkey AS task_id, l_linenumber AS fact_id, l_returnflag || l_linestatus AS k FROM lineitem),
+  rv AS (SELECT bundle_id, task_id, kind = 'F' AS ok, task_id % 5 = 0 AS blocking FROM tk WHERE task_id % 11 <> 0
+    UNION ALL SELECT bundle_id, task_id, false, false FROM tk WHERE task_id % 13 = 0 UNION ALL SELECT bundle_id, task_id + 1000000000, false, false FROM tk WHERE task_id % 17 = 0),
+  st AS (SELECT bundle_id, kind, task_id, string_agg(DISTINCT CAST(fact_id AS VARCHAR), ',' ORDER BY CAST(fact_id AS VARCHAR)) AS f FROM tk LEFT JOIN ci USING (task_id) GROUP BY 1, 2, 3),
+  v AS (SELECT task_id, 'unknown_task' AS rule FROM ci WHERE task_id NOT IN (SELECT task_id FROM tk)
+    UNION ALL SELECT task_id, 'no_evidence' FROM tk WHERE task_id NOT IN (SELECT task_id FROM ci)
+    UNION ALL SELECT task_id, 'unknown_fact' FROM ci JOIN tk USING (task_id) WHERE fact_id = 7
+    UNION ALL SELECT min(task_id), 'repeated_structure' FROM st GROUP BY bundle_id, kind, f HAVING count(*) > 1
+    UNION ALL SELECT task_id, 'repeated_answer_key' FROM ci GROUP BY task_id, k HAVING count(*) > 1
+    UNION ALL SELECT task_id, 'investigation_without_decisions' FROM tk WHERE guided AND nd = 0
+    UNION ALL SELECT task_id, 'not_reviewed' FROM tk WHERE task_id NOT IN (SELECT task_id FROM rv)
+    UNION ALL SELECT task_id, 'reviewed_more_than_once' FROM rv GROUP BY bundle_id, task_id HAVING count(*) > 1
+    UNION ALL SELECT task_id, 'review_of_unknown_task' FROM rv WHERE task_id NOT IN (SELECT task_id FROM tk)
+    UNION ALL SELECT task_id, 'blocking_issue_overridden' FROM rv WHERE ok AND blocking)
 SELECT DISTINCT task_id, rule FROM v""")
 def bundle_gates(spark: SparkSession, sf: str) -> DataFrame:
-    """Task bundle rules: known tasks, evidence for each task, unique answer keys, no acceptance over a blocking issue."""
-    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "task_id")
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), "l_linenumber")
-    blocked = ~((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
-    parts = [
-        C.dangling(lines, orders, ["task_id"]).select("task_id", F.lit("unknown_task").alias("rule")),
-        C.dangling(orders, lines, ["task_id"]).select("task_id", F.lit("no_evidence").alias("rule")),
-        C.duplicate_keys(lines, ["task_id", "l_linenumber"]).select("task_id", F.lit("repeated_answer_key").alias("rule")),
-        C.rule_violations(orders, "task_id", {"blocked_but_accepted": blocked}),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    """Orders as tasks of the bundle of their customer, lines as cited and checked facts, of which a bundle has six."""
+    key = F.col("task_id")
+    tasks = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("bundle_id"), F.col("o_orderstatus").alias("task_type"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("guided"), (F.col("o_orderkey") % 3).alias("n_decisions"),
+    )
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").cast("int").alias("fact_id"), F.concat("l_returnflag", "l_linestatus").alias("answer_key")
+    )
+    facts = tasks.select("bundle_id").distinct().withColumn("fact_id", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    review = lambda df, decision, n: df.select("bundle_id", "task_id", decision.alias("decision"), n.alias("n_blocking"))
+    revise, none = F.lit("revise"), F.lit(0)
+    reviews = review(tasks.filter(key % 11 != 0), F.when(F.col("task_type") == "F", "accept").otherwise("revise"), F.when(key % 5 == 0, 1).otherwise(0))
+    reviews = reviews.unionByName(review(tasks.filter(key % 13 == 0), revise, none))
+    reviews = reviews.unionByName(review(tasks.filter(key % 17 == 0).withColumn("task_id", key + 1_000_000_000), revise, none))
+    return C.bundle_gates(tasks, lines.select("task_id", "fact_id"), facts, lines, reviews)
 
 
 # ---------------------------------------------------------------- release
@@ -427,6 +444,104 @@ def stale_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return R.review_binding(documents, judged, "doc_id", "text")
 
 
+PARTS = """pt AS (SELECT doc_id, sha256(text) AS proposal, sha256(concat_ws('|', lang, source)) AS public, sha256(source) AS material, sha256(CAST(n_chars AS VARCHAR)) AS rubric FROM documents),
+  rp AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'reject' ELSE 'accept' END AS decision, CASE WHEN l.doc_id % 9 = 0 THEN 1 ELSE 0 END AS nb,
+    concat_ws(',', CASE WHEN quality = 0 THEN 'proposal' END, CASE WHEN l.doc_id % 5 = 0 THEN 'public' END, CASE WHEN l.doc_id % 7 = 0 THEN 'rubric' END) AS stale FROM labels l),
+  bp AS (SELECT d.doc_id, CASE WHEN rp.doc_id IS NULL THEN 'missing' WHEN stale <> '' THEN 'stale' WHEN decision <> 'accept' OR nb > 0 THEN 'not_accepted' ELSE 'bound' END AS status,
+    coalesce(stale, '') AS stale FROM documents d LEFT JOIN rp USING (doc_id))"""
+PART_NAMES = ["proposal", "public", "material", "rubric"]
+
+
+def reviewed_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Digests of the parts of each document, and reviews made when some of them were different."""
+    hashed = lambda c: F.sha2(c, 256)
+    items = table(spark, sf, "documents").select(
+        "doc_id", hashed(F.col("text")).alias("proposal"), hashed(F.concat_ws("|", "lang", "source")).alias("public"), hashed(F.col("source")).alias("material"),
+        hashed(F.col("n_chars").cast("string")).alias("rubric"),
+    )
+    old, key = F.repeat(F.lit("0"), 64), F.col("doc_id")
+    judged = table(spark, sf, "labels").join(items, "doc_id").select(
+        "doc_id", F.when(F.col("toxic") == 1, "reject").otherwise("accept").alias("decision"), F.when(key % 9 == 0, 1).otherwise(0).alias("blocking_issues"),
+        F.lit("read").alias("rationale"), F.when(F.col("quality") == 0, old).otherwise(F.col("proposal")).alias("proposal"),
+        F.when(key % 5 == 0, old).otherwise(F.col("public")).alias("public"), "material", F.when(key % 7 == 0, old).otherwise(F.col("rubric")).alias("rubric"),
+    )
+    return items, judged
+
+
+@check("review_parts", f"WITH {PARTS} SELECT doc_id, status, stale FROM bp")
+def review_parts(spark: SparkSession, sf: str) -> DataFrame:
+    items, judged = reviewed_parts(spark, sf)
+    return R.bound_parts(items, judged, "doc_id", PART_NAMES)
+
+
+@check("review_outcomes", f"""WITH {PARTS} SELECT doc_id, status, stale, CASE WHEN status <> 'bound' THEN 'review_' || status WHEN doc_id % 2 = 0 THEN 'unverified'
+  WHEN doc_id % 3 = 0 THEN 'verification_failed' WHEN doc_id % 11 = 1 THEN 'verification_stale' WHEN doc_id % 13 = 1 THEN 'sources_changed' ELSE 'final' END AS outcome FROM bp""")
+def review_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bound reviews joined with raw verifications, of which some are absent, failed, made on other material or on sources that changed."""
+    items, judged = reviewed_parts(spark, sf)
+    key = F.col("doc_id")
+    checked = items.filter(key % 2 != 0).select(
+        "doc_id", (key % 3 != 0).alias("all_passed"), (key % 13 == 1).alias("sources_changed"), "rubric",
+        F.when(key % 11 == 1, "").otherwise(F.col("material")).alias("material"),
+    )
+    return R.finalised(R.bound_parts(items, judged, "doc_id", PART_NAMES), checked, items, "doc_id", ["material", "rubric"])
+
+
+@check("publication_gates", """
+WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id, sha256(text) AS h FROM documents), n AS (SELECT *, CASE WHEN p < 10 THEN 'T0' ELSE 'T' END || p AS id FROM t)
+SELECT CASE WHEN p % 10 = 4 THEN 'T' || (p + 1000000) ELSE id END AS task_id, rule FROM n, (VALUES ('out_of_order'), ('provenance_count_differs'), ('unexpected_fields'), ('differs_from_approved')) v(rule)
+WHERE CASE rule WHEN 'out_of_order' THEN p % 10 = 4 WHEN 'provenance_count_differs' THEN p % 10 IN (4, 5, 6) WHEN 'unexpected_fields' THEN p % 10 = 7 ELSE p % 10 IN (4, 8) END
+UNION ALL SELECT id, 'provenance_without_task' FROM n WHERE p % 10 = 4""")
+def publication_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as numbered tasks; by the last digit of the number: 4 is misnamed, 5 lacks its provenance, 6 has it twice, 7 has a private field, 8 differs."""
+    numbered = number_rows(table(spark, sf, "documents").select("doc_id", sha().alias("content"), F.lit(0).alias(RECORD)), ["doc_id"])
+    position = F.col("row") + 1
+    named = numbered.select(F.concat(F.when(position < 10, F.lit("T0")).otherwise(F.lit("T")), position.cast("string")).alias("task_id"), position.alias("position"), "content")
+    digit = F.col("position") % 10
+    origins = named.filter(digit != 5).select("task_id").unionByName(named.filter(digit == 6).select("task_id"))
+    approved = named.withColumn("content", F.when(digit == 8, "").otherwise(F.col("content"))).select("task_id", "content")
+    public = ["prompt", "task_id", "title"]
+    shown = F.array(*[F.lit(c) for c in public])
+    tasks = named.withColumns({
+        "task_id": F.when(digit == 4, F.concat(F.lit("T"), (F.col("position") + 1_000_000).cast("string"))).otherwise(F.col("task_id")),
+        "fields": F.when(digit == 7, F.array_append(shown, F.lit("source_hashes"))).otherwise(shown),
+    })
+    return R.publication_gates(tasks, origins, public, approved)
+
+
+def nested_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their lines inside, private fields at three depths."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("int").alias("line"), F.col("l_partkey").alias("part"),
+        F.struct(F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("expected_verdict")).alias("origin"),
+        F.when(F.col("l_quantity") > 45, F.lit(float("inf"))).when(F.col("l_quantity") < 5, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("quantity"),
+    )
+    held = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("line", "part", "origin", "quantity"))).alias("lines"))
+    return table(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("expected_value")).alias("head")).join(held, "o_orderkey")
+
+
+@check("pruned_view", """
+SELECT o_orderkey, o_custkey AS customer, 'customer' AS head_fields, 'line,part,origin,quantity' AS line_fields, 'supplier' AS origin_fields,
+  CAST(l_linenumber AS INTEGER) AS line, l_partkey AS part, l_suppkey AS supplier FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def pruned_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Private fields dropped at every depth by one rule over the schema; what is left, and the names that are left."""
+    view = N.pruned(nested_orders(spark, sf), ["expected_value", "expected_verdict"])
+    lines = view.schema["lines"].dataType.elementType
+    names = lambda kind: F.lit(",".join(kind.fieldNames()))
+    return view.select("o_orderkey", "head.customer", names(view.schema["head"].dataType).alias("head_fields"), names(lines).alias("line_fields"),
+                       names(lines["origin"].dataType).alias("origin_fields"), F.explode("lines").alias("x")).select(
+        "o_orderkey", "customer", "head_fields", "line_fields", "origin_fields", "x.line", "x.part", "x.origin.supplier")
+
+
+@check("cleaned_view", """
+SELECT o_orderkey, o_totalprice AS expected_value, CAST(l_linenumber AS INTEGER) AS line, l_returnflag AS verdict,
+  CASE WHEN l_quantity BETWEEN 5 AND 45 THEN l_quantity END AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def cleaned_view(spark: SparkSession, sf: str) -> DataFrame:
+    """NaN and infinity become null at every depth; nothing else changes."""
+    view = N.cleaned(nested_orders(spark, sf)).select("o_orderkey", "head.expected_value", F.explode("lines").alias("x"))
+    return view.select("o_orderkey", "expected_value", "x.line", F.col("x.origin.expected_verdict").alias("verdict"), "x.quantity")
+
+
 @check("numeric_id_sort", """
 SELECT CASE WHEN doc_id < 10 THEN 'T0' ELSE 'T' END || doc_id AS task_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""")
 def numeric_id_sort(spark: SparkSession, sf: str) -> DataFrame:

@@ -224,9 +224,12 @@ def low_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return written(C.phase_intervals(cycled(spark, sf), F.col("k") < 50, 2), "intervals")
 
 
+def branches() -> list[tuple]:
+    return [(f"b{i}", F.col("value") > limit, 3600.0 * i) for i, limit in enumerate((10, 20, 40), 1)]
+
+
 def branch_runs(rows: DataFrame) -> DataFrame:
-    branches = [(f"b{i}", F.col("value") > limit, 3600.0 * i) for i, limit in enumerate((10, 20, 40), 1)]
-    return C.active_runs(rows, branches, 2)
+    return C.active_runs(rows, branches(), 2)
 
 
 @check("cycle_segments", f"WITH {CYCLES} SELECT record_id, cycle, a AS start_row, b AS stop_row FROM seg")
@@ -273,18 +276,27 @@ def source_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 @check("capacity_audit", f"""WITH {FEATURES}, nn AS (SELECT record_id, event_type <> 'error' AS is_normal FROM ev WHERE r = 0),
   sg AS (SELECT record_id, count(*) AS c, max(b) AS n FROM seg GROUP BY 1), i1 AS (SELECT record_id, count(*) AS i FROM iv GROUP BY 1),
-  f1 AS (SELECT record_id, count(offset_s) AS rc, count(*) FILTER (median <= 10) AS lc FROM ft WHERE threshold = 20 GROUP BY 1)
-SELECT CAST(count(*) AS BIGINT) AS sources, CAST(count(*) FILTER (is_normal) AS BIGINT) AS normal_sources,
+  f1 AS (SELECT record_id, count(offset_s) AS rc, count(*) FILTER (median <= 10) AS lc FROM ft WHERE threshold = 20 GROUP BY 1),
+  {RUNS}, t1 AS (SELECT record_id, count(*) AS ru FROM ru GROUP BY 1), z AS (SELECT record_id, r, r - row_number() OVER (PARTITION BY record_id ORDER BY r) AS g FROM ev WHERE k = 0),
+  z1 AS (SELECT record_id, count(*) AS zr, count(DISTINCT g) AS zg FROM z GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS sources, CAST(coalesce(sum(ru), 0) AS BIGINT) AS load_runs, CAST(coalesce(sum(zr), 0) AS BIGINT) AS zero_rows,
+  CAST(coalesce(sum(zg), 0) AS BIGINT) AS zero_ranges, CAST(count(*) FILTER (is_normal) AS BIGINT) AS normal_sources,
   CAST(count(*) FILTER (NOT is_normal) AS BIGINT) AS fault_sources, CAST(sum(n) AS BIGINT) AS raw_rows, CAST(sum(c) AS BIGINT) AS cycles,
   CAST(coalesce(sum(c) FILTER (is_normal), 0) AS BIGINT) AS normal_cycles, CAST(coalesce(sum(c) FILTER (NOT is_normal), 0) AS BIGINT) AS fault_cycles,
   CAST(coalesce(sum(i) FILTER (is_normal), 0) AS BIGINT) AS normal_low_intervals,
   CAST(coalesce(sum(lc) FILTER (is_normal), 0) AS BIGINT) AS normal_low_median_count,
   CAST(coalesce(sum(rc) FILTER (is_normal), 0) AS BIGINT) AS normal_recovery_count
-FROM sg JOIN nn USING (record_id) LEFT JOIN i1 USING (record_id) LEFT JOIN f1 USING (record_id)""")
+FROM sg JOIN nn USING (record_id) LEFT JOIN i1 USING (record_id) LEFT JOIN f1 USING (record_id) LEFT JOIN t1 USING (record_id) LEFT JOIN z1 USING (record_id)""")
 def capacity_audit(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_rows(spark, sf)
     normal = rows.filter(F.col("row") == 0).select(RECORD, (F.col("event_type") != "error").alias("is_normal"))
-    return C.capacity_audit(rows, purchase(), F.col("k") < 50, "value", normal, 2, 20.0, 2, 10.0)
+    return C.capacity_audit(rows, purchase(), F.col("k") < 50, "value", normal, 2, 20.0, 2, 10.0, branches(), 2, ["k"])
+
+
+@check("load_timing", f"""WITH {CYCLES}, {RUNS} SELECT record_id, branch, CAST(count(*) AS BIGINT) AS observed_runs, {q6('min(start_minus)')} AS start_min_s,
+  {q6('max(start_minus)')} AS start_max_s FROM ru GROUP BY 1, 2""")
+def load_timing(spark: SparkSession, sf: str) -> DataFrame:
+    return C.load_timing(branch_runs(cycled(spark, sf))).withColumns({c: r6(c) for c in ("start_min_s", "start_max_s")})
 
 
 @check("corpus_totals", f"""
@@ -315,8 +327,7 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @check("context_values", f"""
-WITH {EV} SELECT record_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS context_values, CAST(count(DISTINCT event_type) AS BIGINT) AS n
-FROM ev GROUP BY 1""")
+WITH {EV} SELECT record_id, event_type AS context, CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY 1, 2""")
 def context_values(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = event_rows(spark, sf).groupBy(RECORD).agg(F.array_sort(F.collect_set("event_type")).alias("seen"))
-    return distinct.select(RECORD, F.array_join("seen", ",").alias("context_values"), F.size("seen").cast("bigint").alias("n"))
+    """Different context values of each record as rows, however many there are."""
+    return event_rows(spark, sf).groupBy(RECORD, F.col("event_type").alias("context")).agg(F.count(F.lit(1)).alias("n"))

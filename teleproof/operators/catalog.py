@@ -115,23 +115,30 @@ def is_identifier(value: Column) -> Column:
     return value.rlike(IDENTIFIER)
 
 
+def set_digest(frame: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """A digest of the different values of each key, whatever their order: ``key, name``.
+
+    Two hashes of every value are summed, so partial sums combine before the shuffle and no task gathers a set.
+    """
+    text = F.col(value).cast("string")
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), text).cast("decimal(20, 0)"))
+    return frame.select(key, value).distinct().groupBy(key).agg(F.concat_ws(":", F.count(F.lit(1)), part(1), part(2)).alias(name))
+
+
 def structural_duplicates(
     tasks: DataFrame, members: DataFrame, task: str, kind: Sequence[str], member: str, checks: DataFrame | None = None, check: str | None = None
 ) -> DataFrame:
     """Tasks of one kind over the same sets of members and of checks; wording does not make a task new, nor does having none of them.
 
-    Values are distinct per task before they meet, so a gathered set is as small as the set of members.
+    Returns ``kind, signature, n``, the number of tasks that share a signature, and ``first``, the least of them.
     """
-    signed, lists = tasks, []
-    for frame, value, name in ((members, member, "members"), (checks, check, "checks")):
+    signed, digests = tasks, []
+    for frame, value, name in ((members, member, "_members"), (checks, check, "_checks")):
         if frame is not None:
-            sets = frame.select(task, value).distinct().groupBy(task).agg(
-                F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), ",").alias(name)
-            )
-            signed = signed.join(sets, task, "left").withColumn(name, F.coalesce(name, F.lit("")))
-            lists.append(name)
-    signed = signed.withColumn("signature", F.sha2(F.concat_ws("|", *kind, *lists), 256))
-    return signed.groupBy("signature", *kind, *lists).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+            signed = signed.join(set_digest(frame, task, value, name), task, "left").withColumn(name, F.coalesce(name, F.lit("")))
+            digests.append(name)
+    signed = signed.withColumn("signature", F.sha2(F.concat_ws("|", *kind, *digests), 256))
+    return signed.groupBy("signature", *kind).agg(F.count(F.lit(1)).alias("n"), F.min(task).alias("first")).filter(F.col("n") > 1)
 
 
 def filled(column: str) -> Column:
@@ -169,13 +176,15 @@ def acceptance_rules(columns: Sequence[str]) -> dict[str, Column]:
 
 def case_gates(
     cases: DataFrame, facts: DataFrame, claims: DataFrame, sources: DataFrame, artifacts: DataFrame | None = None, windows: DataFrame | None = None,
+    declared: DataFrame | None = None,
 ) -> DataFrame:
     """Violated rules of case records as ``case_id, rule``.
 
     ``cases``: case_id, status, decision, content_sha, reviewed_sha, merge_into and the columns of ``acceptance_rules``. ``facts``: case_id,
     fact_id, source_id, start_row, stop_row and perhaps verification_status. ``claims``: case_id, claim_id, verdict, fact_id (null without
-    evidence). ``sources``: source_id, n_rows. ``artifacts``: case_id, source_id, alignment; they must be the sources of the facts, each
-    once. ``windows``: case_id, source_id, start_row, stop_row.
+    evidence). ``sources``: source_id, n_rows. ``declared``: case_id, source_id, the sources a case is about; all its facts and windows lie in them
+    (without it, the sources of the facts). ``artifacts``: case_id, source_id, alignment; they must be the declared sources, each once.
+    ``windows``: case_id, source_id, start_row, stop_row.
     """
     scoped = ["case_id", "source_id", "start_row", "stop_row"]
     ranges = facts.select(*scoped) if windows is None else facts.select(*scoped).unionByName(windows.select(*scoped))
@@ -215,11 +224,13 @@ def case_gates(
 
     if "verification_status" in facts.columns:
         broken(facts.filter(~F.col("verification_status").eqNullSafe(F.lit("passed"))).join(accepted, "case_id", "left_semi"), "unverified_fact")
+    if declared is not None:
+        broken(dangling(ranges, declared, ["case_id", "source_id"]), "undeclared_source")
     if windows is not None:
         broken(accepted.join(windows, "case_id", "left_anti"), "accepted_without_windows")
     if artifacts is not None:
         held = artifacts.groupBy("case_id", "source_id").agg(F.count(F.lit(1)).alias("_n"))
-        used = facts.select("case_id", "source_id").distinct().withColumn("_used", F.lit(True))
+        used = (facts if declared is None else declared).select("case_id", "source_id").distinct().withColumn("_used", F.lit(True))
         uncovered = held.join(used, ["case_id", "source_id"], "full_outer")
         broken(uncovered.filter(F.col("_n").isNull() | F.col("_used").isNull() | (F.col("_n") > 1)), "artifact_coverage")
         broken(artifacts.filter(~F.coalesce(F.col("alignment") != "unverified", F.lit(False))).join(accepted, "case_id", "left_semi"), "unverified_alignment")
@@ -227,3 +238,35 @@ def case_gates(
     for part in parts:
         out = out.unionByName(part)
     return out.groupBy("case_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bundle_gates(
+    tasks: DataFrame, cited: DataFrame, facts: DataFrame, checks: DataFrame, reviews: DataFrame,
+) -> DataFrame:
+    """Violated rules of task bundles as ``task_id, rule``.
+
+    ``tasks``: task_id, bundle_id, task_type, guided (does it claim an investigation?), n_decisions. ``cited``: task_id, fact_id. ``facts``: bundle_id,
+    fact_id. ``checks``: task_id, answer_key, fact_id. ``reviews``: bundle_id, task_id, decision, n_blocking; every task is reviewed once, and a blocking
+    issue cannot be accepted away. Of tasks that repeat a structure, the first stands for all.
+    """
+    owner = tasks.select("task_id", "bundle_id").distinct()
+    used = cited.select("task_id", "fact_id").unionByName(checks.select("task_id", "fact_id")).distinct()
+    invented = dangling(used.join(owner, "task_id"), facts, ["bundle_id", "fact_id"])
+    known = ["bundle_id", "task_id"]
+    judged = reviews.groupBy(*known).agg(F.count(F.lit(1)).alias("_n"))
+    covered = tasks.select(*known).distinct().withColumn("_task", F.lit(True)).join(judged, known, "full_outer")
+    overridden = reviews.filter(F.col("decision").isin("accept", "basic_only") & (F.col("n_blocking") > 0))
+    same = structural_duplicates(tasks, cited, "task_id", ["bundle_id", "task_type"], "fact_id", checks, "fact_id")
+    parts = {
+        "unknown_task": dangling(used, tasks, ["task_id"]), "no_evidence": dangling(tasks, cited, ["task_id"]), "unknown_fact": invented,
+        "repeated_task": duplicate_keys(tasks, known), "repeated_structure": same.withColumnRenamed("first", "task_id"),
+        "repeated_answer_key": duplicate_keys(checks, ["task_id", "answer_key"]),
+        "investigation_without_decisions": tasks.filter(F.col("guided") & (F.coalesce("n_decisions", F.lit(0)) == 0)),
+        "not_reviewed": covered.filter(F.col("_n").isNull()), "reviewed_more_than_once": covered.filter(F.col("_n") > 1),
+        "review_of_unknown_task": covered.filter(F.col("_task").isNull()), "blocking_issue_overridden": overridden,
+    }
+    rows = [part.select("task_id", F.lit(rule).alias("rule")) for rule, part in parts.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleproof.operators.blocks import RECORD, mask_runs, neighbours, running
+from teleproof.operators.detect import zero_runs
 from teleproof.operators.windows import first_sustained, window_stats
 from teleproof.sources.workspace import written
 
@@ -104,16 +105,30 @@ def label_transitions(rows: DataFrame, label: str) -> DataFrame:
     )
 
 
+def load_timing(runs: DataFrame) -> DataFrame:
+    """Per record and branch: its active runs and the range of their starts against the nominal ones."""
+    start = "start_minus_nominal_s"
+    return runs.groupBy(RECORD, "branch").agg(F.count(F.lit(1)).alias("observed_runs"), F.min(start).alias("start_min_s"), F.max(start).alias("start_max_s"))
+
+
 def capacity_audit(
     rows: DataFrame, active: Column, phase: Column, channel: str, normal: DataFrame, min_phase_rows: int,
-    threshold: float, min_records: int, low_median: float,
+    threshold: float, min_records: int, low_median: float, branches: Sequence[tuple[str, Column, float]], min_run_rows: int, zero_channels: Sequence[str],
 ) -> DataFrame:
-    """One row of corpus totals; ``normal`` is ``record_id, is_normal``."""
+    """One row of corpus totals; ``normal`` is ``record_id, is_normal``.
+
+    ``branches`` are those of ``active_runs``; a zero row has all ``zero_channels`` at zero.
+    """
     cycled = written(with_cycles(rows, active), "cycles")
     intervals = written(phase_intervals(cycled, phase, min_phase_rows), "intervals")
     features = interval_features(rows, intervals, channel, [threshold], min_records)
-    per_record = source_ranges(features, intervals.withColumn("start_minus_nominal_s", F.lit(0.0)), cycle_segments(cycled), threshold, low_median)
-    flagged = per_record.join(normal, RECORD)
+    runs = active_runs(cycled, branches, min_run_rows)
+    per_record = source_ranges(features, runs, cycle_segments(cycled), threshold, low_median)
+    lows = intervals.groupBy(RECORD).agg(F.count(F.lit(1)).alias("lows"))
+    zero = zero_runs(rows, zero_channels).groupBy(RECORD).agg(
+        F.count(F.lit(1)).alias("zero_ranges"), F.sum(F.col("stop_row") - F.col("start_row")).alias("zero_rows")
+    )
+    flagged = per_record.join(normal, RECORD).join(lows, RECORD, "left").join(zero, RECORD, "left")
     n, yes = F.col("is_normal"), F.lit(0).cast("bigint")
 
     def total(column: str, condition: Column | None = None) -> Column:
@@ -123,6 +138,7 @@ def capacity_audit(
     return flagged.agg(
         F.count(F.lit(1)).alias("sources"), F.count_if(n).alias("normal_sources"), F.count_if(~n).alias("fault_sources"),
         total("n_rows").alias("raw_rows"), total("cycles").alias("cycles"), total("cycles", n).alias("normal_cycles"),
-        total("cycles", ~n).alias("fault_cycles"), total("observed_runs", n).alias("normal_low_intervals"),
+        total("cycles", ~n).alias("fault_cycles"), total("lows", n).alias("normal_low_intervals"),
         total("low_median_count", n).alias("normal_low_median_count"), total("recovery_count", n).alias("normal_recovery_count"),
+        total("observed_runs").alias("load_runs"), total("zero_rows").alias("zero_rows"), total("zero_ranges").alias("zero_ranges"),
     )

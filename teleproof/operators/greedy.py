@@ -2,8 +2,8 @@
 
 Both rules restart at points that do not depend on the past, so a record splits into independent *chains*.
 A chain of up to ``CHAIN_EVENTS`` events is folded as one array. A longer chain is cut into blocks: every event
-points at the event that would follow it as a restart, each block resolves its own pointers, and only the few
-block entry points are followed across blocks.
+points at the event that would follow it as a restart, each block resolves its own pointers, and the walk over block entry
+points is found by doubling pointers in joins. No group is larger than a block.
 """
 
 from __future__ import annotations
@@ -93,8 +93,7 @@ def follow(
         .join(crossing.withColumn("_in", F.lit(True)), [*keys, "_p"], "left")
         .filter(F.col("_seed") | F.col("_in"))
     )
-    entries = exits.groupBy(*keys).applyInPandas(_walk(keys), _schema(nodes, keys, "_p bigint"))
-    marked = nodes.join(entries.withColumn("_entry", F.lit(True)), [*keys, "_p"], "left")
+    marked = nodes.join(_entered(written(exits, "exits"), keys).withColumn("_entry", F.lit(True)), [*keys, "_p"], "left")
     reached = marked.groupBy(*keys, "_b").applyInPandas(_mark(keys), _schema(nodes, keys, "_p bigint"))
     return reached.withColumnRenamed("_p", position)
 
@@ -119,20 +118,20 @@ def _resolve(keys: list[str]):
     return leave
 
 
-def _walk(keys: list[str]):
-    def entries(group: pd.DataFrame) -> pd.DataFrame:
-        exits = dict(zip(group["_p"], group["_exit"]))
-        at = group.loc[group["_seed"], "_p"].min()
-        seen = []
-        while at is not None and not pd.isna(at):
-            seen.append(int(at))
-            at = exits.get(at)
-        out = pd.DataFrame({"_p": seen})
-        for k in keys:
-            out[k] = group[k].iloc[0]
-        return out[[*keys, "_p"]]
-
-    return entries
+def _entered(exits: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry points on the walk from the first seed of each key, by doubling: after k rounds the first 2^k of them are known.
+
+    A round joins the known points with the pointers and the pointers with themselves, so a walk over n blocks takes log2(n) rounds of joins.
+    """
+    points = [*keys, "_p"]
+    known = written(exits.filter("_seed").groupBy(*keys).agg(F.min("_p").alias("_p")), "entered")
+    jump = written(exits.filter("_exit IS NOT NULL").select(*points, "_exit"), "jumps")
+    while not jump.isEmpty():
+        further = known.join(jump, points).select(*keys, F.col("_exit").alias("_p"))
+        known = written(known.union(further).distinct(), "entered")
+        onward = jump.select(*keys, F.col("_p").alias("_exit"), F.col("_exit").alias("_beyond"))
+        jump = written(jump.join(onward, [*keys, "_exit"]).select(*points, F.col("_beyond").alias("_exit")), "jumps")
+    return known
 
 
 def _mark(keys: list[str]):

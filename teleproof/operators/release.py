@@ -118,3 +118,63 @@ def review_binding(items: DataFrame, reviews: DataFrame, key: str, content: str)
         .when(F.col("decision") != "accept", "not_accepted").otherwise("bound")
     )
     return bound.select(key, status.alias("status"))
+
+
+def bound_parts(items: DataFrame, reviews: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
+    """Status of every item's review and the parts it no longer matches: ``key, status, stale``.
+
+    Items and reviews carry one digest per part; a review also carries ``decision``, ``blocking_issues`` and ``rationale``. A review binds only if
+    all its parts are those of now, and there is one of it.
+    """
+    held = reviews.select(key, "decision", "blocking_issues", "rationale", F.lit(True).alias("_in"), *[F.col(p).alias(f"_{p}") for p in parts])
+    copies = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+    both = items.select(key, *parts).join(held, key, "left").join(copies, key, "left")
+    stale = F.array_compact(F.array(*[F.when(~F.col(p).eqNullSafe(F.col(f"_{p}")), F.lit(p)) for p in parts]))
+    accepted = (F.col("decision") == "accept") & (F.coalesce("blocking_issues", F.lit(0)) == 0) & (F.length(F.trim("rationale")) > 0)
+    status = (
+        F.when(F.col("_in").isNull(), "missing").when(F.col("_copies") > 1, "repeated").when(F.size(stale) > 0, "stale")
+        .when(~F.coalesce(accepted, F.lit(False)), "not_accepted").otherwise("bound")
+    )
+    found = both.select(key, status.alias("status"), F.when(F.col("_in"), F.array_join(stale, ",")).otherwise("").alias("stale"))
+    return found.groupBy(key, "status").agg(F.max("stale").alias("stale"))
+
+
+def finalised(bound: DataFrame, verification: DataFrame, items: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
+    """Bound items that may be exported: the raw verification must have passed on the material and records of now, and no source may have changed.
+
+    ``verification`` has ``key, all_passed``, the digests ``parts`` it was made on, and ``sources_changed``. Adds ``outcome``.
+    """
+    held = verification.select(key, "all_passed", "sources_changed", F.lit(True).alias("_in"), *[F.col(p).alias(f"_{p}") for p in parts])
+    both = bound.join(items.select(key, *parts), key).join(held, key, "left")
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts])
+    outcome = (
+        F.when(F.col("status") != "bound", F.concat(F.lit("review_"), "status")).when(F.col("_in").isNull(), "unverified")
+        .when(~F.coalesce("all_passed", F.lit(False)), "verification_failed").when(~same, "verification_stale")
+        .when(F.coalesce("sources_changed", F.lit(True)), "sources_changed").otherwise("final")
+    )
+    return both.select(key, "status", "stale", outcome.alias("outcome"))
+
+
+def publication_gates(tasks: DataFrame, provenance: DataFrame, allowed: Sequence[str], approved: DataFrame) -> DataFrame:
+    """Broken rules of a batch as ``task_id, rule``: dense order, one provenance entry each, no other fields, the approved content.
+
+    ``tasks`` has ``task_id, position, content, fields`` (names of its public fields), ``approved`` ``task_id, content``. Tasks are named T and their
+    number, two digits at least, in order from 1.
+    """
+    expected = F.concat(F.lit("T"), F.lpad(F.col("position").cast("string"), 2, "0"))
+    expected = F.when(F.col("position") < 10, expected).otherwise(F.concat(F.lit("T"), F.col("position").cast("string")))
+    origins = provenance.groupBy("task_id").agg(F.count(F.lit(1)).alias("_origins"))
+    copies = tasks.groupBy("task_id").agg(F.count(F.lit(1)).alias("_copies"))
+    known = approved.select("task_id", F.col("content").alias("_approved"))
+    full = tasks.join(origins, "task_id", "full_outer").join(copies, "task_id", "left").join(known, "task_id", "left")
+    public = F.array(*[F.lit(c) for c in sorted(allowed)])
+    rules = {
+        "provenance_without_task": F.col("position").isNull(),
+        "out_of_order": F.col("position").isNotNull() & ~F.coalesce(F.col("task_id") == expected, F.lit(False)),
+        "repeated_task": F.col("_copies") > 1,
+        "provenance_count_differs": F.col("position").isNotNull() & (F.coalesce("_origins", F.lit(0)) != F.col("_copies")),
+        "unexpected_fields": F.array_sort("fields") != public,
+        "differs_from_approved": F.col("position").isNotNull() & ~F.col("content").eqNullSafe(F.col("_approved")),
+    }
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return full.select("task_id", F.explode(broken).alias("rule")).distinct()
