@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["windows", "mining", "evidence", "catalogue", "fleet"]
+MODULES = ["windows", "mining", "evidence", "catalogue", "fleet", "runs"]
 
 
 def load():
