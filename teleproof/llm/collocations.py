@@ -3,7 +3,7 @@
 One scan for each phrase length: numpy prefix polynomials give every n-gram of a chunk of documents its 64-bit fingerprint, chunks send each different
 fingerprint once with its count, and the sums tell which can be frequent. Those set the bits of a filter of fixed size. The next scan
 looks only at n-grams both of whose parts passed it (a phrase is no more frequent than its parts), and spells out the frequent n-grams of
-the length before: every fingerprint of a chunk points to its first occurrence there, all others are compared with that word by word, and the text at the
+the length before: every fingerprint of a chunk points to an occurrence there, all others are compared with it against the text, and the text at the
 pointer goes out with the count. Counts that decide anything are sums by text, so a collision of fingerprints costs work and changes no result; nor does a
 full filter, which only lets more fingerprints be counted.
 
@@ -23,23 +23,36 @@ from pyspark.sql import functions as F
 from teleproof.llm.common import Scratch
 from teleproof.llm.lexical import Numbered
 
-#: Words taken together in one chunk; a longer document is a chunk of its own.
-CHUNK_WORDS = 2_000_000
+#: Bytes of text taken together in one chunk; a longer document is a chunk of its own.
+CHUNK_BYTES = 12 << 20
+#: Words hashed at a time.
+SLICE_WORDS = 65_536
+#: Words up to so many bytes are compared eight bytes at a time, all at once.
+LONG_WORD = 64
 #: Bits of the filter of frequent fingerprints, as a power of two: 16 MB whatever the input.
 FILTER_BITS = 27
 #: Parts in which a language is ranked before the last ranking.
 SALTS = 64
 
-# Ends of pieces become a word of their own, which no phrase may hold; A-Z are lower-cased.
-END = b"."
-FOLD = bytes(ord(END) if chr(c) in ".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+# Ends of pieces become one character, tabs a space; A-Z are lower-cased.
+SPACE, END = b" ", b"."
+FOLD = bytes(ord(END) if chr(c) in ".,;:!?\n\v\f\r" else ord(SPACE) if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that powers have inverses modulo 2^64
 
+_powers: dict[int, np.ndarray] = {}
+
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
+    """At least the first ``n`` powers of ``base`` modulo 2^64, kept by each worker."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps)
+    return _powers[base]
+
+
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,61 +61,116 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(symbols: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial fingerprints of ranges of ``symbols``, from prefix sums."""
-    up = powers(base, len(symbols) + 1)
-    prefix = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[:-1], out=prefix[1:])
-    return (prefix[ends] - prefix[starts]) * powers(pow(base, -1, 1 << 64), len(symbols) + 1)[starts]
+def prefixes(symbols: np.ndarray, base: int) -> np.ndarray:
+    """Prefix sums of the polynomial: a range has the fingerprint (prefix[end] - prefix[start]) / base^start."""
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * powers(base, len(symbols))[: len(symbols)], out=out[1:])
+    return out
+
+
+def of_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of the words at ``[starts, ends)``, which follow one another in ``text``."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), SLICE_WORDS):
+        lo, hi = starts[a : a + SLICE_WORDS], ends[a : a + SLICE_WORDS]
+        prefix = prefixes(text[lo[0] : hi[-1]].astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        from_here = lo - lo[0]
+        out[a : a + SLICE_WORDS] = (prefix[hi - lo[0]] - prefix[from_here]) * powers(inverse(BYTE_BASE), len(prefix))[from_here]
+    return mixed(out)
 
 
-def of_words(words: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
-    return mixed(fingerprints(symbols, BYTE_BASE, ends - [len(w) for w in words], ends))
+def same_words(text: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Are the words of ``sizes`` bytes at ``a`` and at ``b`` equal byte by byte? ``text`` goes on for eight bytes after the last word."""
+    eight = np.ndarray((len(text) - 7,), "<u8", text.tobytes(), strides=(1,))
+    out, rest, done = np.ones(len(a), bool), np.arange(len(a)), 0
+    while done < LONG_WORD and len(rest := rest[sizes[rest] > done]):
+        spare = np.maximum(8 - (sizes[rest] - done), 0).astype(np.uint64) * np.uint64(8)
+        out[rest] &= ((eight[a[rest] + done] ^ eight[b[rest] + done]) << spare) == 0
+        done += 8
+    for k in rest[sizes[rest] > done].tolist():
+        out[k] &= bool((text[a[k] : a[k] + sizes[k]] == text[b[k] : b[k] + sizes[k]]).all())
+    return out
+
+
+def grouped(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal fingerprints together, and where groups begin in it.
+
+    The lower bits give way to the index, so that plain numbers are sorted; few groups hold more than one fingerprint.
+    """
+    bits = np.uint64(max(len(prints) - 1, 1).bit_length())
+    keys = ((prints >> bits) << bits) | np.arange(len(prints), dtype=np.uint64)
+    keys.sort()
+    order = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    high = keys >> bits
+    return order, np.append(True, high[1:] != high[:-1])[: len(keys)]
 
 
 class Chunk:
-    """Words of some documents as numbers, a piece end (0) after each document."""
+    """The words of some documents, found and hashed as arrays."""
 
     def __init__(self) -> None:
-        self.words, self.langs = Numbered(), Numbered()
-        self.words[END]
-        self.parts, self.lang_parts, self.size = [], [], 0
+        self.langs = Numbered()
+        self.texts, self.numbers, self.size = [], [], 0
 
     def add(self, lang: str, text: bytes | None) -> None:
-        found = (text or b"").translate(FOLD).replace(END, b" . ").split()
-        found.append(END)
-        self.parts.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
-        self.lang_parts.append((self.langs[lang], len(found)))
-        self.size += len(found)
+        self.texts.append((text or b"").translate(FOLD))
+        self.numbers.append(self.langs[lang])
+        self.size += len(self.texts[-1]) + 1
 
     def close(self) -> None:
-        self.ids = np.concatenate(self.parts)
-        numbers, sizes = zip(*self.lang_parts)
-        self.lang = np.repeat(np.array(numbers, np.int32), sizes)
-        self.names, self.lang_names = list(self.words), list(self.langs)
-        self.symbols = of_words(self.names)[self.ids]
-        self.seeds = of_words([x.encode() for x in self.lang_names])[self.lang]
-        self.ended = np.concatenate([[0], np.cumsum(self.ids == 0)])
+        bounds = np.cumsum([0, *(len(t) + 1 for t in self.texts)])
+        self.text = np.frombuffer(END.join([*self.texts, END * 8]), np.uint8)
+        self.texts = []
+        ended = self.text == END[0]
+        inside = ~(ended | (self.text == SPACE[0]))
+        edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        self.piece = np.cumsum(ended, dtype=np.int32)[self.starts]
+        self.lang = np.repeat(np.array(self.numbers, np.int32), np.diff(np.searchsorted(self.starts, bounds)))
+        self.lang_names = list(self.langs)
+        self.symbols = of_words(self.text, self.starts, self.ends)
+        self.prefix = prefixes(self.symbols, WORD_BASE)
+        names = [x.encode() for x in self.lang_names]
+        ends = np.cumsum([len(x) + 1 for x in names])
+        self.seeds = of_words(np.frombuffer(SPACE.join([*names, b""]), np.uint8), ends - [len(x) + 1 for x in names], ends)
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Where n-grams inside pieces start, and their fingerprints, which depend on the language too."""
-        starts = np.arange(max(len(self.ids) - size + 1, 0))
-        starts = starts[self.ended[starts + size] == self.ended[starts]]
-        return starts, mixed(fingerprints(self.symbols, WORD_BASE, starts, starts + size) + np.uint64(size) * self.seeds[starts])
+        n = max(len(self.starts) - size + 1, 0)
+        starts = np.flatnonzero(self.piece[:n] == self.piece[size - 1 : size - 1 + n])
+        prints = (self.prefix[starts + size] - self.prefix[starts]) * powers(inverse(WORD_BASE), n)[starts]
+        return starts, mixed(prints + np.uint64(size) * self.seeds[self.lang[starts]])
+
+    def number_words(self) -> None:
+        """Equal words get equal numbers (``ids``, the words at ``first``): words of one group are compared with one of them byte by byte."""
+        order, new = grouped(self.symbols)
+        self.ids = np.empty(len(order), np.int64)
+        self.ids[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        sizes, pointer = self.ends - self.starts, self.first[self.ids]
+        if (sizes != sizes[pointer]).any() or not same_words(self.text, self.starts, self.starts[pointer], sizes).all():
+            whole = self.text.tobytes()
+            words = np.array([whole[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())], object)
+            _, self.first, self.ids = np.unique(words, return_index=True, return_inverse=True)
+
+    def texts_of(self, at: np.ndarray, size: int) -> list[bytes]:
+        """The phrases of ``size`` words at ``at``, their words joined by single spaces."""
+        ids = np.stack([self.ids[at + j] for j in range(size)], axis=1)
+        used, where = np.unique(ids, return_inverse=True)
+        whole, first = self.text.tobytes(), self.first[used]
+        names = [whole[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist())]
+        return [SPACE.join([names[i] for i in gram]) for gram in where.reshape(ids.shape).tolist()]
 
     def same(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         return np.logical_and.reduce([self.lang[a] == self.lang[b], *(self.ids[a + j] == self.ids[b + j] for j in range(size))])
 
     def spelled(self, starts: np.ndarray, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First occurrences of the different n-grams at ``starts`` and their counts; equal fingerprints are verified against the words."""
-        order = np.argsort(prints, kind="stable")
-        at, prints = starts[order], prints[order]
-        new = np.append(True, prints[1:] != prints[:-1])[: len(at)]
+        """Occurrences that stand for the different n-grams at ``starts`` and their counts; equal fingerprints are verified against the words."""
+        order, new = grouped(prints)
+        at = starts[order]
         pointer = at[np.flatnonzero(new)][np.cumsum(new) - 1]
         if not self.same(at, pointer, size).all():
-            order = np.lexsort([at, *(self.ids[at + j] for j in range(size)), self.lang[at], prints])
+            order = np.lexsort([*(self.ids[at + j] for j in range(size)), self.lang[at]])
             at = at[order]
             new = np.append(True, ~self.same(at[1:], at[:-1], size))[: len(at)]
         first = np.flatnonzero(new)
@@ -127,10 +195,11 @@ def counted(docs: DataFrame, size: int, longest: int, frequent) -> DataFrame:
     def rows(chunk: Chunk) -> Iterator[pa.RecordBatch]:
         chunk.close()
         if frequent is None:
-            n = np.bincount(chunk.lang[chunk.ids != 0], minlength=len(chunk.lang_names))
+            n = np.bincount(chunk.lang, minlength=len(chunk.lang_names))
             yield pa.record_batch([pa.nulls(len(n), pa.int64()), pa.array(chunk.lang_names), pa.array(np.zeros(len(n), np.int32)), pa.nulls(len(n), pa.string()), pa.array(n)], NAMES)
             starts, prints = chunk.grams(size)
         else:
+            chunk.number_words()
             bits = np.frombuffer(frequent.value, np.uint8)
             starts, prints = chunk.grams(size - 1)
             held = passed(bits, prints)
@@ -138,15 +207,14 @@ def counted(docs: DataFrame, size: int, longest: int, frequent) -> DataFrame:
             at, n = chunk.spelled(starts, prints, size - 1)
             for a in range(0, len(at), 65_536):
                 some = at[a : a + 65_536]
-                text = [b" ".join([chunk.names[i] for i in gram]) for gram in np.stack([chunk.ids[some + j] for j in range(size - 1)], axis=1).tolist()]
                 langs = [chunk.lang_names[i] for i in chunk.lang[some].tolist()]
                 yield pa.record_batch([
                     pa.nulls(len(some), pa.int64()), pa.array(langs, pa.string()), pa.array(np.full(len(some), size - 1, np.int32)),
-                    pa.array(text, pa.binary()).cast(pa.string()), pa.array(n[a : a + 65_536]),
+                    pa.array(chunk.texts_of(some, size - 1), pa.binary()).cast(pa.string()), pa.array(n[a : a + 65_536]),
                 ], NAMES)
             if size > longest:
                 return
-            left = np.zeros(len(chunk.ids) + 1, bool)
+            left = np.zeros(len(chunk.starts) + 1, bool)
             left[starts] = True
             starts, prints = chunk.grams(size)
             both = left[starts] & left[starts + 1]
@@ -163,7 +231,7 @@ def counted(docs: DataFrame, size: int, longest: int, frequent) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chunk.add(lang, text)
-                if chunk.size >= CHUNK_WORDS:
+                if chunk.size >= CHUNK_BYTES:
                     yield from rows(chunk)
                     chunk = Chunk()
         if chunk.size:

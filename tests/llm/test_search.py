@@ -158,25 +158,58 @@ def phrase_rows(seed):
     for k in range(200):
         text = "".join(r.choice(words) + r.choice([" ", " ", "  ", "\t", ", ", "\n"]) for _ in range(r.randrange(60)))
         rows.append((r.choice(["en", "fr", None]), text + ("new york city of " * r.randrange(4))))
+    rows += [("en", " ".join("x" * (60 + k % 9) + r.choice("ab") for k in range(40)))]
     return rows + [("xx", None), ("xx", ""), (None, " . "), ("fr", "la la " * 20_000)]
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_phrases(spark, seed, monkeypatch):
-    monkeypatch.setattr(collocations, "CHUNK_WORDS", 1_500)
+def test_phrases(spark, seed):
     rows = phrase_rows(seed)
     docs = spark.createDataFrame([(k, g, t, "n") for k, (g, t) in enumerate(rows)], "doc_id long, lang string, text string, phrase string").repartition(3)
     assert sorted(map(tuple, collocations.collocations(docs, least=5, most=40).collect())) == mined(rows, 5, 40)
     assert collocations.collocations(docs.limit(0)).collect() == []
 
 
-def test_colliding_fingerprints(spark, monkeypatch):
-    """Fingerprints of five values only: nothing but the comparison with the text tells phrases apart."""
-    rows = phrase_rows(9)[:60]
+def chunk_of(rows):
     chunk = collocations.Chunk()
     for lang, text in rows:
         chunk.add(lang or "und", (text or "").encode())
     chunk.close()
+    return chunk
+
+
+def word_lists(rows):
+    """Words of all pieces of all documents in a row, with language and piece."""
+    out, piece = [], 0
+    for lang, text in rows:
+        for part in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            piece += 1
+            out += [(lang or "und", piece, w.encode()) for w in re.findall("[^ \t]+", part)]
+    return out
+
+
+@pytest.mark.parametrize("clash", [None, 7])
+def test_words_of_a_chunk(monkeypatch, clash):
+    """Words found as arrays, with good fingerprints and with seven values only."""
+    monkeypatch.setattr(collocations, "SLICE_WORDS", 50)
+    if clash:
+        monkeypatch.setattr(collocations, "mixed", lambda x: x % np.uint64(clash))
+    rows = phrase_rows(5)[:80] + [("fr", ""), ("en", None), ("en", "last word")]
+    chunk, want = chunk_of(rows), word_lists(rows)
+    chunk.number_words()
+    names = chunk.texts_of(chunk.first, 1)
+    assert [(chunk.lang_names[g], names[i]) for g, i in zip(chunk.lang, chunk.ids)] == [(g, w) for g, _, w in want]
+    assert len(set(names)) == len(names)
+    assert chunk.texts_of(np.array([3, 0]), 2) == [b" ".join(w for _, _, w in want[k : k + 2]) for k in (3, 0)]
+    for size in (1, 2, 4):
+        starts, _ = chunk.grams(size)
+        assert starts.tolist() == [i for i in range(len(want) - size + 1) if want[i][1] == want[i + size - 1][1]]
+
+
+def test_colliding_fingerprints():
+    """Fingerprints of five values only: nothing but the comparison with the text tells phrases apart."""
+    chunk = chunk_of(phrase_rows(9)[:60])
+    chunk.number_words()
     starts, prints = chunk.grams(2)
     at, n = chunk.spelled(starts, prints % np.uint64(5), 2)
     want = Counter((chunk.lang[i], *chunk.ids[i : i + 2]) for i in starts)
@@ -193,8 +226,8 @@ def test_filter(spark):
 
 
 def test_fingerprints_are_rolling():
-    r = np.random.default_rng(3)
-    symbols = r.integers(0, 2**63, 300).astype(np.uint64)
-    whole = collocations.fingerprints(symbols, collocations.WORD_BASE, np.array([10, 200]), np.array([14, 204]))
-    alone = [collocations.fingerprints(symbols[a : a + 4], collocations.WORD_BASE, np.array([0]), np.array([4]))[0] for a in (10, 200)]
-    assert whole.tolist() == alone
+    """Equal n-grams have equal fingerprints wherever they stand, other languages and lengths do not share them."""
+    chunk = chunk_of([("en", "a b c x a b c"), ("fr", "a b c")])
+    _, prints = chunk.grams(3)
+    assert prints[0] == prints[4] != prints[5] and len(set(prints.tolist())) == 5
+    assert not set(prints.tolist()) & set(chunk.grams(2)[1].tolist())
