@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["windows", "mining", "evidence", "catalogue", "fleet", "runs"]
+MODULES = ["windows", "mining", "evidence", "catalogue", "fleet", "runs", "tools"]
 
 
 def load():
