@@ -24,7 +24,7 @@ from teleproof.llm.common import Scratch
 from teleproof.llm.lexical import Numbered
 
 #: Bytes of text taken together in one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Words hashed at a time.
 SLICE_WORDS = 65_536
 #: Words up to so many bytes are compared eight bytes at a time, all at once.
