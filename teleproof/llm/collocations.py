@@ -229,8 +229,8 @@ def counted(docs: DataFrame, size: int, longest: int, frequent) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chunk.add(lang, text)
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                chunk.add(lang.as_py(), text.as_py())
                 if chunk.size >= CHUNK_BYTES:
                     yield from rows(chunk)
                     chunk = Chunk()
@@ -257,8 +257,9 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int, longest: int, lang: s
     asked = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")), F.col(f"`{text}`").cast("binary"))
     frequent, found, totals = None, [], None
     for size in range(1, longest + 2):
-        # One shuffle for both kinds of rows, so that a scan leaves nothing but what is frequent.
-        sums = counted(asked, size, longest, frequent).groupBy("print", "lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        # One shuffle for both kinds of rows, so that a scan leaves nothing but what is frequent. It comes first: chunks have summed what they could.
+        keys = ["print", "lang", "words", "phrase"]
+        sums = counted(asked, size, longest, frequent).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
         held = scratch.keep(sums.where((F.col("n") >= least) | (F.col("words") == 0)), f"level-{size}")
         if size == 1:
             totals = held.where("words = 0").select("lang", "n")
