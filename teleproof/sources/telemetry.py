@@ -1,27 +1,19 @@
-"""Ingest of delimited telemetry with declared columns.
+"""One telemetry experiment with declared columns, its side files and their hashes.
 
 Reading never guesses a type, never drops a row and never truncates: everything that breaks a rule comes back as a row
-of the violations table.
+of the violations table. The work is that of ``fleet``, which loads any number of files.
 """
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from teleproof.functions.scalar import number_status, parse_number, parse_time
 from teleproof.operators.blocks import RECORD
-from teleproof.operators.catalog import positional_join
-from teleproof.operators.numbering import number_rows
-from teleproof.sources.files import file_hashes
-from teleproof.sources.workspace import written
-
-BAD_ROW = "_malformed"
+from teleproof.sources.fleet import MANIFEST, load_fleet, plain_path, streamed_hashes
 
 
 @dataclass(frozen=True)
@@ -46,96 +38,38 @@ class Experiment:
 
 
 class HeaderError(ValueError):
-    """The header of a file does not carry the declared columns."""
-
+    """The header of a file does not carry the declared columns, or two files declare the same one."""
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a file from its first line only."""
-    first = spark.read.text(path).first()
-    if first is None:
-        return []
-    names = next(csv.reader([first[0].removeprefix("\ufeff")]))
-    return [c.strip() for c in names]
 
+HEADER_ISSUES = ["missing_columns", "duplicate_columns", "colliding_fields"]
 
-def check_header(found: Sequence[str], declared: Sequence[str]) -> None:
-    if len(found) != len(set(found)):
-        raise HeaderError("duplicate column names")
-    missing = [c for c in declared if c not in found]
-    if missing:
-        raise HeaderError(f"missing declared columns: {missing}")
 
-
-def numbered_text(spark: SparkSession, path: str, declared: Sequence[str], record_id: str) -> DataFrame:
-    """The declared columns as text with the acquisition index of each row and a malformed flag.
-
-    Rows keep their order inside a file block; blocks are put in order by their offset in the file.
-    """
-    names = header(spark, path)
-    check_header(names, declared)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-        .option("emptyValue", "").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
-    )
-    # All columns are read, so that a surplus or missing cell cannot hide behind column pruning.
-    placed = raw.select(
-        F.lit(record_id).alias(RECORD), *[F.col(f"`{c}`") for c in names], F.col(BAD_ROW),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
-    )
-    # An empty cell of a well-formed row arrives as null; it is the empty token.
-    cells = [F.coalesce(F.col(f"`{c}`"), F.when(F.col(BAD_ROW).isNull(), "")).alias(c) for c in declared]
-    kept = written(placed, "text_rows").select(RECORD, *cells, BAD_ROW, "_block", "_line")
-    return number_rows(kept, ["_block", "_line"]).drop("_block", "_line").withColumn(
-        BAD_ROW, F.col(BAD_ROW).isNotNull()
-    )
-
-
-def _violations(df: DataFrame, issues: list) -> DataFrame:
-    return df.select(RECORD, "row", F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+def manifest_of(spark: SparkSession, entry: Experiment) -> DataFrame:
+    """The files of an experiment as manifest rows of ``load_fleet``."""
+    times = (entry.time_kind, entry.time_format)
+    rows = [(entry.experiment_id, "telemetry", entry.telemetry_path, entry.time_column, *times, list(entry.channels), None)]
+    rows += [(entry.experiment_id, a.role, a.path, a.time_column, *times, list(a.fields), None) for a in entry.auxiliary]
+    return spark.createDataFrame(rows, MANIFEST)
 
 
 def load_experiment(spark: SparkSession, entry: Experiment, reject_missing: bool = False) -> tuple[DataFrame, DataFrame]:
     """Telemetry and context of one experiment, joined by position, and the violations found on the way.
 
-    Private labels are hashed by ``experiment_hashes`` and never opened here. With ``reject_missing`` a missing reading is a
-    violation, otherwise only later queries over it are refused.
+    Private labels are hashed and never opened. With ``reject_missing`` a missing reading is a violation, otherwise only later queries over it are
+    refused. A file without rows, or one that changes while it is read, is a violation too; a header without the declared columns is an error.
     """
-    text = numbered_text(spark, entry.telemetry_path, [entry.time_column, *entry.channels], entry.experiment_id)
-    seconds = parse_time(F.col(f"`{entry.time_column}`"), entry.time_kind, entry.time_format)
-    status = [number_status(F.col(f"`{c}`")) for c in entry.channels]
-    bad = ["not_a_number", "non_finite", *(["missing"] if reject_missing else [])]
-    parsed = text.select(
-        RECORD, "row", BAD_ROW, seconds.alias("time_s"), *[parse_number(F.col(f"`{c}`")).alias(c) for c in entry.channels],
-        F.array_distinct(F.array(*status)).alias("_status"),
-    )
-    issues = [
-        F.when(F.col(BAD_ROW), F.lit("malformed_row")),
-        F.when(~F.col(BAD_ROW) & F.col("time_s").isNull(), F.lit("bad_time")),
-        *[F.when(~F.col(BAD_ROW) & F.array_contains("_status", s), F.lit(s)) for s in bad],
-    ]
-    parsed = written(parsed, "parsed")
-    violations = _violations(parsed, issues)
-    rows = parsed.drop(BAD_ROW, "_status")
-    taken = set(entry.channels)
-    for aux in entry.auxiliary:
-        if aux.role == "private_label":
-            continue
-        clash = [f for f in aux.fields if f in taken]
-        if clash:
-            raise HeaderError(f"colliding context fields: {clash}")
-        taken.update(aux.fields)
-        side = numbered_text(spark, aux.path, [aux.time_column, *aux.fields], entry.experiment_id)
-        side_seconds = parse_time(F.col(f"`{aux.time_column}`"), entry.time_kind, entry.time_format)
-        rows, misaligned = positional_join(rows, side.select(RECORD, "row", side_seconds.alias("time_s"), *aux.fields))
-        violations = violations.unionByName(misaligned)
-    return rows, violations
+    context = [f for a in entry.auxiliary if a.role == "context" for f in a.fields]
+    fleet = load_fleet(spark, manifest_of(spark, entry), entry.channels, list(dict.fromkeys(context)), reject_missing)
+    wrong = fleet.violations.filter(F.col("issue").isin(HEADER_ISSUES)).select("issue", "path").first()
+    if wrong is not None:
+        raise HeaderError(f"{wrong['issue']}: {wrong['path'] or entry.experiment_id}")
+    return fleet.rows, fleet.violations.select(RECORD, "row", "issue")
 
 
 def experiment_hashes(spark: SparkSession, entry: Experiment) -> DataFrame:
     """Content hash of every file of an experiment, labels included."""
-    paths = [entry.telemetry_path, *[a.path for a in entry.auxiliary]]
-    return file_hashes(spark, paths).withColumn(RECORD, F.lit(entry.experiment_id))
+    files = manifest_of(spark, entry).select(plain_path(F.col("path")).alias("path"), F.col("source_id").alias(RECORD))
+    return streamed_hashes(files)
 
 
 def changed_during_read(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -76,6 +76,12 @@ def test_row_order_survives_file_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_an_empty_file_is_a_violation(spark, tmp_path):
+    for name, text in (("n.csv", ""), ("h.csv", "Time,P_SA,I_Load1\n")):
+        rows, violations = T.load_experiment(spark, entry(put(tmp_path, name, text)))
+        assert rows.count() == 0 and "empty_experiment" in {r["issue"] for r in violations.collect()}
+
+
 def test_empty_context_and_short_context(spark, tmp_path):
     tele = put(tmp_path, "e.csv", "Time,P_SA,I_Load1\n0,1,1\n1,1,1\n")
     ctx = put(tmp_path, "c.csv", "Time,G\n0,a\n")
