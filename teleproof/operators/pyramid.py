@@ -45,10 +45,10 @@ def _raise(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) ->
     return up.groupBy(*keys, "_level", "_unit").agg(*aggregates)
 
 
-def _all_levels(first: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """Whole blocks of every level from written blocks of the first; a block that its record does not fill is never used."""
+def _all_levels(first: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], top: int = LEVELS) -> DataFrame:
+    """Whole blocks of the levels up to ``top`` from written blocks of the first; a block that its record does not fill is never used."""
     out = level = first
-    for _ in range(LEVELS - 1):
+    for _ in range(top - 1):
         level = _raise(level, keys, aggregates)
         out = out.unionByName(level)
     return out.filter(F.col("_n") == F.pow(F.lit(FAN), F.col("_level")).cast("bigint"))
@@ -130,7 +130,7 @@ def ranked_values(held: DataFrame, ranks: DataFrame, keys: Sequence[str], batch:
         cuts = inside.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.array_distinct(F.percentile_approx("v", steps, 1_000)).alias("_cuts"))
         cuts = written(cuts, "pivots")
         few = cuts.filter(F.col("_n") <= batch).select(*same)
-        last = inside.join(few, same).groupBy(*same, "_base").agg(F.array_sort(F.collect_list("v")).alias("_v"))
+        last = inside.join(few, same).groupBy(*same, "_base").agg(F.sort_array(F.collect_list("v")).alias("_v"))
         answers.append(last.select(*same, F.get("_v", (F.col("_rank") - F.col("_base")).cast("int")).alias("value")))
         many = cuts.filter(F.col("_n") > batch).drop("_n")
         if many.isEmpty():
@@ -139,7 +139,7 @@ def ranked_values(held: DataFrame, ranks: DataFrame, keys: Sequence[str], batch:
         pivot = lambda i: F.get("_cuts", F.lit(i))
         part = sum((F.when(F.col("v") > pivot(i), 2).when(F.col("v") == pivot(i), 1).otherwise(0) for i in range(PIVOTS)), F.lit(0))
         counts = inside.join(many, same).groupBy(*same, "_above", "_below", "_base", "_cuts", part.alias("_part")).agg(F.count(F.lit(1)).alias("_m"))
-        packed = counts.groupBy(*same, "_above", "_below", "_base", "_cuts").agg(F.array_sort(F.collect_list(F.struct("_part", "_m"))).alias("_parts"))
+        packed = counts.groupBy(*same, "_above", "_below", "_base", "_cuts").agg(F.sort_array(F.collect_list(F.struct("_part", "_m"))).alias("_parts"))
         start = F.struct(F.col("_base").alias("base"), F.lit(-1).alias("part"))
 
         def step(s: Column, x: Column) -> Column:
@@ -201,7 +201,7 @@ def _merged(x: Column, y: Column, least: Column) -> Column:
 
 
 def _folded(parts: str, least: Column) -> Column:
-    return F.aggregate(F.array_sort(F.collect_list(parts)), _empty(), lambda x, y: _merged(x, y, least))
+    return F.aggregate(F.sort_array(F.collect_list(parts)), _empty(), lambda x, y: _merged(x, y, least))
 
 
 def run_summaries(
@@ -219,15 +219,18 @@ def run_summaries(
     asked = queries.select("query_id", RECORD, "start_row", "stop_row", *condition)
     cut = written(pieces(asked, ends), "pieces")
     keys = [RECORD, *condition]
-    # Conditions of windows that hold a whole block; short windows read their rows only.
-    tall = cut.filter(F.col("_level") > 0)
     element = _element(F.coalesce(hit(), F.lit(False)), present(), wanted).alias("_part")
-    leaf = rows.join(tall.select(*keys).distinct(), RECORD).select(*keys, F.lit(0).alias("_level"), F.col("row").alias("_unit"), F.lit(1).cast("bigint").alias("_n"), element)
-    folded = [_folded("_part", wanted).alias("_part"), F.sum("_n").alias("_n")]
-    first = written(_raise(leaf, keys, folded), "runs")
-    blocks = _all_levels(first, keys, folded).withColumn("_parent", F.expr(f"_unit div {FAN}"))
-    whole = blocks.join(tall, [*keys, "_level", "_parent"]).filter((F.col("_unit") >= F.col("_lo")) & (F.col("_unit") < F.col("_hi")))
     near = rows.join(cut.filter(F.col("_level") == 0), [RECORD, "_parent"]).filter((F.col("row") >= F.col("_lo")) & (F.col("row") < F.col("_hi")))
     used = ["query_id", *([least] if least else []), "_part"]
-    parts = near.withColumn("_part", element).select(*used).unionByName(whole.select(*used))
+    parts = near.withColumn("_part", element).select(*used)
+    # Blocks larger than those some window holds whole are not made.
+    top = cut.agg(F.max("_level")).first()[0] or 0
+    if top:
+        tall = cut.filter(F.col("_level") > 0)
+        leaf = rows.join(tall.select(*keys).distinct(), RECORD).select(*keys, F.lit(0).alias("_level"), F.col("row").alias("_unit"), F.lit(1).cast("bigint").alias("_n"), element)
+        folded = [_folded("_part", wanted).alias("_part"), F.sum("_n").alias("_n")]
+        first = written(_raise(leaf, keys, folded), "runs")
+        blocks = _all_levels(first, keys, folded, top).withColumn("_parent", F.expr(f"_unit div {FAN}"))
+        whole = blocks.join(tall, [*keys, "_level", "_parent"]).filter((F.col("_unit") >= F.col("_lo")) & (F.col("_unit") < F.col("_hi")))
+        parts = parts.unionByName(whole.select(*used))
     return parts.groupBy(*used[:-1]).agg(_folded("_part", wanted).alias("_run")).select("query_id", "_run")
