@@ -330,7 +330,9 @@ def crowded_marks(contexts: DataFrame, length: int, scratch: Scratch) -> DataFra
 
     blocks = scratch.keep(judged(split_runs(contexts, BLOCK, length), "parts"), "blocks")
     mixed = blocks.where("mixed").select("c1", "c2", "low", "high")
-    again = contexts.dropDuplicates(["c1", "c2"]).join(mixed, ["c1", "c2"]).select(*contexts.columns, "low", "high")
+    mixed = mixed.groupBy("c1", "c2").agg(F.collect_list(F.struct("low", "high")).alias("runs"))  # as many as a context has blocks
+    again = contexts.dropDuplicates(["c1", "c2"]).join(mixed, ["c1", "c2"]).select(*contexts.columns, F.explode("runs").alias("run"))
+    again = again.select(*contexts.columns, "run.low", "run.high")
     single = judged(split_runs(again, 1, length), "windows")
     return blocks.where("NOT mixed").select("c1", "c2", "low", "high").union(single.select("c1", "c2", "low", "high"))
 
@@ -370,11 +372,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     crowded = contexts.where("crowded")
     if not crowded.isEmpty():
         marks = marks.union(scratch.keep(crowded_marks(crowded, length, scratch), "crowded-marks"))
+    # The windows of a context start less than ``length`` bytes apart, so what they cover is one run: an occurrence meets one row.
+    marks = scratch.keep(marks.groupBy("c1", "c2").agg(F.min("low").alias("low"), F.max("high").alias("high")), "runs")
     spans = found.join(marks, ["c1", "c2"]).select(
         "d1", "d2", F.struct((F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + length).alias("b")).alias("span")
     )
     spans = scratch.keep(spans.groupBy("d1", "d2").agg(F.collect_set("span").alias("spans")), "spans")
-    scratch.free("candidates", "contexts", "marks", "crowded-marks", "parts", "blocks", "windows")
+    scratch.free("candidates", "contexts", "marks", "crowded-marks", "runs", "parts", "blocks", "windows")
     return spans
 
 
