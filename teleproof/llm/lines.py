@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from teleproof.llm.common import Scratch
 
 RANK_BITS = 16
-SPACES = "\t\x0b\x0c\r"
+#: White space inside a line, as in a regular expression.
+SPACE = r" \t\x0B\f\r"
 
 
 def words(line: Column) -> Column:
@@ -24,7 +25,7 @@ def words(line: Column) -> Column:
 
 
 def parts(line: Column) -> Column:
-    return F.split(F.translate(line, SPACES, " " * len(SPACES)), " ")
+    return F.split(line, f"[{SPACE}]+")
 
 
 def bucket(word: Column) -> Column:
@@ -33,7 +34,7 @@ def bucket(word: Column) -> Column:
 
 def rarity(texts: DataFrame) -> Column:
     """For each of 2^16 hash buckets of words its rank by how often its words come in all lines; an array constant of that size."""
-    counted = texts.select(F.explode(parts(F.translate("text", "\n", " "))).alias("word")).where("word != ''")
+    counted = texts.select(F.explode(F.split("text", rf"[{SPACE}\n]+")).alias("word")).where("word != ''")
     counted = counted.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().orderBy("count", "bucket").select("bucket")
     order = [r.bucket for r in counted.collect()]  # at most 2^16 rows
     rank = [0] * (1 << RANK_BITS)
@@ -73,12 +74,12 @@ def meets(later: DataFrame, earlier: DataFrame, least: float) -> DataFrame:
 
 def matched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rank: Column, least: float, scratch: Scratch, name: str) -> DataFrame:
     """``seq`` of the later lines of pairs whose Jaccard is at least ``least``; the word sets are read again from the texts."""
-    asked = pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct()
-    where = classes.join(asked, "seq").groupBy("doc_id", "d1", "d2").agg(F.collect_list(F.struct("pos", "seq")).alias("asked"))
-    found = texts.join(where.drop("doc_id"), ["d1", "d2"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("one"))
-    sets = found.select("one.seq", ordered(F.element_at("all", F.col("one.pos") + 1), rank).alias("words")).dropDuplicates(["seq"])
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
+    asked = scratch.keep(classes.select("seq", "d1", "d2", "pos").join(asked, "seq"), f"asked-{name}")  # written, so that its size is known
+    found = texts.select("d1", "d2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(asked, ["d1", "d2", "pos"])
+    sets = found.select("seq", ordered(F.col("line"), rank).alias("words")).dropDuplicates(["seq"])
     sets = scratch.keep(sets, f"sets-{name}")
-    scratch.free()
+    scratch.free(f"asked-{name}")
     both = pairs.join(sets.select(F.col("seq").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("seq").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(common / (F.size("wa") + F.size("wb") - common) >= least).select(F.col("a").alias("seq")).distinct()
@@ -92,7 +93,9 @@ def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame
     )
     rank = rarity(texts)
     line = texts.select("doc_id", "d1", "d2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = line.select("doc_id", "d1", "d2", "pos", ordered(F.col("line"), rank).alias("words")).where(F.size("words") > 0)
+    # Words are made once: a filter on them would be pushed below the projection and make them again.
+    line = line.where(F.col("line").rlike(f"[^{SPACE}]"))
+    line = line.select("doc_id", "d1", "d2", "pos", ordered(F.col("line"), rank).alias("words"))
     n = F.size("words")
     shown = n - F.ceil(n * least - F.lit(1e-9)).cast("int") + 1
     line = line.select("doc_id", "d1", "d2", "pos", F.xxhash64("words").alias("cid"), n.alias("n"), bitmap(F.col("words")).alias("bits"), F.slice("words", 1, shown).alias("rare"))
@@ -140,9 +143,10 @@ def dedup_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
     text = F.col("text").cast("string")
     gone = repeated_lines(docs, least, scratch).withColumnsRenamed({"d1": "_d1", "d2": "_d2", "gone": "_gone"})
     keyed = base.withColumns({"_d1": F.xxhash64("doc_id", text), "_d2": F.xxhash64(text, "doc_id", F.lit(1))})
-    joined = keyed.join(gone, ["_d1", "_d2"], "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n")
+    joined = keyed.join(gone, ["_d1", "_d2"], "left").withColumn("_lines", F.split("text", "\n"))
+    lines = F.col("_lines")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    left = F.array_join(F.transform(places, lambda k: F.element_at(lines, k + 1)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in base.columns]
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
