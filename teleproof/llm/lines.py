@@ -62,12 +62,17 @@ def least_overlap(sizes: Column, least: float) -> Column:
 
 
 def meets(later: DataFrame, earlier: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs ``a, b``, ``a`` the later, of postings with one word that pass all filters."""
+    """Candidate pairs ``a, b``, ``a`` the later, of postings with one word that pass all filters.
+
+    A place ``p`` below zero is ``-1 - p`` of a line that is no ``a``. The mark is looked at beside the other line only, and both sides
+    are asked for the same columns, so that a table meets itself out of one shuffle.
+    """
     x, y = later.alias("x"), earlier.alias("y")
     sizes = F.col("x.n") + F.col("y.n")
     overlap = least_overlap(sizes, least)
-    reach = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-    fits = (F.col("y.seq") < F.col("x.seq")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - F.lit(1e-9)) & (reach >= overlap)
+    left = lambda t: F.col(f"{t}.n") - F.when(F.col(f"{t}.p") < 0, -1 - F.col(f"{t}.p")).otherwise(F.col(f"{t}.p"))
+    reach = F.least(left("x"), left("y"))
+    fits = (F.col("y.seq") < F.when(F.col("x.p") >= 0, F.col("x.seq")).otherwise(-1)) & (F.col("x.seq") != F.col("y.seq")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - F.lit(1e-9)) & (reach >= overlap)
     fits = fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= sizes - 2 * overlap)
     return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
 
@@ -116,9 +121,11 @@ def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame
     scratch.free("earliest")
     done = scratch.keep(matched(pairs, classes, texts, rank, least, scratch, "first"), "done")
     scratch.free("pairs-first", "sets-first")
-    open_ = classes.join(done, "seq", "left_anti").select("seq", "n", "bits", F.posexplode("rare").alias("p", "word"))
-    pairs = scratch.keep(meets(open_, postings, least), "pairs-rest")
-    scratch.free()
+    marked = classes.join(done.withColumn("done", F.lit(True)), "seq", "left").select("seq", "n", "bits", "done", F.posexplode("rare").alias("p", "word"))
+    marked = marked.withColumn("p", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p"))).drop("done")
+    marked = scratch.keep(marked, "marked")
+    pairs = scratch.keep(meets(marked, marked, least), "pairs-rest")
+    scratch.free("marked")
     gone = done.union(matched(pairs, classes, texts, rank, least, scratch, "rest")).withColumn("similar", F.lit(True))
     judged = classes.join(gone, "seq", "left").where("copies > 1 OR similar")
     judged = judged.select("cid", F.struct("doc_id", "pos", "d1", "d2").alias("kept"), F.coalesce("similar", F.lit(False)).alias("similar"))
