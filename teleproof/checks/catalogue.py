@@ -166,12 +166,12 @@ def source_groups(spark: SparkSession, sf: str) -> DataFrame:
 WITH m AS (SELECT l_orderkey, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS m,
     string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS c FROM lineitem GROUP BY 1),
   s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, coalesce(m, '') AS members, coalesce(c, '') AS checks FROM orders LEFT JOIN m ON l_orderkey = o_orderkey)
-SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS "first" FROM s GROUP BY o_orderstatus, o_orderpriority, members, checks
-HAVING count(*) > 1""")
+SELECT sha256(concat_ws('|', o_orderstatus, o_orderpriority, members, checks)) AS signature, o_orderstatus, o_orderpriority, members, checks,
+  CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS "first" FROM s GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1""")
 def structural_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag")
     kind = ["o_orderstatus", "o_orderpriority"]
-    return C.structural_duplicates(table(spark, sf, "orders"), lines, "o_orderkey", kind, "l_linenumber", lines, "l_returnflag").drop("signature")
+    return C.structural_duplicates(table(spark, sf, "orders"), lines, "o_orderkey", kind, "l_linenumber", lines, "l_returnflag")
 
 
 @check("unique_match", """

@@ -130,15 +130,21 @@ def structural_duplicates(
 ) -> DataFrame:
     """Tasks of one kind over the same sets of members and of checks; wording does not make a task new, nor does having none of them.
 
-    Returns ``kind, signature, n``, the number of tasks that share a signature, and ``first``, the least of them.
+    Returns ``signature``, ``kind``, the sorted ``members`` (and ``checks``) as text, ``n``, the number of tasks that share them, and ``first``, the least of
+    those tasks. Null members count for nothing. Tasks meet by digests; lists are made for the first task of each group alone.
     """
-    signed, digests = tasks, []
-    for frame, value, name in ((members, member, "_members"), (checks, check, "_checks")):
-        if frame is not None:
-            signed = signed.join(set_digest(frame, task, value, name), task, "left").withColumn(name, F.coalesce(name, F.lit("")))
-            digests.append(name)
-    signed = signed.withColumn("signature", F.sha2(F.concat_ws("|", *kind, *digests), 256))
-    return signed.groupBy("signature", *kind).agg(F.count(F.lit(1)).alias("n"), F.min(task).alias("first")).filter(F.col("n") > 1)
+    sets = [(members, member, "members"), *([(checks, check, "checks")] if checks is not None else [])]
+    signed = tasks
+    for frame, value, name in sets:
+        signed = signed.join(set_digest(frame.filter(F.col(value).isNotNull()), task, value, f"_{name}"), task, "left").withColumn(f"_{name}", F.coalesce(f"_{name}", F.lit("")))
+    grouped = signed.groupBy(*kind, *[f"_{name}" for _, _, name in sets]).agg(F.count(F.lit(1)).alias("n"), F.min(task).alias("first")).filter(F.col("n") > 1)
+    out = written(grouped.select(*kind, "n", "first"), "repeated")
+    for frame, value, name in sets:
+        listed = frame.select(F.col(task).alias("first"), F.col(value).cast("string").alias("_v")).join(out.select("first"), "first", "left_semi")
+        text = F.array_join(F.array_sort(F.collect_set("_v")), ",").alias(name)
+        out = out.join(listed.groupBy("first").agg(text), "first", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    names = [name for _, _, name in sets]
+    return out.select(F.sha2(F.concat_ws("|", *kind, *names), 256).alias("signature"), *kind, *names, "n", "first")
 
 
 def filled(column: str) -> Column:
