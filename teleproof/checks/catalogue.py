@@ -15,6 +15,7 @@ from teleproof.operators.blocks import RECORD
 from teleproof.operators.numbering import number_rows
 from teleproof.operators.windows import extents
 from teleproof.sources.tables import LINE_CONTEXT, event_rows, line_rows, order_rows, table
+from teleproof.sources.workspace import written
 
 
 def sha(column: str = "text"):
@@ -494,7 +495,7 @@ WHERE CASE rule WHEN 'out_of_order' THEN p % 10 = 4 WHEN 'provenance_count_diffe
 UNION ALL SELECT id, 'provenance_without_task' FROM n WHERE p % 10 = 4""")
 def publication_gates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as numbered tasks; by the last digit of the number: 4 is misnamed, 5 lacks its provenance, 6 has it twice, 7 has a private field, 8 differs."""
-    numbered = number_rows(table(spark, sf, "documents").select("doc_id", sha().alias("content"), F.lit(0).alias(RECORD)), ["doc_id"])
+    numbered = written(number_rows(table(spark, sf, "documents").select("doc_id", sha().alias("content"), F.lit(0).alias(RECORD)), ["doc_id"]), "numbered")
     position = F.col("row") + 1
     named = numbered.select(F.concat(F.when(position < 10, F.lit("T0")).otherwise(F.lit("T")), position.cast("string")).alias("task_id"), position.alias("position"), "content")
     digit = F.col("position") % 10

@@ -145,7 +145,7 @@ def load_fleet(
         plain_path(read_path()).alias("path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"), "value",
     )
-    numbered = number_rows(lines, ["_block", "_line"], "path").drop("_block", "_line")
+    numbered = written(number_rows(lines, ["_block", "_line"], "path").drop("_block", "_line"), "lines")
 
     names = F.transform(cells(F.regexp_replace("value", "^\\ufeff", "")), F.trim)
     heads = opened.join(numbered.filter(F.col("row") == 0).select("path", names.alias("names")), "path", "left")
