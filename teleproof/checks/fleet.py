@@ -75,7 +75,7 @@ def recipes(files: DataFrame) -> DataFrame:
     """A slice [100, 160) of every source; every fifth is asked for by an old hash, every seventh beyond the end of its source."""
     number = F.col("source_id").cast("bigint")
     sha = F.when((F.pmod(number, F.lit(5)) == 0) & (F.col("role") == "context"), F.repeat(F.lit("0"), 64)).otherwise(F.col("sha256"))
-    hashes = files.withColumn("sha256", sha).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "sha256"))).alias("hashes"))
+    hashes = L.role_hashes(files.withColumn("sha256", sha))
     stop = F.when(F.pmod(F.col("source_id").cast("bigint"), F.lit(7)) == 0, 10_000_000).otherwise(160).cast("bigint")
     return hashes.select(
         F.concat(F.lit("slice-"), "source_id").alias("slice_id"), F.col("source_id").alias(RECORD), F.lit(100).cast("bigint").alias("start_row"), stop.alias("stop_row"), "hashes"

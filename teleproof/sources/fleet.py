@@ -224,15 +224,20 @@ def load_fleet(
     return Fleet(rows, refused.unionByName(per_row), files)
 
 
+def role_hashes(files: DataFrame) -> DataFrame:
+    """``source_id`` and a map from role to SHA-256; a role of several files has the SHA-256 of their sorted hashes, one to a line."""
+    held = files.groupBy("source_id", "role").agg(F.count(F.lit(1)).alias("_n"), F.array_join(F.array_sort(F.collect_list("sha256")), "\n").alias("_all"), F.max("sha256").alias("_one"))
+    digest = F.when(F.col("_n") > 1, F.sha2("_all", 256)).otherwise(F.col("_one"))
+    return held.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("role", digest.alias("sha256")))).alias("hashes"))
+
+
 def extract_slices(fleet: Fleet, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Slices of source rows by recipe, renumbered from 0: ``slice_id, record_id, row`` and the columns of the rows.
 
-    ``recipes`` has ``slice_id, record_id, start_row, stop_row, hashes`` (a map from role to the audited SHA-256). The second table gives every
+    ``recipes`` has ``slice_id, record_id, start_row, stop_row, hashes`` (a map from role to the audited SHA-256, as ``role_hashes`` gives it). The second table gives every
     recipe a ``status``: hashes are judged before rows are read, and a slice is all there or refused. ``time_s`` counts from the slice's first row.
     """
-    roles = fleet.files.filter(F.col("role") != "private_label").groupBy(F.col("source_id").alias(RECORD)).agg(
-        F.map_from_entries(F.collect_list(F.struct("role", "sha256"))).alias("_now")
-    )
+    roles = role_hashes(fleet.files.filter(F.col("role") != "private_label")).select(F.col("source_id").alias(RECORD), F.col("hashes").alias("_now"))
     asked = recipes.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("slice_id"))).join(roles, RECORD, "left")
     stale = F.exists(F.map_entries("hashes"), lambda e: ~F.element_at("_now", e["key"]).eqNullSafe(e["value"]))
     status = (
