@@ -8,6 +8,7 @@ A query starts at its own place in the graph and goes on, round by round, to the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,23 +146,24 @@ def search(points: DataFrame, edges: DataFrame, starts: DataFrame, scratch: Scra
     both = edges.select("u", "v").union(edges.select("v", "u")).distinct().withColumnsRenamed({"u": "cid", "v": "next"})
     both = scratch.keep(both, "both")
     asked = scratch.keep(starts.join(points.select(F.col("cid").alias("q"), F.col("e").alias("qe")), "q"), "asked")
-    seen = scratch.keep(starts.select("q", F.col("q").alias("cid"), F.lit(0.0).alias("d"), F.lit(False).alias("gone")), "seen-0")
-    order = Window.partitionBy("q").orderBy("d", "cid")
-    turn = 0
+    parts = [scratch.keep(starts.select("q", F.col("q").alias("cid"), F.lit(0.0).alias("d")), "seen-0")]
+    order, inside = Window.partitionBy("q").orderBy("d", "cid"), Window.partitionBy("q", "gone").orderBy("d", "cid")
+    ahead, turn = parts[0].withColumn("gone", F.lit(False)), 0
     while True:
         turn += 1
-        ranked = seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= beam).where("NOT gone")
-        ranked = ranked.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= step).select("q", "cid")
-        going = scratch.keep(ranked, f"going-{turn}")
+        # What is once beyond the beam never comes back into it, so a round needs no more of what was seen than its ids.
+        front = ahead.withColumn("place", F.row_number().over(order)).where(F.col("place") <= beam)
+        front = front.withColumn("turn", F.row_number().over(inside)).select("q", "cid", "d", "gone", (~F.col("gone") & (F.col("turn") <= step)).alias("now"))
+        front = scratch.keep(front, f"front-{turn}")
+        scratch.free(f"front-{turn - 1}")
+        going = front.where("now").select("q", "cid")
         if going.isEmpty():
-            break
+            return reduce(DataFrame.union, parts)
         met = going.join(both, "cid").select("q", F.col("next").alias("cid")).distinct()
-        met = met.join(seen.select("q", "cid"), ["q", "cid"], "left_anti")
-        found = met.join(points.select("cid", "e"), "cid").join(asked, "q").select("q", "cid", euclidean(F.col("e"), F.col("qe")).alias("d"), F.lit(False).alias("gone"))
-        old = seen.join(going.withColumn("now", F.lit(True)), ["q", "cid"], "left").select("q", "cid", "d", (F.col("gone") | F.coalesce("now", F.lit(False))).alias("gone"))
-        seen = scratch.keep(old.union(found), f"seen-{turn}")
-        scratch.free(f"seen-{turn - 1}", f"going-{turn}")
-    return seen.select("q", "cid", "d")
+        met = met.join(reduce(DataFrame.union, parts).select("q", "cid"), ["q", "cid"], "left_anti")
+        found = met.join(points.select("cid", "e"), "cid").join(asked, "q").select("q", "cid", euclidean(F.col("e"), F.col("qe")).alias("d"))
+        parts.append(scratch.keep(found, f"seen-{turn}"))
+        ahead = front.select("q", "cid", "d", (F.col("gone") | F.col("now")).alias("gone")).union(parts[-1].withColumn("gone", F.lit(False)))
 
 
 def nearest(vectors: DataFrame, is_query: Column, most: int = 10, neighbours: int = 20, beam: int = 160) -> DataFrame:
