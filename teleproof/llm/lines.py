@@ -3,51 +3,58 @@
 A line is the set of its words. Each word is a number whose high bits rank it by rarity and whose low bits are a hash, so sorted numbers are
 words in order of rarity. Lines that could reach the wanted Jaccard share one of the rarest words of each (prefix filter); a pair is looked at
 only if its lengths, the places of the shared word (positional filter) and a parity bitmap of the words allow enough overlap, and then its
-word sets are compared. First every line meets the earliest line that each of its rare words has; only lines without a match there meet all
-earlier ones, so a large group of near copies is not paired with itself.
+word sets are compared. Lines with an ordinary word meet there directly. Where a word is crowded, every line first meets the earliest one that
+has it; only lines without a match meet all earlier ones, so a large group of near copies is not paired with itself.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleproof.llm.common import Scratch
 
 RANK_BITS = 16
+#: High bits of a word's number by which lines meet; words that agree in these only cost a comparison.
+KEY_BITS = 31
+#: Lines with one rare word that meet each other directly.
+CROWD = 128
 #: White space inside a line, as in a regular expression.
 SPACE = r" \t\x0B\f\r"
 
 
-def words(line: Column) -> Column:
-    """The different words of a line, as hashes; words end at spaces, tabs and other ASCII white space."""
-    return F.array_distinct(F.transform(F.array_remove(parts(line), ""), lambda w: F.xxhash64(w)))
+def parts(text: Column, also: str = "") -> Column:
+    """A text split at white space, and at the character ``also``; some parts may be empty. Splitting at one blank needs no regular expression."""
+    odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in "\t\x0b\f\r"))
+    plain = F.replace(text, F.lit(also), F.lit(" ")) if also else text
+    return F.when(odd, F.split(text, f"[{SPACE}{also}]+")).otherwise(F.split(plain, " "))
 
 
-def parts(line: Column) -> Column:
-    return F.split(line, f"[{SPACE}]+")
+def words(line: Column) -> Column:
+    """The different words of a line, as hashes; words end at spaces, tabs and other ASCII white space."""
+    return F.array_distinct(F.array_remove(F.transform(parts(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def bucket(word: Column) -> Column:
-    return word.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int")
+    return word.bitwiseAND(F.lit((1 << RANK_BITS) - 1))
 
 
 def rarity(texts: DataFrame) -> Column:
-    """For each of 2^16 hash buckets of words its rank by how often its words come in all lines; an array constant of that size."""
-    counted = texts.select(F.explode(F.split("text", rf"[{SPACE}\n]+")).alias("word")).where("word != ''")
+    """For each of 2^16 hash buckets of words its rank by how often its words come in all lines, in the high bits; an array constant of that size."""
+    counted = texts.select(F.explode(parts(F.col("text"), "\n")).alias("word")).where("word != ''")
     counted = counted.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().orderBy("count", "bucket").select("bucket")
     order = [r.bucket for r in counted.collect()]  # at most 2^16 rows
     rank = [0] * (1 << RANK_BITS)
     for k, b in enumerate(order):
-        rank[b] = k
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+        rank[b] = k << (63 - RANK_BITS)
+    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
 
 
 def ordered(line: Column, rank: Column) -> Column:
     """The words of a line as numbers, the rarest first."""
-    low = (1 << (63 - RANK_BITS)) - 1
-    place = lambda w: F.shiftleft(F.element_at(rank, bucket(w) + 1).cast("long"), 63 - RANK_BITS)
-    return F.sort_array(F.transform(words(line), lambda w: place(w).bitwiseOR(F.shiftrightunsigned(w, RANK_BITS).bitwiseAND(F.lit(low)))))
+    return F.sort_array(F.transform(words(line), lambda w: rank[bucket(w)].bitwiseOR(F.shiftrightunsigned(w, RANK_BITS + 1))))
 
 
 def bitmap(numbers: Column) -> Column:
@@ -64,30 +71,72 @@ def least_overlap(sizes: Column, least: float) -> Column:
 def meets(later: DataFrame, earlier: DataFrame, least: float) -> DataFrame:
     """Candidate pairs ``a, b``, ``a`` the later, of postings with one word that pass all filters.
 
-    A place ``p`` below zero is ``-1 - p`` of a line that is no ``a``. The mark is looked at beside the other line only, and both sides
-    are asked for the same columns, so that a table meets itself out of one shuffle.
+    Both sides are asked for the same columns and no filter looks at one side alone, so that a table meets itself out of one shuffle.
     """
     x, y = later.alias("x"), earlier.alias("y")
     sizes = F.col("x.n") + F.col("y.n")
     overlap = least_overlap(sizes, least)
-    left = lambda t: F.col(f"{t}.n") - F.when(F.col(f"{t}.p") < 0, -1 - F.col(f"{t}.p")).otherwise(F.col(f"{t}.p"))
-    reach = F.least(left("x"), left("y"))
-    fits = (F.col("y.seq") < F.when(F.col("x.p") >= 0, F.col("x.seq")).otherwise(-1)) & (F.col("x.seq") != F.col("y.seq")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - F.lit(1e-9)) & (reach >= overlap)
+    reach = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    fits = (F.col("y.seq") < F.col("x.seq")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - F.lit(1e-9)) & (reach >= overlap)
     fits = fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= sizes - 2 * overlap)
     return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
 
 
+def plausible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs whose rare words allow enough overlap: up to the last rare word that both lines reach, all words of both are known."""
+    side = lambda t: known.select(F.col("seq").alias(t), F.col("n").alias(f"n_{t}"), F.col("rare").alias(f"rare_{t}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = F.col("n_a") + F.col("n_b")
+    last = F.least(F.element_at("rare_a", -1), F.element_at("rare_b", -1))
+    # Keys can be shared by different words, also within a line, so only keys that the other line lacks are counted, and not the last one.
+    lacking = lambda these, those: F.size(F.array_except(F.filter(these, lambda w: w < last), those))
+    return both.where(lacking("rare_a", "rare_b") + lacking("rare_b", "rare_a") <= sizes - 2 * least_overlap(sizes, least)).select("a", "b")
+
+
 def matched(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rank: Column, least: float, scratch: Scratch, name: str) -> DataFrame:
-    """``seq`` of the later lines of pairs whose Jaccard is at least ``least``; the word sets are read again from the texts."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
-    asked = scratch.keep(classes.select("seq", "d1", "d2", "pos").join(asked, "seq"), f"asked-{name}")  # written, so that its size is known
-    found = texts.select("d1", "d2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(asked, ["d1", "d2", "pos"])
-    sets = found.select("seq", ordered(F.col("line"), rank).alias("words")).dropDuplicates(["seq"])
+    """``seq`` of the later lines of pairs whose Jaccard is at least ``least``; the word sets are read again from the texts, each text once."""
+    known = classes.select("seq", "at", "n", "rare").join(pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct(), "seq")
+    known = scratch.keep(known, f"known-{name}")
+    pairs = scratch.keep(plausible(pairs, known, least), f"plausible-{name}")
+    asked = known.select("seq", "at").join(pairs.select(F.explode(F.array("a", "b")).alias("seq")).distinct(), "seq")
+    asked = asked.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("at.pos", "seq")).alias("asked"))
+    asked = scratch.keep(asked, f"asked-{name}")  # written, so that its size is known
+    scratch.free(f"known-{name}")
+    found = texts.select("d1", "d2", "text").join(asked, ["d1", "d2"]).select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("asked"))
+    sets = found.select("asked.seq", F.col("lines")[F.col("asked.pos")].alias("line"))
+    sets = sets.select("seq", ordered(F.col("line"), rank).alias("words")).dropDuplicates(["seq"])
     sets = scratch.keep(sets, f"sets-{name}")
     scratch.free(f"asked-{name}")
-    both = pairs.join(sets.select(F.col("seq").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("seq").alias("b"), F.col("words").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common / (F.size("wa") + F.size("wb") - common) >= least).select(F.col("a").alias("seq")).distinct()
+    side = lambda t: sets.select(F.col("seq").alias(t), F.col("words").alias(f"words_{t}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    alike = both.where(common / (F.size("words_a") + F.size("words_b") - common) >= least)
+    done = scratch.keep(alike.select(F.col("a").alias("seq")).distinct(), f"done-{name}")
+    scratch.free(f"sets-{name}", f"plausible-{name}")
+    return done
+
+
+def similar(classes: DataFrame, texts: DataFrame, rank: Column, least: float, scratch: Scratch) -> DataFrame:
+    """``seq`` of the classes with an earlier one whose Jaccard is at least ``least``."""
+    postings = classes.select("seq", "n", "bits", F.posexplode("rare").alias("p", "word"))
+    crowded = scratch.keep(postings.groupBy("word").count().where(F.col("count") > CROWD).select("word"), "crowded")
+    scratch.free()
+    if crowded.isEmpty():
+        pairs = scratch.keep(meets(postings, postings, least), "pairs-first")
+        scratch.free()
+        return matched(pairs, classes, texts, rank, least, scratch, "first")
+    rest = postings.join(crowded, "word", "left_anti")
+    pairs = scratch.keep(meets(rest, rest, least), "pairs-ordinary")
+    scratch.free()
+    crowd = scratch.keep(postings.join(crowded, "word"), "crowd")
+    # The place of the word in the earliest line is left open, which only weakens the filter.
+    earliest = crowd.groupBy("word").agg(F.min(F.struct("seq", "n", "bits")).alias("y")).select("word", "y.*", F.lit(0).alias("p"))
+    pairs = scratch.keep(pairs.union(meets(crowd, earliest, least)), "pairs-first")
+    scratch.free("pairs-ordinary", "crowded")
+    done = matched(pairs, classes, texts, rank, least, scratch, "first")
+    pairs = scratch.keep(meets(crowd.join(done, "seq", "left_anti"), crowd, least), "pairs-rest")
+    scratch.free("crowd", "pairs-first")
+    return done.union(matched(pairs, classes, texts, rank, least, scratch, "rest")).distinct()
 
 
 def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -100,39 +149,29 @@ def repeated_lines(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame
     line = texts.select("doc_id", "d1", "d2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # Words are made once: a filter on them would be pushed below the projection and make them again.
     line = line.where(F.col("line").rlike(f"[^{SPACE}]"))
-    line = line.select("doc_id", "d1", "d2", "pos", ordered(F.col("line"), rank).alias("words"))
+    at = F.struct("doc_id", "pos", "d1", "d2").alias("at")
+    line = line.select(at, ordered(F.col("line"), rank).alias("words"))
     n = F.size("words")
     shown = n - F.ceil(n * least - F.lit(1e-9)).cast("int") + 1
-    line = line.select("doc_id", "d1", "d2", "pos", F.xxhash64("words").alias("cid"), n.alias("n"), bitmap(F.col("words")).alias("bits"), F.slice("words", 1, shown).alias("rare"))
+    rare = F.transform(F.slice("words", 1, shown), lambda w: F.shiftright(w, 63 - KEY_BITS).cast("int"))
+    line = line.select("at", F.xxhash64("words").alias("cid"), n.alias("n"), bitmap(F.col("words")).alias("bits"), rare.alias("rare"))
     line = scratch.keep(line, "lines")
-    first = line.groupBy("cid").agg(F.min(F.struct("doc_id", "pos", "d1", "d2", "n", "bits", "rare")).alias("first"), F.count("*").alias("copies"))
-    first = first.select("cid", "copies", "first.*").repartitionByRange("doc_id", "pos", "cid").sortWithinPartitions("doc_id", "pos", "cid")
+    # Lines with the same words have the same n, bits and rare words.
+    same = [F.first(c).alias(c) for c in ("n", "bits", "rare")]
+    classes = line.groupBy("cid").agg(F.min("at").alias("at"), F.count("*").alias("copies"), *same)
+    order = ["at.doc_id", "at.pos", "at.d1", "at.d2", "cid"]
+    classes = classes.repartitionByRange(*order).sortWithinPartitions(*order)
     # In this order the number is larger for a later line; it stands for the line from here on.
-    classes = scratch.keep(first.withColumn("seq", F.monotonically_increasing_id()), "classes")
-    line = scratch.keep(line.select("doc_id", "d1", "d2", "pos", "cid"), "places")
+    classes = scratch.keep(classes.withColumn("seq", F.monotonically_increasing_id()), "classes")
+    line = scratch.keep(line.select("at", "cid"), "places")
     scratch.free("lines")
-    postings = classes.select("seq", "n", "bits", F.posexplode("rare").alias("p", "word"))
-    earliest = postings.groupBy("word").agg(F.min("seq").alias("seq"), F.count("*").alias("m")).where("m > 1").select("word", "seq")
-    earliest = scratch.keep(earliest, "earliest")
-    scratch.free()
-    # The place of the word in the earliest line is left open, which only weakens the filter.
-    earliest = earliest.join(classes.select("seq", "n", "bits"), "seq").withColumn("p", F.lit(0))
-    pairs = scratch.keep(meets(postings, earliest, least), "pairs-first")
-    scratch.free("earliest")
-    done = scratch.keep(matched(pairs, classes, texts, rank, least, scratch, "first"), "done")
-    scratch.free("pairs-first", "sets-first")
-    marked = classes.join(done.withColumn("done", F.lit(True)), "seq", "left").select("seq", "n", "bits", "done", F.posexplode("rare").alias("p", "word"))
-    marked = marked.withColumn("p", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p"))).drop("done")
-    marked = scratch.keep(marked, "marked")
-    pairs = scratch.keep(meets(marked, marked, least), "pairs-rest")
-    scratch.free("marked")
-    gone = done.union(matched(pairs, classes, texts, rank, least, scratch, "rest")).withColumn("similar", F.lit(True))
-    judged = classes.join(gone, "seq", "left").where("copies > 1 OR similar")
-    judged = judged.select("cid", F.struct("doc_id", "pos", "d1", "d2").alias("kept"), F.coalesce("similar", F.lit(False)).alias("similar"))
+    gone = similar(classes, texts, rank, least, scratch).withColumn("similar", F.lit(True))
+    judged = classes.select("seq", "cid", "at", "copies").join(gone, "seq", "left").where("copies > 1 OR similar")
+    judged = judged.select("cid", F.col("at").alias("kept"), F.coalesce("similar", F.lit(False)).alias("similar"))
     judged = scratch.keep(judged, "judged")
-    scratch.free("classes", "pairs-rest", "sets-rest", "done")
-    same = F.struct("doc_id", "pos", "d1", "d2").eqNullSafe(F.col("kept"))
-    removed = line.join(judged, "cid").where(F.col("similar") | ~same).groupBy("d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    scratch.free("classes")
+    removed = line.join(judged, "cid").where(F.col("similar") | ~F.col("at").eqNullSafe(F.col("kept")))
+    removed = removed.groupBy("at.d1", "at.d2").agg(F.sort_array(F.collect_set("at.pos")).alias("gone"))
     removed = scratch.keep(removed, "removed")
     scratch.free("places", "judged")
     return removed

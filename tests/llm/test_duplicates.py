@@ -54,6 +54,39 @@ def test_lines(frame, seed):
     assert lines.dedup_lines(frame([])).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_lines_with_crowded_words(frame, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    r = random.Random(crowd)
+    base = [[f"{k}-{j}" for j in range(12)] for k in range(4)]
+    rows = []
+    for doc in range(1, 80):
+        line = list(r.choice(base))
+        for _ in range(r.randrange(4)):
+            line[r.randrange(12)] = f"x{r.randrange(50)}"
+        rows.append((doc, "\t".join(line) + "\nodd \x0b" + "  ".join(line[:6])))
+    want = similar_lines(rows)
+    got = lines.dedup_lines(frame(rows)).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in got} == {doc: gone for (doc, _), gone in want.items()}
+
+
+def test_lines_reads_no_text_of_pairs_that_share_a_rare_word_only(frame, monkeypatch):
+    """At this length 64 parities tell nothing; the other rare words do, so that no text is shuffled for such a pair."""
+    one, two = ([f"{c}{k}" for k in range(300)] for c in "ab")
+    rows = [(1, " ".join([*one, "rare"])), (2, " ".join([*two, "rare"]))] + [(k, "\n".join(one + two)) for k in range(3, 6)]
+    written, keep = {}, lines.Scratch.keep
+
+    def counted(self, df, name):
+        kept = keep(self, df, name)
+        written[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(lines.Scratch, "keep", counted)
+    got = {r.doc_id: len(r.removed_lines) for r in lines.dedup_lines(frame(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 600, 5: 600}
+    assert written["pairs-first"] == 1 and written["sets-first"] == 0
+
+
 def test_op4_against_sql(spark, sf):
     from compare import compare, connection
 
