@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,7 @@ from teleproof.checks.registry import LI, check, q6, r6
 from teleproof.operators import packages as P
 from teleproof.operators.blocks import RECORD
 from teleproof.operators.windows import extents
+from teleproof.settings import TASK_ROWS
 from teleproof.sources import fleet as L
 from teleproof.sources.tables import line_rows
 from teleproof.sources.workspace import shared_folder, written
@@ -26,27 +32,79 @@ def line_files(spark: SparkSession, sf: str) -> DataFrame:
     a number in row 5, 4 has another hash in the manifest. A tax of zero is written as an empty cell.
     """
     folder = f"{shared_folder(spark)}/teleproof/files-{uuid.uuid4().hex}"
-    rows = line_rows(spark, sf).join(extents(line_rows(spark, sf)).select(RECORD, "end_row"), RECORD)
+    lines = line_rows(spark, sf)
+    rows = lines.join(extents(lines).select(RECORD, "end_row"), RECORD)
     digit, time = F.pmod(RECORD, F.lit(10)), F.col("time_s").cast("decimal(20, 3)")
-    rows = rows.repartition(RECORD).sortWithinPartitions(RECORD, "row")
     discount = F.when((digit == 3) & (F.col("row") == 5), "n/a").otherwise(F.col("l_discount").cast("string"))
     tax = F.when(F.col("l_tax") != 0, F.col("l_tax").cast("string")).otherwise("")
-    main = rows.select(F.col(RECORD).alias("source"), tax.alias("l_tax"), time.alias("Time"), "l_quantity", discount.alias("l_discount"), F.lit("-").alias("Extra"))
-    side = rows.filter(~((digit == 1) & (F.col("row") == F.col("end_row") - 1))).select(
-        F.col(RECORD).alias("source"), "l_linestatus", (time + F.when((digit == 2) & (F.col("row") == 7), 60).otherwise(0)).alias("Time"), "l_returnflag"
-    )
-    for name, part in (("telemetry", main), ("context", side)):
-        part.write.partitionBy("source").option("header", True).option("emptyValue", "").csv(f"{folder}/{name}")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path")
-    role, source = F.regexp_extract("path", r"/(telemetry|context)/source=\d+/", 1), F.regexp_extract("path", r"/source=(\d+)/", 1)
+    main = F.struct(tax.alias("l_tax"), time.alias("Time"), "l_quantity", discount.alias("l_discount"), F.lit("-").alias("Extra"))
+    late = (time + F.when((digit == 2) & (F.col("row") == 7), 60).otherwise(0)).alias("Time")
+    side = F.when(~((digit == 1) & (F.col("row") == F.col("end_row") - 1)), F.to_csv(F.struct("l_linestatus", late, "l_returnflag"), {"emptyValue": ""}))
+    texts = rows.select(F.col(RECORD).cast("string").alias("source_id"), "row", F.to_csv(main, {"emptyValue": ""}).alias("telemetry"), side.alias("context"))
+    ways = max(L.all_tasks(spark), -(-lines.count() // TASK_ROWS))
+    texts = texts.filter(F.col("source_id").isNotNull()).repartition(ways, "source_id").sortWithinPartitions("source_id", "row").drop("row")
+    headers = {"telemetry": "l_tax,Time,l_quantity,l_discount,Extra", "context": "l_linestatus,Time,l_returnflag"}
+    found = written(texts.mapInArrow(file_writer(plain_folder(folder), headers), "source_id string, role string, path string"), "manifest")
+    role, source = F.col("role"), F.col("source_id")
     fields = F.when(role == "telemetry", F.array(*[F.lit(c) for c in CHANNELS])).otherwise(F.array(*[F.lit(c) for c in FIELDS]))
     pinned = F.when((role == "context") & (F.pmod(source.cast("bigint"), F.lit(10)) == 4), F.repeat(F.lit("0"), 64))
     return found.select(
-        source.alias("source_id"), role.alias("role"), "path", F.lit("Time").alias("time_column"), F.lit("seconds").alias("time_kind"),
+        source, role, "path", F.lit("Time").alias("time_column"), F.lit("seconds").alias("time_kind"),
         F.lit(None).cast("string").alias("time_format"), fields.alias("fields"), pinned.alias("sha256"),
     )
 
 
+def plain_folder(folder: str) -> str:
+    """Local folders without their scheme, others as they are."""
+    return re.sub("^file:/+", "/", folder)
+
+
+def file_writer(folder: str, headers: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``source_id`` and a line for each role, sorted by source, to one file for each source and role; gives ``source_id, role, path``.
+
+    A task holds the files of one source open; a line that is null is left out. Neither files nor folders are listed or renamed afterwards.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, made = TaskContext.get().partitionId(), None, []
+        streams: dict[str, pa.NativeFile] = {}
+        paths = {role: f"{folder}/{role}/{part}" for role in headers}
+        for path in paths.values():
+            system, inner = L.opened_at(path)
+            system.create_dir(inner, recursive=True)
+
+        def listed() -> pa.RecordBatch:
+            columns = [pa.array(c, pa.string()) for c in zip(*made)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, ["source_id", "role", "path"])
+
+        for batch in batches:
+            sources = batch.column("source_id").to_pylist()
+            texts = {role: batch.column(role).to_pylist() for role in headers}
+            begin = 0
+            while begin < len(sources):
+                source, end = sources[begin], bisect_right(sources, sources[begin], begin)
+                if source != now:
+                    for stream in streams.values():
+                        stream.close()
+                    now = source
+                    for role, header in headers.items():
+                        path = f"{paths[role]}/{source}.csv"
+                        system, inner = L.opened_at(path)
+                        streams[role] = system.open_output_stream(inner)
+                        streams[role].write(f"{header}\n".encode())
+                        made.append((source, role, path))
+                for role, stream in streams.items():
+                    stream.write("".join(f"{x}\n" for x in texts[role][begin:end] if x is not None).encode())
+                begin = end
+            if made:
+                yield listed()
+        for stream in streams.values():
+            stream.close()
+
+    return write
+
+
 def line_fleet(spark: SparkSession, sf: str) -> L.Fleet:
     return L.load_fleet(spark, line_files(spark, sf), CHANNELS, FIELDS)
 
